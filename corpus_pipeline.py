@@ -4,25 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablelens.llm import exact_dedup, mixing
+from tablelens.llm import exact_dedup, mixing, packing, simhash, toxicity
 from tablelens.llm.common import materialise, read_documents
 
 
-def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents whose toxicity score is 0.5 or more."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each text, the one of the largest id."""
     return exact_dedup.drop_copies(docs)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of linked fingerprints, the one of the smallest id."""
+    return simhash.drop_near_copies(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Gives each document as often as its source's target weight asks."""
     return mixing.mix(docs)
 
 
-STAGES = [("exact dedup", exact_stage), ("mixing sources", mixing_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into sequences; a row per piece."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact dedup", exact_dedup_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("packing", packing_stage),
+]
 
+#: The first and last stages can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
-    for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "stage")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return STAGES[-1][1](spark, docs, sf_dir)
