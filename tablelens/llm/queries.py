@@ -127,9 +127,13 @@ ORACLE_SQL: dict[str, str] = {
             SELECT source, source_size, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE level::DOUBLE * w END AS target
             FROM c, l),
         r AS (
-            SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+            SELECT doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
                    ('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u
-            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken
-        FROM r""",
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        x AS (
+            SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u) - size / 2 <= (rate - floor(rate)) * source_size
+                      AND rate > floor(rate) AS wins
+            FROM r)
+        SELECT doc_id, size, source_size, target, (size * (floor(rate) + wins::INT))::BIGINT AS taken
+        FROM x""",
 }
