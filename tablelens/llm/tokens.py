@@ -11,6 +11,7 @@ counts of all prefixes follow from left to right: count(prefix) = count(prefix w
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
@@ -20,8 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a process's caches; when full they are emptied and fill again.
-CACHE_ENTRIES = 600_000
+#: Entries of the younger half of a process's cache.
+CACHE_ENTRIES = 1_000_000
+
+
+#: Characters of a text that are cut into chunks at a time, to bound the memory that a very long text takes.
+SLICE = 1 << 20
+#: Stands for a chunk's count where the chunk can't be taken by itself; more than any text has tokens.
+UNSAFE = 1 << 60
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -30,6 +38,24 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Cache(dict):
+    """What `work` gives for a key. When full, the younger half becomes the older one, which is asked before `work`."""
+
+    def __init__(self, work, entries: int = CACHE_ENTRIES):
+        super().__init__()
+        self.work, self.entries, self.older = work, entries, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.work(key)
+        if len(self) >= self.entries:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Chunks:
     """Cuts texts into chunks and special tokens."""
 
@@ -38,6 +64,17 @@ class Chunks:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.characters = {b: c for c, b in _byte_characters().items()}
+        # A space and letters are one pre-token, spelled by bytes, in byte-level tokenizers with their usual pattern.
+        self.letters_alone = json.loads(self.tokenizer.to_str())["pre_tokenizer"] == BYTE_LEVEL
+
+    def pre_tokens(self, text: str) -> list[str]:
+        """Pre-tokens, a character for each byte."""
+        return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def spell(self, text: str) -> str:
+        """A text's bytes as the characters that stand for them."""
+        return text.encode().decode("latin-1").translate(self.characters)
 
     def segments(self, text: str) -> list[tuple[str, int | None]]:
         """(ordinary text, id of the special token after it or None)."""
@@ -51,16 +88,34 @@ class Chunks:
         return out
 
     @staticmethod
-    def chunks(text: str) -> list[str] | None:
-        """The chunks without their leading spaces (the first has none); None if they can't be told apart safely."""
-        if "  " in text or "\n " in text or text[-1:].isspace() or text[:1].isspace():
+    def slices(text: str) -> Iterator[str]:
+        """A long text in parts, cut before a space between two characters that aren't white space."""
+        at = 0
+        while len(text) - at > SLICE:
+            cut = text.find(" ", at + SLICE)
+            while cut >= 0 and (text[cut - 1].isspace() or text[cut + 1 : cut + 2].isspace() or cut + 1 == len(text)):
+                cut = text.find(" ", cut + 1)
+            if cut < 0:
+                break
+            yield text[at:cut]
+            at = cut
+        yield text[at:]
+
+    @staticmethod
+    def chunks(text: str) -> tuple[str, list[str]] | None:
+        """What stands before the first space, and the chunks after it without their spaces.
+
+        None if white space meets white space, so that chunks can't be told apart safely.
+        """
+        if "  " in text or "\n " in text or text[-1:].isspace():
             return None
-        return text.split(" ")
+        first, *rest = text.split(" ")
+        return first, rest
 
     @staticmethod
     def unsafe(chunk: str) -> bool:
         """Whether white space in this chunk could reach into the next one."""
-        return not chunk or chunk[-1].isspace()
+        return chunk[-1:].isspace() or not chunk
 
 
 def _byte_characters() -> dict[str, int]:
@@ -75,44 +130,43 @@ class PrefixCounter(Chunks):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.longest = max(map(len, self.vocab))
-        self.together: dict[tuple[str, str], bool] = {}
-        self.counts: dict[str, int] = {}
-
-    def pre_tokens(self, text: str) -> list[str]:
-        """Pre-tokens, a character for each byte."""
-        return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.spelled = {token[:n]: False for token in vocab for n in range(1, len(token))} | dict.fromkeys(vocab, True)
+        self.together: dict[str, Cache] = Cache(lambda a: Cache(lambda b: self.stand_together(a, b)), 1 << 17)
+        self.counts = Cache(self.chunk_count)
 
     def stand_together(self, a: str, b: str) -> bool:
-        found = self.together.get((a, b))
-        if found is None:
-            if len(self.together) >= CACHE_ENTRIES:
-                self.together.clear()
-            found = self.together[a, b] = [t.value for t in self.tokenizer.model.tokenize(a + b)] == [a, b]
-        return found
+        return [t.value for t in self.tokenizer.model.tokenize(a + b)] == [a, b]
 
     def prefixes(self, pre_token: str) -> list[int]:
-        """Token counts of the prefixes of 0, 1, 2, ... bytes of a pre-token."""
-        vocab, counts, last = self.vocab, [0], [""]
-        for end in range(1, len(pre_token) + 1):
-            for start in range(max(0, end - self.longest), end):
+        """Token counts of the prefixes of 0, 1, 2, ... bytes of a pre-token.
+
+        Every token that starts after a prefix, and stands together with that prefix's last token, is the last token
+        of the prefix that it ends; each prefix has exactly one.
+        """
+        size, spelled = len(pre_token), self.spelled
+        counts, last = [0] + [-1] * size, [""] * (size + 1)
+        for start in range(size):
+            if counts[start] < 0:
+                raise ValueError(f"no token ends after byte {start} of a pre-token")
+            after = self.together[last[start]] if start else None
+            count = counts[start] + 1
+            for end in range(start + 1, size + 1):
                 token = pre_token[start:end]
-                if token in vocab and (not start or self.stand_together(last[start], token)):
-                    counts.append(counts[start] + 1)
-                    last.append(token)
+                whole = spelled.get(token)
+                if whole is None:
                     break
-            else:
-                raise ValueError(f"no token ends after byte {end} of a pre-token")
+                if whole and counts[end] < 0 and (after is None or after[token]):
+                    counts[end], last[end] = count, token
         return counts
 
     def chunk_count(self, chunk: str) -> int:
-        """Tokens of a chunk with its leading space."""
-        found = sum(self.prefixes(w)[-1] for w in self.pre_tokens(" " + chunk))
-        if len(self.counts) >= CACHE_ENTRIES:
-            self.counts.clear()
-        self.counts[chunk] = found
-        return found
+        """Tokens of a chunk with its leading space; UNSAFE if the chunk can't be taken by itself."""
+        if self.unsafe(chunk):
+            return UNSAFE
+        if chunk.isalpha() and self.letters_alone:
+            return self.prefixes(self.spell(" " + chunk))[-1]
+        return sum(self.prefixes(w)[-1] for w in self.pre_tokens(" " + chunk))
 
     def pieces(self, text: str) -> Iterator[tuple[str, int, bool]]:
         """(piece, tokens, special) in order; a piece is a chunk with its space, a pre-token's text, or a special token."""
@@ -123,34 +177,30 @@ class PrefixCounter(Chunks):
                 yield next(s for s, i in self.special.items() if i == special), 1, True
 
     def _pieces(self, text: str) -> Iterator[tuple[str, int]]:
-        chunks = self.chunks(text)
-        if chunks is None or any(map(self.unsafe, chunks)):
+        found = self.chunks(text)
+        if found is None or any(map(self.unsafe, found[1])) or found[0][-1:].isspace():
             for word, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
                 yield text[a:b], self.prefixes(word)[-1]
             return
-        yield chunks[0], sum(self.prefixes(w)[-1] for w in self.pre_tokens(chunks[0]))
-        for chunk in chunks[1:]:
-            found = self.counts.get(chunk)
-            yield " " + chunk, self.chunk_count(chunk) if found is None else found
+        first, rest = found
+        if first:
+            yield first, self._plain(first)
+        for chunk in rest:
+            yield " " + chunk, self.counts[chunk]
 
     def count(self, text: str) -> int:
         """Tokens of the whole text."""
-        return sum(self._count(segment) + (special is not None) for segment, special in self.segments(text))
+        return sum(sum(map(self._count, self.slices(segment))) + (special is not None) for segment, special in self.segments(text))
 
     def _count(self, text: str) -> int:
         if not text:
             return 0
-        chunks = self.chunks(text)
-        if chunks is not None:
-            first = sum(self.prefixes(w)[-1] for w in self.pre_tokens(chunks[0]))
-            rest = chunks[1:]
-            try:
-                return first + sum(map(self.counts.__getitem__, rest))
-            except KeyError:
-                if not any(map(self.unsafe, rest)):
-                    get, work = self.counts.get, self.chunk_count
-                    return first + sum(work(c) if (n := get(c)) is None else n for c in rest)
-        return sum(self.prefixes(w)[-1] for w in self.pre_tokens(text))
+        found = self.chunks(text)
+        if found is not None and not found[0][-1:].isspace():
+            rest = sum(map(self.counts.__getitem__, found[1]))
+            if rest < UNSAFE:
+                return self._plain(found[0]) + rest
+        return self._plain(text)
 
     def table(self, text: str) -> list[int]:
         """Exact token counts of the prefixes of 0, 1, 2, ... characters of `text`."""
