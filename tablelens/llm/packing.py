@@ -8,9 +8,11 @@ start for each end is the least cost_i + P_i within the window's reach, which a
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import cache, partial
 
 import numpy as np
@@ -19,11 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.tokens import CACHE_ENTRIES, Chunks, tokenizer_path
+from tablelens.llm.tokens import CACHE_ENTRIES, Cache, Chunks, tokenizer_path
 
 WINDOW = 1024
 #: The id that ends a document.
 END = 0
+_END = struct.pack("<I", END)
 #: Penalties, in tokens of padding, for cutting a document after a sentence and inside one.
 SENTENCE_CUT, INNER_CUT = 1, 8
 #: Between ends of sentences that lie further apart than twice this, cuts are allowed at this spacing.
@@ -40,40 +43,40 @@ class ChunkIds(Chunks):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.known: dict[str, bytes] = {}
+        self.known, self.firsts = Cache(self._chunk), Cache(self._whole, CACHE_ENTRIES // 10)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.sentence_end = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for i in vocab.values():
             self.sentence_end[i] = self.tokenizer.decode([i], skip_special_tokens=False).rstrip(" ").endswith(ENDINGS)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > CACHE_ENTRIES:
-            self.known.clear()
-        new = list(chunks)
-        self.known.update(zip(new, self._encode([" " + c for c in new]), strict=True))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """For each text, its ids and then the id that ends a document."""
-        cut = [None if any(s in t for s in self.special) else self.chunks(t) for t in texts]
-        new = {c for chunks in cut if chunks for c in chunks[1:] if c not in self.known}
-        if len(new) > CACHE_ENTRIES:  # one text, or a few, with too many to keep: without the cache
-            cut = [None] * len(texts)
-        elif new:
-            if len(self.known) + len(new) > CACHE_ENTRIES:
-                new = {c for chunks in cut if chunks for c in chunks[1:]}
-            self._learn(new)
-        end, out = np.array([END], dtype="<u4").tobytes(), []
-        for text, chunks in zip(texts, cut, strict=True):
-            if not text:
-                out.append(end)
-            elif chunks is None or any(map(self.unsafe, chunks)):
-                out.append(self._encode([text])[0] + end)
-            else:
-                out.append(b"".join([*self._encode(chunks[:1]), *map(self.known.__getitem__, chunks[1:]), end]))
-        return out
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _chunk(self, chunk: str) -> bytes | None:
+        """The ids of a chunk with its leading space; None if the chunk can't be taken by itself."""
+        if self.unsafe(chunk):
+            return None
+        model = self.tokenizer.model
+        if self.letters_alone and chunk.isalpha():
+            return self._bytes([t.id for t in model.tokenize(self.spell(" " + chunk))])
+        return self._bytes([t.id for word in self.pre_tokens(" " + chunk) for t in model.tokenize(word)])
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def ids(self, text: str) -> bytes:
+        """The ids of a text, and then the id that ends a document."""
+        if any(s in text for s in self.special):
+            return self._whole(text) + _END
+        return b"".join([*map(self._slice, self.slices(text)), _END])
+
+    def _slice(self, text: str) -> bytes:
+        found = self.chunks(text)
+        if found is not None and not found[0][-1:].isspace():
+            with suppress(TypeError):  # None among the chunks
+                return b"".join([self.firsts[found[0]], *map(self.known.__getitem__, found[1])])
+        return self._whole(text)
 
 
 @cache
@@ -83,15 +86,15 @@ def chunk_ids(path: str) -> ChunkIds:
 
 def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray) -> tuple[list[int], list[int]]:
     """Allowed cuts in a stream of ids, from 0 to its length, and the penalty of each."""
-    ends = np.flatnonzero(sentence_end[ids]) + 1
-    points = np.union1d(np.union1d(ends, doc_ends), [0, len(ids)])
-    wide = np.flatnonzero(np.diff(points) > 2 * GRID)
-    grid = np.concatenate([np.arange(points[k] + GRID, points[k + 1], GRID) for k in wide]) if len(wide) else np.empty(0, np.int64)
-    penalty = np.full(len(ids) + 1, INNER_CUT, dtype=np.int64)
-    penalty[ends] = SENTENCE_CUT
-    penalty[doc_ends] = 0
-    penalty[0] = penalty[-1] = 0
-    points = np.union1d(points, grid).astype(np.int64)
+    penalty = np.full(len(ids) + 1, -1, dtype=np.int64)  # -1: no cut here
+    penalty[1:][sentence_end[ids]] = SENTENCE_CUT
+    penalty[doc_ends] = penalty[0] = penalty[-1] = 0
+    points = np.flatnonzero(penalty >= 0)
+    gaps = np.diff(points)
+    inner = np.where(gaps > 2 * GRID, (gaps - 1) // GRID, 0)
+    step = np.arange(inner.sum()) - np.repeat(np.cumsum(inner) - inner, inner) + 1
+    penalty[np.repeat(points[:-1], inner) + GRID * step] = INNER_CUT
+    points = np.flatnonzero(penalty >= 0)
     return points.tolist(), penalty[points].tolist()
 
 
@@ -185,11 +188,8 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.Reco
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for at in range(0, len(ids), 256):
-            part = [x or "" for x in texts.slice(at, 256).to_pylist()]
-            for doc_id, body in zip(ids[at : at + 256], encoder.ids(part), strict=True):
-                packer.add(doc_id, body)
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            packer.add(doc_id, encoder.ids(text or ""))
         if packer.rows:
             yield flush()
     packer.plan(last=True)
