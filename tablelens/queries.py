@@ -145,7 +145,8 @@ def b1_semantic_types(t, spark, sf_dir):
     return out
 
 
-@query("SELECT 'ordered' AS \"column\", 1.0::DOUBLE AS time_share UNION ALL SELECT 'o_orderstatus', 0.0::DOUBLE", "time_share")
+@query("""SELECT 'ordered' AS "column", avg((try_strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y') IS NOT NULL)::INT) AS time_share FROM orders
+    UNION ALL SELECT 'o_orderstatus', avg((try_strptime(o_orderstatus, '%d/%m/%Y') IS NOT NULL)::INT) FROM orders""", "time_share")
 def b2_looks_temporal(t, spark, sf_dir):
     rows = t("orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("ordered"), "o_orderstatus")
     return columns.basics(rows).select("column", "time_share")
@@ -603,7 +604,9 @@ def f14_temporal_gaps(t, spark, sf_dir):
 
 
 _RAMP = "SELECT o_orderdate, o_orderpriority, (o_totalprice * date_diff('month', TIMESTAMP '1995-01-01', o_orderdate))::DOUBLE AS amount FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01'"
-_SQL_MONTHS = f"""SELECT entity, t, value, row_number() OVER (PARTITION BY entity ORDER BY t) - 1 AS idx FROM (SELECT o_orderpriority AS entity, date_trunc('month', o_orderdate)::TIMESTAMP AS t, sum(amount) AS value FROM ({_RAMP}) GROUP BY 1, 2)"""
+_SQL_SUMS = f"SELECT o_orderpriority AS entity, date_trunc('month', o_orderdate)::TIMESTAMP AS t, sum(amount) AS value FROM ({_RAMP}) GROUP BY 1, 2"
+_SQL_MONTHS = f"""SELECT s.entity, s.t, coalesce(v.value, 0) AS value, row_number() OVER (PARTITION BY s.entity ORDER BY s.t) - 1 AS idx
+    FROM (SELECT entity, unnest(generate_series(min(t), max(t), INTERVAL 1 MONTH)) AS t FROM ({_SQL_SUMS}) GROUP BY 1) s LEFT JOIN ({_SQL_SUMS}) v USING (entity, t)"""
 
 
 def ramp(t) -> DataFrame:
