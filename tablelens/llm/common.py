@@ -39,8 +39,8 @@ def discard(df: DataFrame) -> None:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a materialised table is small enough to broadcast."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether a table is small enough to broadcast. For a written table the count comes from the files' footers."""
+    return df.count() <= rows
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
