@@ -15,6 +15,7 @@ from tablelens.operators import activity, columns, patterns, profile, report, se
 from tablelens.operators.query import Dimension, Filter, Metric, QuerySpec, Sort, roll_up, roll_up_exactly, run_spec
 from tablelens.plans import readiness
 from tablelens.plans.adhoc import adhoc
+from tablelens.plans.analysis import analyze
 from tablelens.sources import readers, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +65,11 @@ def a6_drop_empty_rows(t, spark, sf_dir):
     return kept.select("k", "segment", "balance")
 
 
+@query("SELECT n_nationkey AS nation_key, n_name AS column_1, n_regionkey AS region_key_2 FROM nation")
+def a7_tidy_names(t, spark, sf_dir):
+    return readers.tidy_names(t("nation").toDF(" Nation  Key", "Unnamed: 1", "Region-Key 2"))
+
+
 @query("SELECT o_orderkey, date_trunc('day', o_orderdate)::TIMESTAMP AS ordered, o_orderstatus FROM orders")
 def a8_promote_dates(t, spark, sf_dir):
     return warehouse.promote_dates(t("orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"), "o_orderstatus"))
@@ -336,6 +342,13 @@ def c28_adhoc_set_operation(t, spark, sf_dir):
 # Report packs
 
 
+@query(f"""SELECT "column", (row_number() OVER (ORDER BY semantic <> 'currency', place))::INT AS rank FROM ({sql_profile('lineitem')})
+    WHERE semantic IN ('currency', 'numeric') AND NOT regexp_matches("column", '(?i)pct|percent|rate|ratio|price|score|days|avg')""")
+def d1_measure_ranking(t, spark, sf_dir):
+    facts = [r.asDict() for r in columns.profile_columns(t("lineitem")).select("column", "place", "semantic").collect()]
+    return spark.createDataFrame([(c, k + 1) for k, c in enumerate(columns.rank_measures(facts))], "column string, rank int")
+
+
 @query(f"""SELECT "column", (row_number() OVER (ORDER BY CASE WHEN n_unique BETWEEN 3 AND 12 THEN 0 WHEN n_unique BETWEEN 13 AND 30 THEN 1 ELSE 2 END, n_unique, place))::INT AS rank
     FROM ({sql_profile('lineitem')}) WHERE semantic = 'categorical' AND n_unique BETWEEN 2 AND 30 QUALIFY rank <= 3""")
 def d2_dimension_ranking(t, spark, sf_dir):
@@ -746,6 +759,24 @@ def g14_baseline_regression(t, spark, sf_dir):
     return spark.createDataFrame(sorted((k, float(v)) for k, v in done.metrics.items()), "metric string, value double")
 
 
+@query()
+def g13_permutation_importance(t, spark, sf_dir):
+    frame = t("part").select("p_partkey", "p_size", "p_retailprice")
+    return readiness.baseline(frame, profile.profile(frame), "p_retailprice", folds=2, rounds=3, key=["p_partkey"]).importance
+
+
+@query()
+def g14_baseline_binary(t, spark, sf_dir):
+    frame = t("customer").select("c_custkey", "c_nationkey", "c_mktsegment", (F.col("c_acctbal") > 4000).alias("rich"))
+    done = readiness.baseline(frame, profile.profile(frame), "rich", folds=2, rounds=3, key=["c_custkey"])
+    return spark.createDataFrame(sorted((k, float(v)) for k, v in done.metrics.items()), "metric string, value double")
+
+
+@query()
+def g15_analyze(t, spark, sf_dir):
+    return analyze(t("supplier"), name="supplier").advice
+
+
 # Activity
 
 
