@@ -88,13 +88,15 @@ def host_verdicts(ruled: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFram
     rates that don't vary, the prior weighs as much as one average host. A null host is one more host.
     """
     hosts = ruled.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
+    hosts = materialise(hosts, "hosts")
     raw = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(raw).alias("m"), F.coalesce(F.var_samp(raw), F.lit(0.0)).alias("v"), F.avg("n_docs").alias("size"))
-    spread = F.col("m") * (1 - F.col("m"))
-    strength = F.when((F.col("v") > 0) & (F.col("v") < spread), spread / F.col("v") - 1).otherwise(F.col("size"))
-    prior = prior.select("m", strength.alias("strength"))  # one row
-    rate = (F.col("n_failed") + F.col("m") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
-    rated = hosts.join(F.broadcast(prior)).withColumn("host_rate", rate)
+    mean, variance, size = hosts.agg(F.avg(raw), F.coalesce(F.var_samp(raw), F.lit(0.0)), F.avg("n_docs")).first()
+    if mean is None:  # no hosts
+        mean, variance, size = 0.0, 0.0, 1.0
+    spread = mean * (1 - mean)
+    strength = spread / variance - 1 if 0 < variance < spread else size
+    rate = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(float(strength)))
+    rated = hosts.withColumn("host_rate", rate)
     return rated.select("host", "n_docs", "n_failed", "host_rate", (F.col("host_rate") <= max_rate).alias("host_ok"))
 
 
@@ -105,7 +107,7 @@ def quality_report(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFram
     Columns of `docs` other than doc_id, text and source are ignored. An empty table gives an empty table.
     """
     ruled = with_rules(materialise(document_counts(docs), "counts"))
-    hosts = materialise(host_verdicts(ruled, max_rate), "hosts").withColumnRenamed("host", "__host")
+    hosts = host_verdicts(ruled, max_rate).withColumnRenamed("host", "__host")
     joined = ruled.join(maybe_broadcast(hosts), F.col("host").eqNullSafe(F.col("__host")))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
