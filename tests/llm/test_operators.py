@@ -408,8 +408,10 @@ def test_line_groups(spark, empty):
 
 def test_line_simhash_and_blocks(spark):
     words = [f"w{k}" for k in range(100)]
-    row = spark.createDataFrame([(words,)], "words array<string>").select(line_dedup.simhash(__import__("pyspark.sql.functions", fromlist=["col"]).col("words")).alias("c"), __import__("pyspark.sql.functions", fromlist=["lit"]).lit(100).alias("n"))
-    got = row.select(line_dedup._majority("c", "n").alias("sh")).first()["sh"] % 2**64
+    table = spark.createDataFrame([(1, words), (1, words), (2, words[:3])], "k int, words array<string>")
+    found = line_dedup.simhashed(table, "k").orderBy("k").collect()
+    assert [r["n_words"] for r in found] == [100, 100, 3]
+    got = found[0]["sh"] % 2**64
     h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words]
     assert got == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > 100)
     rng = random.Random(1)
@@ -421,6 +423,20 @@ def test_line_simhash_and_blocks(spark):
             assert any(a & m == b & m for m in masks)
 
 
+def test_middles_keep_the_distance(spark):
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(200):
+        a = [rng.choice(["ab", "abc", "b", "ccc"]) for _ in range(rng.randint(1, 9))]
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(b))
+            b[k : k + 1] = rng.choice([[], ["ab"], [b[k], "xy"]]) or (["q"] if len(b) == 1 else [])
+        pairs.append((" ".join(a), " ".join(b)))
+    found = line_dedup._middles(spark.createDataFrame(pairs, "left string, right string")).collect()
+    assert all(distance(r["left_middle"], r["right_middle"]) == distance(r["left"], r["right"]) for r in found)
+
+
 def test_line_groups_match_all_pairs(spark):
     """Every pair within reach of SimHash and edit distance is tied, by whatever way."""
     rng = random.Random(8)
