@@ -84,7 +84,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     Case, punctuation and spacing don't count. Null and empty texts have no units. Rows that share an id are one
     document and don't repeat each other; rows without an id keep what they hold against each other.
     """
-    found = units(docs, id_col, text_col)
+    found = materialise(units(docs, id_col, text_col), "units")
     digests = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("keep_doc_id"), F.count(F.lit(1)).alias("n"))
     digests = digests.filter("n > 1").select(F.col("d1").bitwiseXOR(F.lit(0)).alias("k1"), F.col("d2").alias("k2"), "keep_doc_id")
     joined = found.join(digests, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")))
