@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Java pattern of a word: a run of anything but ASCII white space. Python's bytes.split() cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -14,6 +18,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
+_held: dict = {}
+
+
+def held(owner: str, key: object, build: Callable[[], T]) -> T:
+    """What `build` makes, kept in this Python process until another owner or key asks: workers serve many stages, and
+    only one operator's tables stay in their memory."""
+    if _held.get("for") != (owner, key):
+        _held.clear()
+        _held["made"] = build()
+        _held["for"] = (owner, key)
+    return _held["made"]
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; one of our own only where none is named (tests)."""
     return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"

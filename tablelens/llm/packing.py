@@ -13,7 +13,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from contextlib import suppress
-from functools import cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.tokens import CACHE_ENTRIES, Cache, Chunks, tokenizer_path
+from tablelens.llm.common import held
+from tablelens.llm.tokens import Cache, Chunks, tokenizer_path
 
 WINDOW = 1024
 #: The id that ends a document.
@@ -35,6 +36,9 @@ GRID = 8
 PLAN = 1 << 18
 ENDINGS = (".", "!", "?", "\n", '."', ".\n", "!\n", "?\n", ".)")
 
+#: Chunks in the younger half of a process's cache; ids take more memory than counts.
+KEPT = 600_000
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -43,7 +47,7 @@ class ChunkIds(Chunks):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.known, self.firsts = Cache(self._chunk), Cache(self._whole, CACHE_ENTRIES // 10)
+        self.known, self.firsts = Cache(self._chunk, KEPT), Cache(self._whole, KEPT // 10)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.sentence_end = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for i in vocab.values():
@@ -79,9 +83,8 @@ class ChunkIds(Chunks):
         return self._whole(text)
 
 
-@cache
 def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+    return held("packing", path, lambda: ChunkIds(path))
 
 
 def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray) -> tuple[list[int], list[int]]:

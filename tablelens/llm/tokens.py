@@ -14,13 +14,14 @@ from __future__ import annotations
 import json
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.llm.common import held
+
 #: Entries of the younger half of a process's cache.
 CACHE_ENTRIES = 1_000_000
 
@@ -239,9 +240,8 @@ class PrefixCounter(Chunks):
         return length + max((e for e in range(len(piece)) if sums[at] + self._plain(start + piece[:e]) <= budget), default=0)
 
 
-@cache
 def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    return held("tokens", path, lambda: PrefixCounter(path))
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 1024, tokenizer: str = "byte_bpe_50k.json", with_table: bool = False) -> DataFrame:

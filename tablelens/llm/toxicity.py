@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import materialise, maybe_broadcast
+from tablelens.llm.common import held, materialise, maybe_broadcast
 
 #: The classifier is fitted on about so many labelled rows at most, drawn by a hash of the id.
 MAX_LABELLED = 16_000
@@ -195,15 +195,8 @@ class Reader:
         return "direct" if words & ADDRESS else "plain"
 
 
-_readers: dict[int, Reader] = {}
-
-
 def reader(terms: tuple[Term, ...]) -> Reader:
-    key = hash(terms)
-    if key not in _readers:
-        _readers.clear()
-        _readers[key] = Reader(terms)
-    return _readers[key]
+    return held("toxicity", terms, lambda: Reader(terms))
 
 
 # Learning
