@@ -1,32 +1,44 @@
-"""Substring dedup by units: sentences of lines are normalised and hashed, digests grouped over the whole corpus, the
-earliest occurrence kept, and runs of repeated units removed, with their places in the original text.
+"""Substring dedup by words: every passage of MIN_WORDS words that stands earlier in the corpus is removed, with its
+place in the original text.
 
-A unit ends with a sentence or a line, or after 32 words; so a passage is found wherever it stands in a line.
+Candidates come from winnowing: of the hashes of each K words in a row, the least of every W in a row is a text's
+fingerprint. With K + W - 1 = MIN_WORDS two equal passages of MIN_WORDS words have the same fingerprint, wherever they
+stand in sentences. Only where a fingerprint repeats are the passages that start at each word named by 128 bits and
+held against each other; so what is found doesn't depend on the choice of fingerprints.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from xxhash import xxh3_128_intdigest
+from xxhash import xxh3_64_intdigest
 
-from tablelens.llm.common import materialise, maybe_broadcast
+from tablelens.llm.common import held, materialise, maybe_broadcast
 
-#: Only runs of repeated units with at least so many words are removed.
+#: Only repeated passages of at least so many words are removed.
 MIN_WORDS = 50
 UNIT_WORDS = 32
 #: Rows of an Arrow batch that a task gives out.
 ROWS_OUT = 50_000
+#: Words whose hashes a process keeps.
+CACHE_ENTRIES = 500_000
 _WORD = re.compile(r"\w+")
 _ENDS = re.compile(r"[.!?]+(?=\s)|\n")
 
-UNITS = "doc_id long, unit_no int, start int, end int, n_words int, d1 long, d2 long, again boolean"
+_TAIL = re.compile(r"[^\w\s]*(?=\s|$)")  # punctuation that ends a passage's last word
+
+FINGERPRINTS = "key long, fp long, again boolean"
+PASSAGES = "doc_id long, key long, pos int, start int, end int, first_unit int, last_unit int, d1 long, d2 long, again boolean"
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def text_units(text: str) -> Iterator[tuple[int, int, int, str]]:
@@ -45,61 +57,157 @@ def text_units(text: str) -> Iterator[tuple[int, int, int, str]]:
         low = high
 
 
-def _signed(x: int) -> int:
-    x &= (1 << 64) - 1
-    return x - (1 << 64) if x >> 63 else x
+class _WordHashes(dict):
+    """Hashes of lower-cased words, by the word as it is written."""
 
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int32()) for n in ("unit_no", "start", "end", "n_words")), ("d1", pa.int64()), ("d2", pa.int64()), ("again", pa.bool_())])
-    rows: list[tuple] = []
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        found = self[word] = xxh3_64_intdigest(word.lower(), self.seed)
+        return found
 
-    def flush() -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
-        rows.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen: set[int] = set()
-            for k, (start, end, n, unit) in enumerate(text_units(text or "")):
-                d = xxh3_128_intdigest(unit)
-                rows.append((doc_id, k, start, end, n, _signed(d >> 64), _signed(d), d in seen))
-                seen.add(d)
-                if len(rows) >= ROWS_OUT:
-                    yield flush()
-    yield flush()
+class Hasher:
+    """Hashes of each k words in a row: polynomials of the words' hashes modulo 2^64, as differences of running sums."""
+
+    def __init__(self):
+        self.words = [_WordHashes(0), _WordHashes(1)]
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if n > len(self.powers):
+            factors = np.full(2 * n, _BASE, np.uint64), np.full(2 * n, _INVERSE, np.uint64)
+            for f in factors:
+                f[0] = 1
+            self.powers, self.inverses = (np.multiply.accumulate(f) for f in factors)
+
+    def sums(self, words: list[str], kind: int = 0) -> np.ndarray:
+        self._grow(len(words))
+        out = np.zeros(len(words) + 1, np.uint64)
+        hashes = np.fromiter(map(self.words[kind].__getitem__, words), np.uint64, len(words))
+        np.cumsum(hashes * self.inverses[: len(words)], out=out[1:])
+        return out
+
+    def grams(self, sums: np.ndarray, k: int) -> np.ndarray:
+        x = (sums[k:] - sums[:-k]) * self.powers[: len(sums) - k]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(29))
+
 
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` values in a row."""
+    done = 1
+    while 2 * done <= width:
+        x = np.minimum(x[:-done], x[done:])
+        done *= 2
+    return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body"))
-    return rows.mapInArrow(_units, UNITS)
+
+def _gram_words(min_words: int) -> tuple[int, int]:
+    k = min_words // 2 + 1 if min_words > 1 else 1
+    return k, min_words - k + 1
+
+
+def _given_out(parts: list[list[np.ndarray]], fields: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(n, kinds[t]) for n, t in (f.split() for f in fields.split(", "))])
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """The distinct fingerprints of each text; again tells whether the text holds one at two places."""
+    hasher, (k, width) = held("substring", 0, Hasher), _gram_words(min_words)
+    for batch in batches:
+        parts, rows = [], 0
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = _WORD.findall(text)
+            if len(words) < min_words:
+                continue
+            grams = hasher.grams(hasher.sums(words), k)
+            found = np.unique(_least(grams, width))
+            grams.sort()
+            twice = grams[1:][grams[1:] == grams[:-1]]
+            parts.append([np.full(len(found), key, np.int64), found.view(np.int64), np.isin(found, twice) if len(twice) else np.zeros(len(found), bool)])
+            rows += len(found)
+            if rows >= ROWS_OUT:
+                yield _given_out(parts, FINGERPRINTS)
+                parts, rows = [], 0
+        yield _given_out(parts, FINGERPRINTS)
+
+
+def _ended(text: str, end: int) -> int:
+    tail = _TAIL.match(text, end)
+    return tail.end() if tail else end
+
+
+def _passages(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """A row per word at which a passage of min_words words starts whose fingerprint repeats."""
+    hasher, (k, width) = held("substring", 0, Hasher), _gram_words(min_words)
+    for batch in batches:
+        parts, rows = [], 0
+        for doc_id, key, text, repeated in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            places = [m.span() for m in _WORD.finditer(text)]
+            words = [text[a:b] for a, b in places]
+            sums = hasher.sums(words)
+            at = np.flatnonzero(np.isin(_least(hasher.grams(sums, k), width), np.array(repeated, np.int64).view(np.uint64)))
+            d1, d2 = (hasher.grams(x, min_words)[at] for x in (sums, hasher.sums(words, 1)))
+            _, first, number = np.unique(d1, return_index=True, return_inverse=True)
+            starts = np.array([a for a, _ in places], np.int32)
+            ends = np.array([_ended(text, places[p + min_words - 1][1]) for p in at.tolist()], np.int32)
+            unit = np.repeat(*np.array([(u, n) for u, (_, _, n, _) in enumerate(text_units(text))]).T).astype(np.int32)
+            parts.append([np.full(len(at), doc_id or 0, np.int64), np.full(len(at), doc_id is None), np.full(len(at), key, np.int64), at.astype(np.int32), starts[at], ends, unit[at], unit[at + min_words - 1], d1.view(np.int64), d2.view(np.int64), at - at[first][number] >= min_words])
+            rows += len(at)
+            if rows >= ROWS_OUT:
+                yield _passage_rows(parts)
+                parts, rows = [], 0
+        yield _passage_rows(parts)
+
+
+def _passage_rows(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    none = np.concatenate([p.pop(1) for p in parts]) if parts else np.zeros(0, bool)
+    out = _given_out(parts, PASSAGES)
+    return out.set_column(0, "doc_id", pa.array(out.column(0).to_numpy(), pa.int64(), mask=none))
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per removed span: doc_id, start, end (characters of the original text), n_words, n_units, keep_doc_id.
 
-    Of equal units the one of the smallest doc_id stays, within a document the first; the others are removed if the
-    run of such units that they stand in has min_words words or more. keep_doc_id is where the run's first unit stays.
-    Case, punctuation and spacing don't count. Null and empty texts have no units. Rows that share an id are one
-    document and don't repeat each other; rows without an id keep what they hold against each other.
+    Of equal passages of min_words words the one of the smallest doc_id stays, within a document the first; the others
+    are removed, unless they overlap the first in their own document. A span is all words of such passages that touch
+    or overlap, from its first word to the end of its last one with the punctuation after it; it may begin and end
+    inside sentences. keep_doc_id is where its first passage stays, n_units the sentences that it touches (long ones
+    count once for each 32 words). Case, punctuation and spacing don't count. Null and empty texts have no passages.
+    Rows that share an id are one document and don't repeat each other; rows without an id keep what they hold against
+    each other.
     """
-    found = materialise(units(docs, id_col, text_col), "units")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body")).filter("body IS NOT NULL")
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "body").alias("key"), "body")
+    prints = materialise(rows.select("key", "body").mapInArrow(partial(_fingerprints, min_words=min_words), FINGERPRINTS), "fingerprints")
+    repeated = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).filter("n > 1 OR again").select(F.col("fp").bitwiseXOR(F.lit(0)).alias("f"))
+    wanted = prints.join(repeated, F.col("fp") == F.col("f")).groupBy(F.col("key").alias("k")).agg(F.collect_set("fp").alias("repeated"))
+    wanted = materialise(wanted, "wanted")  # of one document each
+    asked = rows.join(maybe_broadcast(wanted, 20_000), F.col("key") == F.col("k")).select("doc_id", "key", "body", "repeated")
+    found = materialise(asked.mapInArrow(partial(_passages, min_words=min_words), PASSAGES), "passages")
     digests = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("keep_doc_id"), F.count(F.lit(1)).alias("n"))
     digests = digests.filter("n > 1").select(F.col("d1").bitwiseXOR(F.lit(0)).alias("k1"), F.col("d2").alias("k2"), "keep_doc_id")
     joined = found.join(digests, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")))
     gone = joined.filter(~F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) | F.col("again"))
-    gone = gone.select("doc_id", "unit_no", "start", "end", "n_words", "keep_doc_id")
-    place = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("unit_no"))
-    runs = gone.withColumn("run", F.col("unit_no") - place).groupBy("doc_id", "run")
-    spans = runs.agg(
+    gone = gone.select("doc_id", "key", "pos", "start", "end", "first_unit", "last_unit", "keep_doc_id")
+    order = Window.partitionBy("doc_id", "key").orderBy("pos")
+    begins = F.coalesce(F.col("pos") - F.lag("pos").over(order) > min_words, F.lit(False)).cast("int")
+    runs = gone.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "key", "run").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
-        F.sum("n_words").alias("n_words"),
-        F.count(F.lit(1)).alias("n_units"),
-        F.min(F.struct("unit_no", "keep_doc_id"))["keep_doc_id"].alias("keep_doc_id"),
-    )
-    return spans.filter(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "n_units", "keep_doc_id")
+        (F.max("pos") - F.min("pos") + min_words).cast("long").alias("n_words"),
+        (F.max("last_unit") - F.min("first_unit") + 1).cast("long").alias("n_units"),
+        F.min(F.struct("pos", "keep_doc_id"))["keep_doc_id"].alias("keep_doc_id"),
+    ).select("doc_id", "start", "end", "n_words", "n_units", "keep_doc_id")
 
 
 def _cut(text: str | None, spans) -> str | None:

@@ -477,6 +477,36 @@ def test_repeated_spans(spark, empty):
     assert left[1] == text[1] and left[4] == text[4] and left[2].startswith("Another start.") and left[2].endswith("Another end of two.") and left[5] is None
 
 
+@pytest.mark.parametrize("size", [50, 51, 60, 70, 100, 300])
+@pytest.mark.parametrize("marks", [False, True])
+def test_passages_inside_sentences(spark, size, marks):
+    rng = random.Random(size)
+    prose = lambda n: " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**6)}" + "." * (marks and rng.random() < 0.08) for _ in range(n))
+    passage, rows = prose(size), []
+    for k in range(8):
+        rows.append((k, f"{prose(rng.randint(0, 90))} before{k} {passage} after{k} {prose(rng.randint(0, 90))}", "s"))
+    found = {r["doc_id"]: r for r in substring.repeated_spans(frame(spark, rows)).collect()}
+    assert sorted(found) == list(range(1, 8))
+    for k, r in found.items():
+        assert rows[k][1][r["start"] : r["end"]] == passage and r["n_words"] == size and r["keep_doc_id"] == 0
+
+
+def test_repeated_passages_match_all_windows(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice("ab") for _ in range(rng.randint(5, 60))), "s") for k in range(60)] + [(90, "a " * 60, "s"), (None, "b a " * 20, "s")]
+    seen, gone = {}, {}
+    for k, text, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        words = text.split()
+        for p in range(len(words) - 7):
+            where = seen.setdefault(tuple(words[p : p + 8]), (k, p))
+            if where[0] != k or p - where[1] >= 8:
+                gone.setdefault(k, set()).update(range(p, p + 8))
+    found = {}
+    for r in substring.repeated_spans(frame(spark, rows), min_words=8).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["start"] // 2, r["end"] // 2 + 1))
+    assert found == gone
+
+
 def test_units_cover_long_lines():
     text = " ".join(f"w{k}" for k in range(100)) + ". Next one!\n\nLast"
     units = list(substring.text_units(text))
