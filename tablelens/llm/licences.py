@@ -1,12 +1,14 @@
 """License scans: TF-IDF cosine of licence headers and files to templates, and inheritance along directories.
 
-Sentences that speak of licences are vectors of terms, weighted by how rare a term is among all such sentences of the
+Sentences that hold a telling term of some template are vectors of terms, weighted by how rare a term is among all such sentences of the
 corpus. Each distinct sentence is compared once, however many documents hold it. A file without a licence of its own
 takes that of the nearest directory above it which has a licence file, found by joins on paths.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,8 +21,12 @@ MIN_SHARED = 2
 #: A file is a licence file by its name, or if licence sentences hold this share of its words.
 LICENCE_FILE_NAME = r"(?i)^(un)?licen[cs]e|^copying|^notice|^copyright"
 LICENCE_FILE_SHARE = 0.5
-#: A sentence is compared if it matches this.
-MARKERS = r"(?i)licen[cs]|copyright|spdx|copyleft|all rights reserved|public domain|creative commons|\bCC[ -](BY|0|ZERO)"
+#: Lines of a wrapped notice that are joined at most, besides whole paragraphs.
+WRAPPED_LINES = 4
+#: What a line of a comment begins with.
+COMMENT = r"^\s*(?:(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--)\s*)?"
+#: Words of templates that texts hold anyway ("mit" is German); all other terms of templates are telling.
+COMMON = frozenset("a all any are as by can either in into is it mit of or that the this to under with you and".split())
 
 #: Usual notices of well-known licences.
 TEMPLATES = (
@@ -48,13 +54,32 @@ TEMPLATES = (
 )
 
 
+TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
+#: A sentence is compared if it matches this: words about licences, or a telling term of a template.
+MARKERS = r"(?i)licen[cs]|copyright|spdx|copyleft|public domain|\bCC[ -](BY|0|ZERO)|\b(" + "|".join(sorted({t for _, notice in TEMPLATES for t in re.findall(TERM, notice.lower()) if t not in COMMON and re.search("[a-z]{2}", t)})) + r")\b"
+
+
 def terms(sentence: Column) -> Column:
-    return F.regexp_extract_all(F.lower(sentence), F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(sentence), F.lit(TERM), F.lit(0))
 
 
-def sentences(body: Column) -> Column:
-    """A text's sentences that speak of licences, trimmed; a sentence ends with a line or after . ! or ? and a space."""
-    return F.filter(F.split(body, r"\n|(?<=[.!?])[ \t]+"), lambda s: s.rlike(MARKERS))
+def stripped_lines(body: Column) -> Column:
+    return F.transform(F.split(body, "\n"), lambda x: F.trim(F.regexp_replace(x, COMMENT, "")))
+
+
+def sentences(lines: Column) -> Column:
+    """(lines, sentence) of the sentences of a text's stripped lines that may name a licence; a sentence ends after . ! or ? and a space.
+
+    Lines are cut one by one (1), then 2 to WRAPPED_LINES lines in a row joined, then whole paragraphs (0), so that a
+    notice is found however it is wrapped. Marks of comments before lines don't count.
+    """
+    cut = lambda n, parts: F.transform(F.filter(F.flatten(F.transform(parts, lambda x: F.split(x, r"(?<=[.!?])[ \t]+"))), lambda s: s.rlike(MARKERS)), lambda s: F.struct(F.lit(n).alias("lines"), F.trim(s).alias("sentence")))
+    found = [cut(1, lines), cut(0, F.transform(F.split(F.array_join(lines, "\n"), "\n{2,}"), lambda x: F.translate(x, "\n", " ")))]
+    for n in range(2, WRAPPED_LINES + 1):
+        starts = F.when(F.size(lines) >= n, F.sequence(F.lit(1), F.greatest(F.size(lines) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        rows = F.filter(F.transform(starts, lambda k, n=n: F.slice(lines, k, F.lit(n))), lambda x: F.forall(x, lambda line: line != ""))
+        found.append(cut(n, F.transform(rows, lambda x: F.array_join(x, " "))))
+    return F.concat(*found)
 
 
 def template_terms(spark: SparkSession) -> DataFrame:
@@ -63,7 +88,10 @@ def template_terms(spark: SparkSession) -> DataFrame:
 
 
 def matched_sentences(found: DataFrame) -> DataFrame:
-    """(sentence, licence, score): the best template of each distinct sentence in `found` (sentence, n)."""
+    """(sentence, licence, score): the best template of each distinct sentence in `found` (sentence, n).
+
+    n is how often it stands in single lines; sentences of joined lines have 0 and don't count for rareness again.
+    """
     spark = found.sparkSession
     words = materialise(found.select("sentence", "n", F.explode(terms(F.col("sentence"))).alias("term")).groupBy("sentence", "n", "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
     total = found.agg(F.sum("n")).first()[0] or 0
@@ -88,20 +116,24 @@ def licence_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path
 
     origin is 'own' if the file's own text names the licence, else the directory whose licence file it comes from,
     '' for the topmost; licence, score and origin are null if there is none. Of several licences in a file the one of
-    the highest cosine counts, then the first by name; of several licence files in a directory likewise, then the
+    the highest cosine counts, then the first by name, and Proprietary only if there is no other, as licensed files
+    reserve rights too; of several licence files in a directory likewise, then the
     first path. Rows that share id and path are one file. Null and empty texts have no licence of their own; a file
     without a path inherits none. Other columns are ignored.
     """
     rows = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), text_or_empty(text_col).alias("body"))
-    hits = rows.filter(F.col("body").rlike(MARKERS))  # most texts never speak of licences and aren't cut up
-    hits = hits.select("doc_id", "path", F.size(F.split("body", r"\s+")).alias("words"), F.explode(sentences(F.col("body"))).alias("sentence"))
-    hits = materialise(hits.withColumn("sentence", F.trim("sentence")), "hits")
-    distinct = materialise(hits.groupBy("sentence").agg(F.count(F.lit(1)).alias("n")), "sentences")
+    hits = rows.filter(F.col("body").rlike(MARKERS))  # most texts hold no such term and aren't cut up
+    hits = hits.select("doc_id", "path", F.size(F.split("body", r"\s+")).alias("words"), stripped_lines(F.col("body")).alias("all"))
+    hits = materialise(hits, "marked")  # written, so that lines are cut once and not again for each that is joined
+    hits = materialise(hits.select("doc_id", "path", "words", F.inline(sentences(F.col("all")))), "hits")
+    distinct = materialise(hits.groupBy("sentence").agg(F.sum((F.col("lines") == 1).cast("long")).alias("n")), "sentences")
     matched = materialise(matched_sentences(distinct), "matched").withColumnRenamed("sentence", "__sentence")
     held = hits.join(maybe_broadcast(matched), F.col("sentence") == F.col("__sentence")).drop("__sentence")
+    size = F.size(F.split("sentence", r"\s+"))
+    whole = lambda n: F.coalesce(F.sum(F.when(F.col("lines") == n, size)), F.lit(0))
     own = held.groupBy("doc_id", "path").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("best"),
-        (F.sum(F.size(F.split("sentence", r"\s+"))) / F.max("words")).alias("share"),
+        F.min(F.struct((F.col("licence") == "Proprietary").alias("last"), (-F.col("score")).alias("s"), "licence")).alias("best"),
+        (F.greatest(whole(0), whole(1), F.max(size)) / F.max("words")).alias("share"),  # joined lines overlap and aren't summed
     )
     own = materialise(own.select("doc_id", "path", F.col("best.licence").alias("own_licence"), (-F.col("best.s")).alias("own_score"), "share"), "own")
     name, folder = F.regexp_extract("path", r"[^/]*$", 0), F.regexp_replace("path", r"/?[^/]*$", "")

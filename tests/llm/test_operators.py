@@ -536,6 +536,20 @@ def test_licences(spark, empty):
     assert licences.licence_scan(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_every_template_as_a_file(spark):
+    plain = "The weather was fine and people went to the river in the morning with their dogs."
+    rows, expected = [], {}
+    for k, (name, notice) in enumerate(licences.TEMPLATES):
+        words = notice.split()
+        half = " ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])
+        for j, text in enumerate([notice, f"{half[0]}\n{half[1]}", f"{plain}\n\n# {half[0]}\n# {half[1]}:\n\n{plain}", f"/* Copyright. All rights reserved.\n * {half[0]}\n * {half[1]}.\n */\n{plain}"]):
+            rows.append((10 * k + j, f"d{k}/{j}/x.py", text))
+            expected[10 * k + j] = name
+    rows.append((9_000, "plain/x.py", plain))
+    found = {r["doc_id"]: (r["licence"], r["origin"]) for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert found == {k: (name, "own") for k, name in expected.items()} | {9_000: (None, None)}
+
+
 # Pipeline
 
 
