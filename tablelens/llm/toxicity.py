@@ -29,7 +29,8 @@ MAX_TERMS = 2_000
 #: texts, less clean ones, that fewer than COVER better terms have found already (copies of a text teach many words).
 MIN_PRECISION, MIN_G2, MIN_TOXIC, COVER = 0.85, 25.0, 5, 3
 STEM_LENGTHS = (4, 5, 6, 7)
-#: Edits that are allowed in a term of at least so many letters. Stems, whose rest is open, need more letters.
+#: Edits that are allowed in a term of at least so many letters. Stems, whose rest is open, need more letters than
+#: STEM_LENGTHS gives them; misspellings are found by the whole words that are kept beside a stem.
 EDITS = ((9, 2), (5, 1))
 STEM_EDITS = ((8, 1),)
 #: How often a misspelled form is expected for one correct form, by edits.
@@ -145,7 +146,7 @@ class Matcher:
                 return self.states[state][1]
         live, stem = self.states[state]
         whole = self._best(live, stems=False)
-        if whole and (stem is None or whole[1] <= stem[1]):
+        if whole and (stem is None or whole[1] < stem[1]):
             return whole
         return stem
 
@@ -238,7 +239,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED)
 
 
 def learn_terms(train: DataFrame, n_toxic: int, n_clean: int) -> tuple[Term, ...]:
-    """Words and stems that toxic texts hold far more often than chance; a form that a kept stem covers is left out."""
+    """Words and stems that toxic texts hold far more often than chance; words of a kept stem stay for their misspellings."""
     if not n_toxic or not n_clean:
         return ()
     counts = train.mapInArrow(_form_counts, "form string, stem boolean, toxic long, clean long")
@@ -256,8 +257,13 @@ def learn_terms(train: DataFrame, n_toxic: int, n_clean: int) -> tuple[Term, ...
         if not one_word and not any(form[:n] in kept for n in STEM_LENGTHS):
             kept[form] = Term(form, True, r["toxic"], r["clean"])
     terms = [*kept.values()]
-    terms += [Term(f, False, r["toxic"], r["clean"]) for f, r in words.items() if not any(f[:n] in kept for n in STEM_LENGTHS)]
-    return _needed(train, tuple(terms))
+    covered = {f for f in words if any(f[:n] in kept for n in STEM_LENGTHS)}
+    terms += [Term(f, False, r["toxic"], r["clean"]) for f, r in words.items() if f not in covered]
+    chosen = _needed(train, tuple(terms))
+    # Stems are too short to forgive edits, so the whole words that a chosen stem covers stay beside it with their own.
+    stems = {t.text for t in chosen if t.stem}
+    spelled = [Term(f, False, r["toxic"], r["clean"]) for f, r in words.items() if f in covered and any(f[:n] in stems for n in STEM_LENGTHS)]
+    return (*chosen, *spelled)
 
 
 def _needed(train: DataFrame, terms: tuple[Term, ...]) -> tuple[Term, ...]:

@@ -358,6 +358,21 @@ def test_toxicity(spark, empty):
     assert {r["predicted"] for r in toxicity.toxicity(frame(spark, extra), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()} == {0}
 
 
+def test_misspelled_inflected_terms(spark):
+    rows, labels = labelled(n=2_000)
+    rows = [(i, re.sub("grumblefish|snotgoblin|dunderwit", "the", t), s) for i, t, s in rows]  # inflected terms alone
+    wrong = ["blorkette", "bluurkling", "bkurkosh"]
+    extra = [(9_000 + k, f"what is a {w} by the one", "s") for k, w in enumerate(wrong)] + [(9_990, "what is a blanket by the one", "s")]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(frame(spark, rows), table)
+    assert any(t.stem for t in model.terms)
+    docs = frame(spark, rows + extra)
+    found = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, table).collect()}
+    assert all(found[9_000 + k] >= 0.5 > found[9_990] for k in range(len(wrong)))
+    left = {r["doc_id"] for r in toxicity.drop_toxic(docs, table).collect()}
+    assert 9_990 in left and not left & set(range(9_000, 9_000 + len(wrong)))
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for x in a:
