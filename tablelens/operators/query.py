@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from tablelens.functions.names import clean_alias, resolve
 
 MAX_ROWS, DEFAULT_ROWS = 50_000, 1_000
+#: A limit that says outright that all rows are wanted.
+ALL_ROWS = "all"
 GRAINS = ("day", "week", "month", "quarter", "year")
 AGGREGATES = ("sum", "avg", "min", "max", "count", "count_distinct", "median", "stddev")
 DATE_PATTERNS = ("%Y-%m-%d", "%Y/%m/%d", "%d-%m-%Y", "%d/%m/%Y", "%Y-%m", "%Y")
@@ -58,7 +60,7 @@ class QuerySpec:
     metrics: Sequence[Metric] = ()
     filters: Sequence[Filter] = ()
     sort: Sequence[Sort] = ()
-    limit: int | None = None
+    limit: int | str | None = None  # ALL_ROWS for no limit
 
 
 @dataclass
@@ -164,7 +166,9 @@ def aggregate(m: Metric, frame: DataFrame, column: str, semantic: str | None) ->
     return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "count_distinct": distinct, "median": F.median, "stddev": F.stddev_samp}[m.agg](c)
 
 
-def row_limit(limit: int | None) -> int:
+def row_limit(limit: int | str | None) -> int | None:
+    if limit == ALL_ROWS:
+        return None
     return max(1, min(MAX_ROWS, limit or DEFAULT_ROWS))
 
 
@@ -209,7 +213,9 @@ def run_spec(frame: DataFrame, spec: QuerySpec, semantics: dict[str, str] | None
     for f in after:
         out = out.filter(condition(F.col(clean_alias(f.column)), T.DoubleType(), f.op, f.value))
     order = _order(spec, out.columns, dims, metrics, warnings)
-    return Answer((out.orderBy(*order) if order else out).limit(row_limit(spec.limit)), warnings)
+    rows = row_limit(spec.limit)
+    out = out.orderBy(*order) if order else out
+    return Answer(out if rows is None else out.limit(rows), warnings)
 
 
 def _order(spec: QuerySpec, outputs: list[str], dims: list, metrics: list, warnings: list[str]) -> list[Column]:

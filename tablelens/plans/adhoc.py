@@ -11,8 +11,8 @@ class NotAllowed(ValueError):
     pass
 
 
-def adhoc(spark: SparkSession, text: str, frames: dict[str, DataFrame], cap: int = MAX_ROWS) -> DataFrame:
-    """The rows of one query over `frames`, `cap` at most.
+def adhoc(spark: SparkSession, text: str, frames: dict[str, DataFrame], cap: int | None = MAX_ROWS) -> DataFrame:
+    """The rows of one query over `frames`, `cap` at most (None for all).
 
     The text is analysed as a subquery, so that commands aren't valid there. What the analysed query reads must be
     files of `frames`; other tables and files are refused before anything runs.
@@ -28,4 +28,4 @@ def adhoc(spark: SparkSession, text: str, frames: dict[str, DataFrame], cap: int
     known = {path for frame in frames.values() for path in frame.inputFiles()}
     if foreign := set(found.inputFiles()) - known:
         raise NotAllowed(f"the query reads {min(foreign)}, which isn't one of the given tables")
-    return found.limit(cap)
+    return found if cap is None else found.limit(cap)

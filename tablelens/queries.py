@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tablelens.functions.names import CURRENCY_NAME, GEO_NAME, ID_NAME, TIME_NAME
 from tablelens.operators import activity, columns, patterns, profile, report, series
-from tablelens.operators.query import Dimension, Filter, Metric, QuerySpec, Sort, roll_up, roll_up_exactly, run_spec
+from tablelens.operators.query import ALL_ROWS, Dimension, Filter, Metric, QuerySpec, Sort, roll_up, roll_up_exactly, run_spec
 from tablelens.plans import readiness
 from tablelens.plans.adhoc import adhoc
 from tablelens.plans.analysis import analyze
@@ -41,7 +41,7 @@ def query(sql: str | None = None, *rounded: str) -> Callable[[Callable], Callabl
     return register
 
 
-def spec(frame: DataFrame, dims=(), metrics=(), filters=(), sort=(), limit=50_000, **more) -> DataFrame:
+def spec(frame: DataFrame, dims=(), metrics=(), filters=(), sort=(), limit=ALL_ROWS, **more) -> DataFrame:
     return run_spec(frame, QuerySpec(dims, metrics, filters, sort, limit), **more).frame
 
 
@@ -220,7 +220,7 @@ def b10_top_values(t, spark, sf_dir):
 
 @query("SELECT * FROM region LIMIT 1000")
 def c1_raw_scan(t, spark, sf_dir):
-    return spec(t("region"))
+    return spec(t("region"), limit=1_000)
 
 
 @query("SELECT l_returnflag, l_linestatus FROM lineitem WHERE l_quantity = 1")
@@ -326,17 +326,17 @@ _SETS = "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey AS k FR
 
 @query(_ADHOC, "total")
 def c28_adhoc_join(t, spark, sf_dir):
-    return adhoc(spark, _ADHOC, {n: t(n) for n in ("orders", "customer", "nation")})
+    return adhoc(spark, _ADHOC, {n: t(n) for n in ("orders", "customer", "nation")}, cap=None)
 
 
 @query(_WINDOWED)
 def c28_adhoc_window(t, spark, sf_dir):
-    return adhoc(spark, _WINDOWED, {"customer": t("customer")})
+    return adhoc(spark, _WINDOWED, {"customer": t("customer")}, cap=None)
 
 
 @query(_SETS)
 def c28_adhoc_set_operation(t, spark, sf_dir):
-    return adhoc(spark, _SETS, {n: t(n) for n in ("customer", "supplier")})
+    return adhoc(spark, _SETS, {n: t(n) for n in ("customer", "supplier")}, cap=None)
 
 
 # Report packs

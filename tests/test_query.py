@@ -88,3 +88,17 @@ def test_grains_are_monday_weeks(spark):
     frame = spark.createDataFrame([(dt.datetime(2024, 1, 7),)], "d timestamp_ntz")
     week = run_spec(frame, QuerySpec([Dimension("d", "week")], [Metric("count")])).frame.first()
     assert week["d_week"] == dt.datetime(2024, 1, 1)
+
+
+def test_registered_queries_give_all_rows(spark, tmp_path):
+    from tablelens.queries import QUERIES
+
+    rows = spark.range(60_000).selectExpr("id AS l_suppkey", "'A' AS l_returnflag", "'O' AS l_linestatus", "1 AS l_quantity")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert QUERIES["c2_projection"](spark, str(tmp_path)).count() == 60_000
+    rows.selectExpr("l_suppkey", "20000 AS l_quantity").write.parquet(f"{tmp_path}/more/lineitem.parquet")
+    assert QUERIES["c21_having"](spark, f"{tmp_path}/more").count() == 60_000
+    table = spark.read.parquet(f"{tmp_path}/lineitem.parquet")
+    assert adhoc(spark, "SELECT * FROM lineitem", {"lineitem": table}, cap=None).count() == 60_000
+    assert adhoc(spark, "SELECT * FROM lineitem", {"lineitem": table}).count() == 50_000
+    assert run_spec(table, QuerySpec(limit=10**6)).frame.count() == 50_000
