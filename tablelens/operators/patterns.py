@@ -301,14 +301,15 @@ def group_effect(frame: DataFrame, target: str, groups: Sequence[str]) -> DataFr
     return finding(found, "group_effect", severity(F.col("eta2"), 0.15, 0.5), F.array(F.col("column"), F.lit(target)), F.col("eta2"), F.concat(F.col("column"), F.lit(f" sets {target} apart")))
 
 
-def cluster_structure(frame: DataFrame, columns: Sequence[str], seeds: int = 3, sample: int = 2_000) -> DataFrame:
-    """The best number of clusters of the standardised columns by Euclidean silhouette.
+def cluster_structure(frame: DataFrame, columns: Sequence[str], seeds: int = 3) -> DataFrame:
+    """The best number of clusters of the standardised columns by silhouette.
 
-    KMeans is fitted on all complete rows. The silhouette is taken on a sample of bounded size, each row of it held
-    against all others of the sample.
+    KMeans is fitted on all complete rows and the silhouette is taken over all of them. Its distances are squared, so
+    that sums per cluster are enough.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
@@ -321,28 +322,13 @@ def cluster_structure(frame: DataFrame, columns: Sequence[str], seeds: int = 3,
     best = (-1.0, 0)
     for k in range(2, min(6, n // 10) + 1):
         model = min((KMeans(k=k, seed=s, maxIter=30).fit(prepared) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
-        drawn = model.transform(prepared).select(vector_to_array("features").alias("x"), "prediction").orderBy(F.xxhash64(vector_to_array("features"))).limit(sample).toPandas()  # bounded by `sample`
-        best = max(best, (silhouette(np.array(drawn["x"].tolist()), drawn["prediction"].to_numpy()), k))
+        clusters = model.transform(prepared)
+        score = ClusteringEvaluator().evaluate(clusters) if clusters.select("prediction").distinct().count() > 1 else 0.0
+        best = max(best, (score, k))
     one = spark.createDataFrame([best], "score double, k int")
     return finding(one, "cluster_structure", severity(F.col("score"), 0.25, 0.5, "info"), F.array(*[F.lit(c) for c in columns]), F.col("score"), F.lit("rows fall into clusters"), k=F.col("k"))
 
 
-def silhouette(x: np.ndarray, label: np.ndarray) -> float:
-    names, total = np.unique(label), []
-    if len(names) < 2:
-        return 0.0
-    for i in range(len(x)):
-        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
-        own = label == label[i]
-        if own.sum() < 2:
-            total.append(0.0)
-            continue
-        a = d[own].sum() / (own.sum() - 1)
-        b = min(d[label == other].mean() for other in names if other != label[i])
-        total.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
-    return float(np.mean(total))
-
-
 def none(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], FINDING)
 

@@ -86,6 +86,12 @@ def test_clusters(spark, rng):
     assert found["severity"] == "strong" and found["evidence"]["k"] == "3"
 
 
+def test_clusters_count_copies_of_a_row(spark):
+    frame = spark.range(5_000).selectExpr("double(id % 2) AS a", "double(id % 2) AS b")
+    found = patterns.cluster_structure(frame, ["a", "b"], seeds=1).first()
+    assert found["severity"] == "strong" and found["statistic"] > 0.99
+
+
 def test_series_skip_empty_periods_only_for_means(spark):
     frame = spark.createDataFrame([(dt.datetime(2024, 1, 1), 2.0, 2.0), (dt.datetime(2024, 1, 3), 4.0, 4.0)], "d timestamp_ntz, amount double, price double")
     assert [r["value"] for r in series.regular_series(frame, "d", "amount", "D").orderBy("idx").collect()] == [2.0, 0.0, 4.0]
