@@ -9,10 +9,10 @@ from collections.abc import Iterable, Sequence
 # Name patterns of the data model, searched anywhere in a name and regardless of case.
 ID_NAME = r"(^|_)(id|uuid|guid|key|code|no|number|sk|pk)$"
 CURRENCY_NAME = r"price|cost|revenue|amount|sales|total|salary|spend|profit|margin|fee|usd|eur|inr|gbp"
-TIME_NAME = r"date|time|day|month|year|week|quarter|period|timestamp|(^|_)(at|on|dt|ts)$"
+TIME_NAME = r"date|time|timestamp|_at$|_on$|month|year|quarter|week|day"
 GEO_NAME = r"country|region|state|city|province|zip|postal|lat|lon|lng|geo"
 RATE_NAME = r"price|rate|ratio|pct|percent|share|score|avg|average|mean|days|age|index|level"
-NOT_ADDED_UP = r"pct|percent|rate|ratio|price|score|days|avg"
+NOT_ADDED_UP = r"pct|percent|rate|ratio|price|score|days|avg|average"
 
 
 def suggests(pattern: str, name: str) -> bool:

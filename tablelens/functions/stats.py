@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,6 +30,18 @@ def safe_corr(a: Column, b: Column) -> Column:
     return F.when((F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
+RANGES = 64
+
+
+def range_part(frame: DataFrame, column: str) -> Column:
+    """The number of the range, of RANGES at most, in which a row's double lies; bounds are approximate quantiles.
+
+    Equal values lie in the same range, and greater ones in no lower range.
+    """
+    bounds = frame.approxQuantile(column, [k / RANGES for k in range(1, RANGES)], 0.005)
+    return reduce(lambda part, bound: part + (F.col(column) > F.lit(bound)).cast("int"), sorted(set(bounds)), F.lit(0))
+
+
 def incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function, by its continued fraction."""
     if x <= 0 or x >= 1:

@@ -117,9 +117,12 @@ def semantic_type(column: Column, kind: Column, n: Column, u: Column, mean_lengt
     )
 
 
-def profile_columns(frame: DataFrame) -> DataFrame:
-    """The catalogue's entries for a table: basics plus n_unique, semantic, null_fraction, sample_values, pct_top_value."""
-    counts = value_counts(frame)
+def profile_columns(frame: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """The catalogue's entries for a table: basics plus n_unique, semantic, null_fraction, sample_values, pct_top_value.
+
+    `counts` are its `value_counts`, if they are at hand.
+    """
+    counts = value_counts(frame) if counts is None else counts
     distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
     top = top_values(counts).withColumn("shown", F.when(F.length("value") > CLIP, F.concat(F.substring("value", 1, CLIP), F.lit("..."))).otherwise(F.col("value")))
     top = top.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "shown"))), lambda s: s["shown"]).alias("sample_values"), F.max("n").alias("top_n"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablelens.functions.stats import correlation_p, safe_corr, t_tail
+from tablelens.functions.stats import correlation_p, range_part, safe_corr, t_tail
 from tablelens.operators import series as S
 from tablelens.operators.columns import tidy
 from tablelens.operators.profile import duplicate_rows
@@ -120,7 +120,11 @@ def correlations(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def correlation(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     found = correlations(frame, columns).filter(F.abs("value") >= 0.6)
-    p = F.udf(lambda r, n: correlation_p(r, n), "double")  # of the few pairs that are left
+
+    @F.pandas_udf("double")
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:  # of the few pairs that are left
+        return pd.Series([correlation_p(x, k) for x, k in zip(r, n, strict=True)], dtype=float)
+
     return finding(found, "correlation", severity(F.abs("value"), 0.6, 0.85), F.array("a", "b"), F.col("value"), F.concat("a", F.lit(" and "), "b", F.lit(" go together")), p("value", "n"), n=F.col("n"))
 
 
@@ -130,9 +134,7 @@ def average_ranks(frame: DataFrame, column: str, rank: str) -> DataFrame:
     Values are counted, cut into ranges by sampled bounds, and ranked within ranges; the ranges' totals are few.
     """
     counts = frame.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    bounds = counts.approxQuantile("v", [k / 64 for k in range(1, 64)], 0.005)
-    part = reduce(lambda acc, b: acc + (F.col("v") > F.lit(b)).cast("int"), sorted(set(bounds)), F.lit(0))
-    counts = counts.withColumn("part", part)
+    counts = counts.withColumn("part", range_part(counts, "v"))
     totals = counts.groupBy("part").agg(F.sum("n").alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))  # 64 rows
     w = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
@@ -197,7 +199,11 @@ def series_findings(frame: DataFrame, time: str, column: str, freq: str, entity:
     name = F.array(F.lit(column))
     t = S.trend(series).filter("n >= 12")
     moved = F.abs("t") > 2
-    p = F.udf(lambda t, n: t_tail(t, n - 2), "double")  # one value for each series
+
+    @F.pandas_udf("double")
+    def p(t: pd.Series, n: pd.Series) -> pd.Series:  # one value for each series
+        return pd.Series([t_tail(x, k - 2) for x, k in zip(t, n, strict=True)], dtype=float)
+
     out = [finding(t.filter(moved), "trend", severity(F.col("r2"), 0.25, 0.6), name, F.col("r2"), F.lit(f"{column} has a trend"), p("t", "n"), slope=F.col("slope"), entity=F.col("entity"))]
     hits = []
     for place, period in enumerate(S.PERIODS[freq]):
@@ -215,9 +221,10 @@ def series_findings(frame: DataFrame, time: str, column: str, freq: str, entity:
 
 
 def best_step(values: np.ndarray, periods: Iterable[int]) -> tuple[int, float, float]:
-    """(place, size relative to the level before, p) of the step that explains most beyond curve and seasons.
+    """(place, size, p) of the step that explains most beyond curve and seasons.
 
-    The step's gain at every place comes from one projection: the steps are freed of the other terms all at once.
+    The size is relative: to the level before the step if all values are positive, else to the mean absolute value. The
+    step's gain at every place comes from one projection: the steps are freed of the other terms all at once.
     """
     n = len(values)
     edge = max(8, int(0.1 * n))
@@ -245,7 +252,7 @@ def best_step(values: np.ndarray, periods: Iterable[int]) -> tuple[int, float, f
     if dof <= 0 or left <= 0 or gain[k] <= 0:
         return -1, 0.0, 1.0
     f = gain[k] / (max(left - gain[k], 1e-12) / dof)
-    size = float(np.expm1(effect[k])) if positive else float(effect[k] / max(1e-12, abs(values[:k].mean())))
+    size = float(np.expm1(effect[k])) if positive else float(effect[k] / max(1e-12, np.abs(values).mean()))
     return k, abs(size), min(1.0, t_tail(float(np.sqrt(f)), dof))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.stats import corrected_kurtosis, corrected_skewness
@@ -49,8 +49,9 @@ def number_statistics(frame: DataFrame, columns: Sequence[str] | None = None, ex
 
 def profile(frame: DataFrame, exact: bool = True) -> DataFrame:
     """One row per column: the catalogue's facts, missing and distinct shares, statistics, the top value and its share."""
-    top = top_values(value_counts(frame), 1).select("column", F.col("value").alias("top_value"), F.col("n").alias("top_n"))
-    out = profile_columns(frame).join(number_statistics(frame, exact=exact), "column", "left").join(top, "column", "left")
+    counts = value_counts(frame)
+    top = top_values(counts, 1).select("column", F.col("value").alias("top_value"), F.col("n").alias("top_n"))
+    out = profile_columns(frame, counts).join(number_statistics(frame, exact=exact), "column", "left").join(top, "column", "left")
     named = F.col("semantic").isin("categorical", "boolean", "geo", "identifier", "text")
     return out.withColumns(
         {
@@ -83,9 +84,21 @@ def duplicate_rows(frame: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
 
 
+#: Bytes of a value of fixed width; texts have their length, and nested values that of their JSON.
+WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
+
+
 def row_bytes(frame: DataFrame) -> DataFrame:
-    """size_mb: an estimate from the lengths of the cells as text."""
-    total = sum((F.coalesce(F.octet_length(F.to_json(F.struct(n))), F.lit(0)) for n in frame.columns), F.lit(0))
+    """size_mb: what the values of all cells take; nulls take nothing."""
+
+    def size(f) -> Column:
+        kind = f.dataType.simpleString()
+        width = WIDTHS.get(kind, 16 if kind.startswith("decimal") else None)
+        if width:
+            return F.when(F.col(f.name).isNotNull(), width)
+        return F.octet_length(F.col(f.name) if kind in ("string", "binary") else F.to_json(F.col(f.name)))
+
+    total = sum((F.coalesce(size(f), F.lit(0)) for f in frame.schema), F.lit(0))
     return frame.agg((F.sum(total) / 1e6).alias("size_mb"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablelens.functions.names import RATE_NAME, suggests
+from tablelens.functions.stats import range_part
 
 #: Frequency by the median gap in days, and the periods that are looked for at each.
 GAPS = ((1.5, "D"), (9.0, "W"), (45.0, "MS"), (120.0, "QS"))
@@ -17,15 +18,16 @@ STEPS = {"D": "interval 1 day", "W": "interval 7 day", "MS": "interval 1 month",
 def time_gaps(frame: DataFrame, time: str) -> DataFrame:
     """(t, n, gap_days): distinct times, their rows, and the gap to the time before.
 
-    Rows are counted per time first. The gap is taken within each year, and the first time of a year looks to the last
-    of the years before, so that no task sorts all times.
+    Rows are counted per time first. Times are cut into ranges at quantiles; the gap is taken within each, and the first
+    time of a range looks to the last of the ranges before, so that no task sorts all times.
     """
     times = frame.filter(F.col(time).isNotNull()).groupBy(F.col(time).cast("timestamp_ntz").alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    times = times.withColumn("year", F.year("t"))
-    last = times.groupBy("year").agg(F.max("t").alias("last"))
-    before = last.select(F.col("year"), F.lag("last").over(Window.orderBy("year")).alias("before"))  # a row per year
-    prior = F.lag("t").over(Window.partitionBy("year").orderBy("t"))
-    joined = times.join(F.broadcast(before), "year").withColumn("prior", F.coalesce(prior, "before"))
+    times = times.withColumn("micros", F.unix_micros(F.col("t").cast("timestamp")).cast("double"))
+    times = times.withColumn("part", range_part(times, "micros"))
+    last = times.groupBy("part").agg(F.max("t").alias("last"))
+    before = last.select("part", F.lag("last").over(Window.orderBy("part")).alias("before"))  # a row per range
+    prior = F.lag("t").over(Window.partitionBy("part").orderBy("t"))
+    joined = times.join(F.broadcast(before), "part").withColumn("prior", F.coalesce(prior, "before"))
     seconds = F.unix_micros(F.col("t").cast("timestamp")) - F.unix_micros(F.col("prior").cast("timestamp"))
     return joined.select("t", "n", (seconds / 86_400e6).alias("gap_days"))
 

@@ -17,6 +17,7 @@ def adhoc(spark: SparkSession, text: str, frames: dict[str, DataFrame], cap: int
     The text is analysed as a subquery, so that commands aren't valid there. What the analysed query reads must be
     files of `frames`; other tables and files are refused before anything runs.
     """
+    hidden = {v.name: spark.table(v.name) for v in spark.catalog.listTables() if v.isTemporary and v.name in {n.lower() for n in frames}}
     for name, frame in frames.items():
         frame.createOrReplaceTempView(name)
     direct = spark.conf.get("spark.sql.runSQLOnFiles")
@@ -25,6 +26,10 @@ def adhoc(spark: SparkSession, text: str, frames: dict[str, DataFrame], cap: int
         found = spark.sql(f"SELECT * FROM (\n{text.rstrip().rstrip(';')}\n) AS asked")
     finally:
         spark.conf.set("spark.sql.runSQLOnFiles", direct)
+        for name in frames:  # the analysed query keeps what it read
+            spark.catalog.dropTempView(name)
+        for name, frame in hidden.items():
+            frame.createOrReplaceTempView(name)
     known = {path for frame in frames.values() for path in frame.inputFiles()}
     if foreign := set(found.inputFiles()) - known:
         raise NotAllowed(f"the query reads {min(foreign)}, which isn't one of the given tables")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -15,8 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablelens.functions.stats import safe_corr
+from tablelens.operators.columns import tidy
 
 LEAK = 0.95
+#: Folds, rounds of boosting, and repeats of each permutation.
+FOLDS, ROUNDS, REPEATS = 5, 200, 5
 #: Sizes of tables by rows.
 SIZES = ((500, "small"), (10_000, "medium"), (500_000, "large"))
 
@@ -127,6 +132,32 @@ def label_codes(frame: DataFrame, target: str) -> DataFrame:
     return per.select("label", (F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1).cast("long").alias("code"))  # a row per class
 
 
+def prepared_rows(frame: DataFrame, target: str) -> DataFrame:
+    """The rows whose target is known; NaN counts as unknown. No rows are left out for their number."""
+    return tidy(frame).filter(F.col(target).isNotNull())
+
+
+#: Parts of hashes in which rows are numbered on their own.
+HASH_PARTS = 256
+
+
+def stratified_folds(frame: DataFrame, label: str, key: Sequence[str], folds: int, seed: int = 7) -> DataFrame:
+    """Adds fold: each class is dealt over the folds in the order of its rows' hashes, so that no two folds differ by
+    more than one row of a class. A class of fewer rows than folds makes them fewer, two at least.
+
+    Rows are numbered within parts of the hashes, and each part goes on where those before it ended, so that no task
+    sorts a whole class.
+    """
+    smallest = frame.groupBy(label).count().agg(F.min("count")).first()[0] or folds
+    folds = max(2, min(folds, smallest))
+    rows = frame.withColumn("_h", F.xxhash64(F.lit(seed), *key)).withColumn("_p", F.pmod("_h", F.lit(HASH_PARTS)))
+    sizes = rows.groupBy(F.col(label).alias("_l"), F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("_l").orderBy("_q")) - F.col("_n"))  # a row per class and part
+    place = F.row_number().over(Window.partitionBy(label, "_p").orderBy("_h", *key)) - 1
+    joined = rows.withColumn("_place", place).join(F.broadcast(before), F.col(label).eqNullSafe(F.col("_l")) & (F.col("_p") == F.col("_q")))
+    return joined.withColumn("fold", F.pmod(F.col("_place") + F.col("_before"), F.lit(folds)).cast("int")).select(*frame.columns, "fold")
+
+
 def fold_of(key: Column, folds: int, seed: int = 7) -> Column:
     """A fold for each row by the hash of its key: no sort, no shuffle, the same at every run."""
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds)).cast("int")
@@ -158,12 +189,37 @@ class Baseline:
     notes: list[str] = field(default_factory=list)
 
 
+#: A category of less than this share of the training rows is one of the others.
+RARE = 0.01
+OTHERS = "\u0000others"
+
+
+def known_categories(train: DataFrame, categories: Sequence[str]) -> dict[str, list[str]]:
+    """The categories of each column that aren't rare, the commonest first."""
+    if not categories:
+        return {}
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in categories])
+    counts = train.select(F.explode(cells).alias("s")).select("s.*").filter("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    total = train.count()
+    rows = counts.filter(F.col("n") >= RARE * total).orderBy(F.desc("n"), "value").collect()  # 100 of a column at most
+    return {c: [r["value"] for r in rows if r["column"] == c] for c in categories}
+
+
+def with_categories(rows: DataFrame, known: dict[str, list[str]]) -> DataFrame:
+    """Missing categories become the commonest one, rare and unknown ones the others."""
+    out = {}
+    for c, values in known.items():
+        filled = F.coalesce(F.col(c), F.lit(values[0] if values else OTHERS))
+        out[c] = F.when(filled.isin(values), filled).otherwise(F.lit(OTHERS)) if values else F.lit(OTHERS)
+    return rows.withColumns(out) if out else rows
+
+
 def _features(numbers: Sequence[str], categories: Sequence[str]) -> list:
     stages: list = []
     if numbers:
         stages.append(Imputer(strategy="median", inputCols=list(numbers), outputCols=[f"{c}__n" for c in numbers]))
     for c in categories:
-        stages += [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep"), OneHotEncoder(inputCol=f"{c}__i", outputCol=f"{c}__h", handleInvalid="keep")]
+        stages += [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep"), OneHotEncoder(inputCol=f"{c}__i", outputCol=f"{c}__h", handleInvalid="keep", dropLast=False)]
     return [*stages, VectorAssembler(inputCols=[f"{c}__n" for c in numbers] + [f"{c}__h" for c in categories], outputCol="features")]
 
 
@@ -196,14 +252,18 @@ def class_metrics(scored: DataFrame) -> dict[str, float]:
     return out
 
 
-def baseline(frame: DataFrame, profiled: DataFrame, target: str, folds: int = 3, rounds: int = 20, time: str | None = None, key: Sequence[str] | None = None) -> Baseline:
-    """Gradient boosting under cross-validation beside the trivial guess; columns that leak the target are dropped first."""
+def baseline(frame: DataFrame, profiled: DataFrame, target: str, folds: int = FOLDS, rounds: int = ROUNDS, repeats: int = REPEATS, time: str | None = None, key: Sequence[str] | None = None) -> Baseline:
+    """Gradient boosting under cross-validation beside the trivial guess; columns that leak the target are dropped first.
+
+    With `time`, folds follow each other in time and each is tested after training on those before. Else classes are
+    dealt evenly over the folds, and a regression's rows by the hashes of their keys, as rows have no order.
+    """
     task = task_of(profiled).filter(F.col("column") == target).first()["task"]
     notes: list[str] = []
     chosen = {r["column"]: r["use"] for r in feature_columns(profiled, target).collect()}  # a row per column
     numbers = [c for c, use in chosen.items() if use == "number"]
     categories = [c for c, use in chosen.items() if use == "category"]
-    rows = frame.filter(F.col(target).isNotNull())
+    rows = prepared_rows(frame, target)
     if task == "regression":
         gone = [r["column"] for r in leaking(rows, target, numbers).collect()]
         numbers = [c for c in numbers if c not in gone]
@@ -214,22 +274,30 @@ def baseline(frame: DataFrame, profiled: DataFrame, target: str, folds: int = 3,
         rows = rows.join(codes, F.col(target).cast("string") == codes["label"]).drop("label").withColumn("label", F.col("code").cast("double"))
     else:
         raise ValueError(f"no baseline for {task}")
-    rows = time_folds(rows, time, folds) if time else rows.withColumn("fold", fold_of(F.struct(*(key or frame.columns)), folds))
+    keys = list(key or [c for c in frame.columns if c != target])
+    if time:
+        rows = time_folds(rows, time, folds)
+    elif task == "regression":
+        rows = rows.withColumn("fold", fold_of(F.struct(*keys), folds))
+    else:
+        rows = stratified_folds(rows, "label", keys, folds)
+        folds = rows.agg(F.max("fold")).first()[0] + 1
     rows = rows.select("label", "fold", *[F.col(c).cast("double").alias(c) for c in numbers], *[F.col(c).cast("string").alias(c) for c in categories]).persist()
     tests = range(1, folds + 1) if time else range(folds)
     measured: list[dict[str, float]] = []
     for k in tests:
         train = rows.filter(F.col("fold") < k if time else F.col("fold") != k)
         test = rows.filter(F.col("fold") == k)
-        model = Pipeline(stages=[*_features(numbers, categories), _learner(task, rounds)]).fit(_weighted(train, task))
-        scored = model.transform(test)
+        known = known_categories(train, categories)
+        model = Pipeline(stages=[*_features(numbers, categories), _learner(task, rounds)]).fit(_weighted(with_categories(train, known), task))
+        scored = model.transform(with_categories(test, known))
         m = regression_metrics(scored) if task == "regression" else class_metrics(scored)
         guess = train.agg(F.avg("label")).first()[0] if task == "regression" else 0.0
         trivial = test.withColumn("prediction", F.lit(float(guess)))
         base = regression_metrics(trivial) if task == "regression" else class_metrics(trivial)
         measured.append(m | {f"baseline_{n}": v for n, v in base.items()})
     metrics = {n: sum(m[n] for m in measured) / len(measured) for n in measured[0]}
-    importance = permutation_importance(model, test, [*numbers, *categories], task)
+    importance = permutation_importance(lambda d: model.transform(with_categories(d, known)), test, [*numbers, *categories], task, repeats)
     rows.unpersist()
     return Baseline(task, metrics, importance, notes)
 
@@ -239,30 +307,50 @@ def _learner(task: str, rounds: int):
         return GBTRegressor(maxIter=rounds, stepSize=0.08, seed=7)
     if task == "binary_classification":
         return GBTClassifier(maxIter=rounds, stepSize=0.08, weightCol="weight", seed=7)
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, stepSize=0.08, seed=7))
+    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, stepSize=0.08, seed=7), weightCol="weight")
 
 
 def _weighted(train: DataFrame, task: str) -> DataFrame:
     """Rows of each class weigh alike in total."""
-    if task != "binary_classification":
+    if task == "regression":
         return train
     per = train.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    whole = per.agg(F.sum("n").alias("t"))
-    weights = per.join(F.broadcast(whole)).select("label", (F.col("t") / (2 * F.col("n"))).alias("weight"))
+    whole = per.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k"))
+    weights = per.join(F.broadcast(whole)).select("label", (F.col("t") / (F.col("k") * F.col("n"))).alias("weight"))  # a row per class
     return train.join(F.broadcast(weights), "label")
 
 
-def permutation_importance(model, test: DataFrame, columns: Sequence[str], task: str, top: int = 15) -> DataFrame:
-    """column, importance: how much the score falls when a column's values are dealt to other rows."""
-    spark = test.sparkSession
-    numbered = test.withColumn("_row", F.monotonically_increasing_id())
+def numbered(frame: DataFrame, place: str) -> DataFrame:
+    """Adds the numbers 0, 1, 2, ... to rows, by the rows of the partitions before. The frame is kept, as numbers that
+    were given twice need not agree."""
+    kept = frame.withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).persist()
+    before, seen = {}, 0
+    for r in kept.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():  # a row per partition
+        before[r["_part"]], seen = seen, seen + r["n"]
+    offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("_part")] if before else F.lit(0)
+    return kept.withColumn(place, F.col("_in") + offset).select(*frame.columns, place)
+
+
+def permutation_importance(transform, test: DataFrame, columns: Sequence[str], task: str, repeats: int = 5, top: int = 15, seed: int = 7) -> DataFrame:
+    """column, importance: how much the score falls, on average, when a column's values are dealt to other rows.
+
+    Row i gets the value of row (a i + b) mod n, with another a, coprime to n, and b each time: a join on numbers, and
+    no task orders all rows. Importances are divided by the sum of their absolute values.
+    """
+    spark, rng = test.sparkSession, random.Random(seed)
+    rows = numbered(test, "_at")
+    n = rows.count()
     score = (lambda d: regression_metrics(d)["r2"]) if task == "regression" else (lambda d: class_metrics(d)["balanced_accuracy"])
-    whole, drops = score(model.transform(test)), []
-    order = Window.partitionBy("fold").orderBy
-    places = numbered.withColumn("_at", F.row_number().over(order("_row")))
-    for k, c in enumerate(columns):
-        dealt = numbered.select(F.col("fold").alias("_f"), F.col(c).alias("_v"), F.row_number().over(order(F.xxhash64(F.lit(k), "_row"))).alias("_to"))
-        mixed = places.join(dealt, (F.col("_at") == F.col("_to")) & (F.col("fold") == F.col("_f"))).withColumn(c, F.col("_v")).select(*test.columns)
-        drops.append((c, max(0.0, whole - score(model.transform(mixed)))))
-    total = sum(d for _, d in drops) or 1.0
+    whole, drops = score(transform(test)), []
+    for c in columns:
+        falls = []
+        for _ in range(repeats):
+            a = next(x for x in iter(lambda: rng.randrange(1, max(2, n)), None) if math.gcd(x, max(1, n)) == 1)
+            b = rng.randrange(max(1, n))
+            dealt = rows.select(F.col("_at").alias("_from"), F.col(c).alias("_v"))
+            wanted = F.pmod(F.col("_at").cast("decimal(38,0)") * F.lit(a).cast("decimal(19,0)") + F.lit(b), F.lit(max(1, n))).cast("long")
+            mixed = rows.withColumn("_wanted", wanted).join(dealt, F.col("_wanted") == F.col("_from")).withColumn(c, F.col("_v")).select(*test.columns)
+            falls.append(whole - score(transform(mixed)))
+        drops.append((c, sum(falls) / len(falls)))
+    total = sum(abs(d) for _, d in drops) or 1.0
     return spark.createDataFrame([(c, d / total) for c, d in drops], "column string, importance double").orderBy(F.desc("importance"), "column").limit(top)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,42 @@ def a8_promote_dates(t, spark, sf_dir):
     return warehouse.promote_dates(t("orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"), "o_orderstatus"))
 
 
+@query("SELECT o_orderkey, date_trunc('minute', o_orderdate)::TIMESTAMP AS ordered FROM orders")
+def a8_mixed_dates(t, spark, sf_dir):
+    """Order times written in seven forms, one after another."""
+    forms = ("yyyy-MM-dd HH:mm", "yyyy/M/d HH:mm:ss", "M/d/yyyy H:mm", "d MMM yyyy HH:mm", "MMMM d, yyyy HH:mm", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    minute = F.date_trunc("minute", "o_orderdate")
+    written = F.coalesce(*[F.when(F.col("o_orderkey") % len(forms) == k, F.date_format(minute, form)) for k, form in enumerate(forms)])
+    return warehouse.promote_dates(t("orders").select("o_orderkey", written.alias("ordered")))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def a1_csv_scan(t, spark, sf_dir):
+    """Customers exported as CSV and read again."""
+    path = shared_path(spark, "customer_csv")
+    t("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment").write.csv(path, header=True, sep=";")
+    return readers.read_csv(spark, path, sep=";").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def a5_untidy_headers(t, spark, sf_dir):
+    """Customers exported below a line of remarks and under untidy names."""
+    path = shared_path(spark, "customer_untidy")
+    body = t("customer").select(F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("value"), F.lit(2).alias("place"), F.pmod("c_custkey", F.lit(4)).alias("part"))
+    head = spark.createDataFrame([("Export of customers,,", 0), ("C CustKey,C-Name,C MktSegment", 1)], "value string, place int")
+    for part in range(4):  # four exports, each a file with its own header
+        body.filter(F.col("part") == part).select("value", "place").unionByName(head).coalesce(1).sortWithinPartitions("place").select("value").write.mode("append").text(path)
+    read = readers.columns_of(readers.read_untidy(spark, path, glob="*.txt"))
+    return read.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_mktsegment")
+
+
+@query("""SELECT 'nation' AS object, 'geo_nation' AS "table", count(*) AS n_rows, false AS failed FROM nation UNION ALL SELECT 'region', 'geo_region', count(*), false FROM region
+    UNION ALL SELECT '!nothing', NULL, NULL, true""")
+def a13_ingest_source(t, spark, sf_dir):
+    objects = {"nation": lambda: t("nation"), "nothing": lambda: t("nation").limit(0), "region": lambda: t("region")}
+    return warehouse.ingest_all(spark, objects, "geo").select("object", "table", "n_rows", F.col("problem").isNotNull().alias("failed"))
+
+
 @query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
 def a10_write_replace(t, spark, sf_dir):
     path = shared_path(spark, "customer")
@@ -91,9 +128,14 @@ def a11_write_append(t, spark, sf_dir):
     return spark.read.parquet(path).groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS n FROM lineitem")
-def a16_table_count(t, spark, sf_dir):
-    return t("lineitem").agg(F.count(F.lit(1)).alias("n"))
+@query("SELECT 'rows' AS what, count(*) AS n FROM lineitem UNION ALL SELECT 'preview', least(500, count(*)) FROM lineitem UNION ALL SELECT 'listed', 1 UNION ALL SELECT 'listed after drop', 0")
+def a16_table_looks(t, spark, sf_dir):
+    """A stored table counted, previewed, listed and dropped."""
+    name = "looked_at_lineitem"
+    written = warehouse.replace(t("lineitem"), name)
+    counts = [("rows", written), ("preview", warehouse.preview(spark, name, 500).count()), ("listed", warehouse.tables(spark).count(name))]
+    warehouse.drop(spark, name)
+    return spark.createDataFrame([*counts, ("listed after drop", warehouse.tables(spark).count(name))], "what string, n long")
 
 
 @query("SELECT r_name AS source, n_name AS dataset FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT IN ('ASIA', 'EUROPE')")
@@ -169,6 +211,12 @@ def b3_column_profile(t, spark, sf_dir):
     return columns.profile_columns(t("orders")).select("column", "n_unique", "semantic", "null_fraction", "min_number", "max_number", "min_time", "max_time")
 
 
+@query(f"""SELECT p."column", p.n_rows, p.n_unique, p.semantic, 'ingested_customer' AS dataset, 'one row per c_custkey' AS grain FROM ({sql_profile('customer')}) p""")
+def a12_ingest(t, spark, sf_dir):
+    done = warehouse.ingest(t("customer"), "Ingested Customer")
+    return done.select("column", "n_rows", "n_unique", "semantic", "dataset", "grain")
+
+
 SQL_TOP = """SELECT '{c}' AS "column", value, n, (row_number() OVER (ORDER BY n DESC, value))::INT AS rank FROM (SELECT {c}::VARCHAR AS value, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 1) QUALIFY rank <= 10"""
 
 
@@ -192,17 +240,21 @@ def b5_grain(t, spark, sf_dir):
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
-@query("""WITH v AS (SELECT n_regionkey::VARCHAR AS value, count(*) AS n FROM nation GROUP BY 1)
-    SELECT 'n_regionkey' AS "column", 'numeric/int; 5 distinct; ' || (SELECT min(n_regionkey)::DOUBLE::VARCHAR || ' to ' || max(n_regionkey)::DOUBLE::VARCHAR FROM nation)
-        || '; e.g. ' || (SELECT string_agg(value, ', ' ORDER BY n DESC, value) FROM v) AS entry""")
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", '{kind}; ' || (SELECT count(DISTINCT {c}) FROM nation) || ' distinct; '
+    || {"(SELECT min(" + c + ")::DOUBLE::VARCHAR || ' to ' || max(" + c + ")::DOUBLE::VARCHAR || '; ' FROM nation)" if number else "''"}
+    || 'e.g. ' || (SELECT string_agg(value, ', ' ORDER BY n DESC, value) FROM (SELECT {c}::VARCHAR AS value, count(*) AS n FROM nation GROUP BY 1 ORDER BY n DESC, value LIMIT 8)) AS entry"""
+    for c, kind, number in (("n_nationkey", "numeric/int", True), ("n_name", "categorical/string", False), ("n_regionkey", "numeric/int", True))))
 def b6_data_dictionary(t, spark, sf_dir):
-    return columns.dictionary(columns.profile_columns(t("nation").select("n_regionkey")))
+    return columns.dictionary(columns.profile_columns(t("nation")))
+
+
+_CUSTOMER = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
 @query(f"""SELECT p."column", p.n_unique, 'complete' AS completeness, s.samples FROM ({sql_profile('customer')}) p
-    JOIN (SELECT "column", string_agg(value, '|' ORDER BY rank) AS samples FROM ({SQL_TOP.format(c='c_mktsegment', t='customer')}) WHERE rank <= 5 GROUP BY 1) s USING ("column")""")
+    JOIN (SELECT "column", string_agg(value, '|' ORDER BY rank) AS samples FROM ({" UNION ALL ".join(f"SELECT * FROM ({SQL_TOP.format(c=c, t='customer')})" for c in _CUSTOMER)}) WHERE rank <= 5 GROUP BY 1) s USING ("column")""")
 def b7_quality_facts(t, spark, sf_dir):
-    return columns.quality_facts(columns.profile_columns(t("customer"))).filter("column = 'c_mktsegment'").select("column", "n_unique", "completeness", "samples")
+    return columns.quality_facts(columns.profile_columns(t("customer"))).select("column", "n_unique", "completeness", "samples")
 
 
 @query("SELECT sum(l_extendedprice * (1 - l_discount)) AS net_revenue FROM lineitem", "net_revenue")
@@ -343,7 +395,7 @@ def c28_adhoc_set_operation(t, spark, sf_dir):
 
 
 @query(f"""SELECT "column", (row_number() OVER (ORDER BY semantic <> 'currency', place))::INT AS rank FROM ({sql_profile('lineitem')})
-    WHERE semantic IN ('currency', 'numeric') AND NOT regexp_matches("column", '(?i)pct|percent|rate|ratio|price|score|days|avg')""")
+    WHERE semantic IN ('currency', 'numeric') AND NOT regexp_matches("column", '(?i)pct|percent|rate|ratio|price|score|days|avg|average')""")
 def d1_measure_ranking(t, spark, sf_dir):
     facts = [r.asDict() for r in columns.profile_columns(t("lineitem")).select("column", "place", "semantic").collect()]
     return spark.createDataFrame([(c, k + 1) for k, c in enumerate(columns.rank_measures(facts))], "column string, rank int")
@@ -394,6 +446,22 @@ def d10_whole_pack(t, spark, sf_dir):
     return report.grouping_pack(t("orders"), "o_totalprice", "o_orderdate", ["o_orderstatus", "o_orderpriority"])
 
 
+_DETAIL = """SELECT sum(o_totalprice) AS s FROM orders GROUP BY date_trunc('month', o_orderdate), o_orderstatus, o_orderpriority ORDER BY s DESC LIMIT 200"""
+
+
+@query(f"""SELECT 'kpi' AS tile, 1::BIGINT AS n_rows, sum(o_totalprice) AS total FROM orders
+    UNION ALL SELECT 'trend', count(DISTINCT date_trunc('month', o_orderdate)), sum(o_totalprice) FROM orders
+    UNION ALL SELECT 'breakdown_o_orderstatus', count(DISTINCT o_orderstatus), sum(o_totalprice) FROM orders
+    UNION ALL SELECT 'breakdown_o_orderpriority', count(DISTINCT o_orderpriority), sum(o_totalprice) FROM orders
+    UNION ALL SELECT 'detail', count(*), sum(s) FROM ({_DETAIL})""", "total")
+def d10_pack(t, spark, sf_dir):
+    """Every tile of a pack by its rows and the total of its first measure."""
+    found = report.pack(t("orders"), measure="o_totalprice", n_kpis=3)
+    total = lambda d: "total" if "total" in d.columns else "sum_o_totalprice"
+    tiles = [d.agg(F.lit(n).alias("tile"), F.count(F.lit(1)).alias("n_rows"), F.sum(total(d)).alias("total")) for n, d in found.tiles.items()]
+    return reduce(DataFrame.unionByName, tiles)
+
+
 @query("""SELECT 'events' AS "table", 'value' AS measure, sum(value) AS total, count(*) AS records, avg(value) AS average FROM events
     UNION ALL SELECT 'customer', 'c_custkey', sum(c_custkey), count(*), avg(c_custkey) FROM customer""", "total", "average")
 def d11_several_tables(t, spark, sf_dir):
@@ -433,9 +501,9 @@ def e3_skewness_kurtosis(t, spark, sf_dir):
     return profile.number_statistics(t("lineitem"), _NUMBERS).select("column", "skewness", "kurtosis")
 
 
-@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", avg(({c} = 0)::INT) AS pct_zero, avg(({c} < 0)::INT) AS pct_negative FROM {t}""" for c, t in (("l_discount", "lineitem"),)), "pct_zero", "pct_negative")
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", avg(({c} = 0)::INT) AS pct_zero, avg(({c} < 0)::INT) AS pct_negative FROM {t}""" for t in ("lineitem",) for c, kind in TABLES["lineitem"] if kind in ("integer", "real")), "pct_zero", "pct_negative")
 def e4_zero_negative(t, spark, sf_dir):
-    return profile.number_statistics(t("lineitem"), ["l_discount"]).select("column", "pct_zero", "pct_negative")
+    return profile.number_statistics(t("lineitem")).select("column", "pct_zero", "pct_negative")
 
 
 @query(" UNION ALL ".join(f"""SELECT "column", value AS top_value, n / (SELECT count(*) FROM orders) AS top_share FROM ({SQL_TOP.format(c=c, t='orders')}) WHERE rank = 1""" for c in ("o_orderstatus", "o_orderpriority")), "top_share")
@@ -459,12 +527,13 @@ def e8_candidate_keys(t, spark, sf_dir):
     return profile.profile(t("part")).filter("candidate_key").select("column")
 
 
-@query("SELECT count(*) AS n_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_quantity, l_returnflag FROM lineitem)) AS n_duplicates FROM lineitem")
+@query("SELECT count(*) + count_if(l_quantity < 3) AS n_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_quantity < 3))) + (SELECT count(*) FROM lineitem WHERE l_quantity < 3) AS n_duplicates FROM lineitem")
 def e9_duplicate_rows(t, spark, sf_dir):
-    return profile.duplicate_rows(t("lineitem").select("l_suppkey", "l_quantity", "l_returnflag"))
+    """lineitem with some of its rows a second time."""
+    return profile.duplicate_rows(t("lineitem").unionByName(t("lineitem").filter("l_quantity < 3")))
 
 
-@query()
+@query("SELECT sum(32 + strlen(o_orderstatus) + strlen(o_orderpriority)) / 1e6 AS size_mb FROM orders", "size_mb")
 def e10_size(t, spark, sf_dir):
     return profile.row_bytes(t("orders"))
 
@@ -736,7 +805,7 @@ def g6_label_encoding(t, spark, sf_dir):
 
 @query("SELECT l_orderkey, c FROM (SELECT l_orderkey, CASE WHEN l_quantity > 45 THEN l_quantity END AS c FROM lineitem) WHERE c IS NOT NULL")
 def g7_row_preparation(t, spark, sf_dir):
-    return t("lineitem").select("l_orderkey", F.when(F.col("l_quantity") > 45, F.col("l_quantity")).alias("c")).na.drop(subset=["c"])
+    return readiness.prepared_rows(t("lineitem").select("l_orderkey", F.when(F.col("l_quantity") > 45, F.col("l_quantity")).alias("c")), "c")
 
 
 @query("""WITH f AS (SELECT o_orderkey % 4 AS fold, o_totalprice AS y FROM orders), s AS (SELECT fold, sum(y) AS s, count(*) AS c FROM f GROUP BY 1),
@@ -746,29 +815,68 @@ def g10_trivial_baseline(t, spark, sf_dir):
     return readiness.trivial_regression(t("orders").withColumn("fold", F.col("o_orderkey") % 4), "o_totalprice")
 
 
-@query("SELECT count(*) AS n FROM orders")
+_KINDS = "CASE WHEN l_orderkey % 400 = 0 THEN 'rare' WHEN l_orderkey % 3 > 0 THEN l_returnflag END"
+
+
+@query(f"""WITH k AS (SELECT {_KINDS} AS kind FROM lineitem), c AS (SELECT kind, count(*) AS n, count(*) >= 0.01 * (SELECT count(*) FROM k) AS known FROM k WHERE kind IS NOT NULL GROUP BY 1)
+    SELECT CASE WHEN known THEN v ELSE '(others)' END AS kind, count(*) AS n FROM (SELECT coalesce(kind, (SELECT kind FROM c ORDER BY n DESC, kind LIMIT 1)) AS v FROM k) LEFT JOIN c ON v = c.kind GROUP BY 1""")
+def g8_rare_and_missing_categories(t, spark, sf_dir):
+    rows = t("lineitem").select(F.expr(_KINDS).alias("kind"))
+    done = readiness.with_categories(rows, readiness.known_categories(rows, ["kind"]))
+    return done.groupBy(F.when(F.col("kind") == readiness.OTHERS, "(others)").otherwise(F.col("kind")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT o_orderpriority, f AS fold, n // 5 + (f < n % 5)::INT AS n FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1), (SELECT unnest(range(5))::INT AS f)""")
 def g11_folds(t, spark, sf_dir):
-    per = t("orders").withColumn("fold", readiness.fold_of(F.col("o_orderkey"), 5)).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
-    return per.filter("fold BETWEEN 0 AND 4").agg(F.sum("n").alias("n"))
+    """Rows of each class in each of five folds: no two folds differ by more than one."""
+    dealt = readiness.stratified_folds(t("orders"), "o_orderpriority", ["o_orderkey"], 5)
+    return dealt.groupBy("o_orderpriority", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS n_keys, 6 AS n_folds, true AS in_order FROM orders")
+def g11_time_folds(t, spark, sf_dir):
+    """Every row lies in one fold, and each fold begins after the one before it has ended."""
+    dealt = readiness.time_folds(t("orders"), "o_orderdate", 5)
+    per = dealt.groupBy("fold").agg(F.min("o_orderdate").alias("low"), F.max("o_orderdate").alias("high"), F.count(F.lit(1)).alias("n"))
+    later = per.alias("a").join(per.alias("b"), F.col("a.fold") + 1 == F.col("b.fold")).agg(F.coalesce(F.bool_and(F.col("a.high") < F.col("b.low")), F.lit(False)).alias("in_order"))  # six rows
+    counts = dealt.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("n_keys"), F.count_distinct("fold").cast("int").alias("n_folds"))
+    return counts.join(F.broadcast(later))
+
+
+@query("SELECT avg(abs(0.1 * o_totalprice - 900)) AS mae, sqrt(avg((0.1 * o_totalprice - 900) ** 2)) AS rmse, 1 - avg((0.1 * o_totalprice - 900) ** 2) / var_pop(o_totalprice) AS r2 FROM orders", "mae", "rmse", "r2")
+def g12_regression_metrics(t, spark, sf_dir):
+    guessed = t("orders").select(F.col("o_totalprice").alias("label"), (0.9 * F.col("o_totalprice") + 900).alias("prediction"))
+    m = readiness.regression_metrics(guessed)
+    return spark.createDataFrame([(m["mae"], m["rmse"], m["r2"])], "mae double, rmse double, r2 double")
+
+
+@query("""WITH g AS (SELECT (o_custkey % 3)::INT AS y, CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey % 3)::INT ELSE (o_custkey % 3)::INT END AS p FROM orders),
+    c AS (SELECT k, count_if(y = k AND p = k) AS hit, count_if(y = k) AS own, count_if(p = k) AS said FROM g, (SELECT unnest(range(3)) AS k) GROUP BY 1)
+    SELECT avg(hit / own) AS balanced_accuracy, avg(2 * hit / (own + said)) AS macro_f1 FROM c""", "balanced_accuracy", "macro_f1")
+def g12_class_metrics(t, spark, sf_dir):
+    own = F.col("o_custkey") % 3
+    guessed = t("orders").select(own.cast("double").alias("label"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey") % 3).otherwise(own).cast("double").alias("prediction"))
+    m = readiness.class_metrics(guessed)
+    return spark.createDataFrame([(m["balanced_accuracy"], m["macro_f1"])], "balanced_accuracy double, macro_f1 double")
 
 
 @query()
 def g14_baseline_regression(t, spark, sf_dir):
     frame = t("part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    done = readiness.baseline(frame, profile.profile(frame), "p_retailprice", folds=2, rounds=5, key=["p_partkey"])
+    done = readiness.baseline(frame, profile.profile(frame), "p_retailprice", folds=5, rounds=5, repeats=1, key=["p_partkey"])
     return spark.createDataFrame(sorted((k, float(v)) for k, v in done.metrics.items()), "metric string, value double")
 
 
 @query()
 def g13_permutation_importance(t, spark, sf_dir):
     frame = t("part").select("p_partkey", "p_size", "p_retailprice")
-    return readiness.baseline(frame, profile.profile(frame), "p_retailprice", folds=2, rounds=3, key=["p_partkey"]).importance
+    return readiness.baseline(frame, profile.profile(frame), "p_retailprice", folds=2, rounds=5, key=["p_partkey"]).importance
 
 
 @query()
 def g14_baseline_binary(t, spark, sf_dir):
     frame = t("customer").select("c_custkey", "c_nationkey", "c_mktsegment", (F.col("c_acctbal") > 4000).alias("rich"))
-    done = readiness.baseline(frame, profile.profile(frame), "rich", folds=2, rounds=3, key=["c_custkey"])
+    done = readiness.baseline(frame, profile.profile(frame), "rich", folds=5, rounds=5, repeats=1, key=["c_custkey"])
     return spark.createDataFrame(sorted((k, float(v)) for k, v in done.metrics.items()), "metric string, value double")
 
 

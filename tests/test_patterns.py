@@ -1,6 +1,8 @@
-"""Planted truth for the detectors, and data on which they must stay quiet."""
+"""Detectors beside plain computations, on data whose structure is known by construction."""
 
 import datetime as dt
+import math
+import random
 
 import numpy as np
 import pytest
@@ -11,79 +13,98 @@ from tablelens.operators.patterns import best_step
 from tablelens.operators.profile import profile
 
 
-@pytest.fixture(scope="module")
-def rng():
-    return np.random.default_rng(7)
-
-
-def step_size(values, periods=()):
-    at, size, p = best_step(np.asarray(values, dtype=float), periods)
-    return at, size if p < 1e-4 else 0.0
-
-
-def test_step_is_found_and_trends_are_not(rng):
-    at, size = step_size(np.r_[np.full(300, 100.0), np.full(300, 130.0)] + rng.normal(0, 3, 600))
-    assert 280 <= at <= 320 and 0.25 <= size <= 0.35
-    assert step_size(np.linspace(100, 300, 600) + rng.normal(0, 5, 600))[1] < 0.05
-    t = np.arange(730)
-    assert step_size(100 + 20 * np.sin(2 * np.pi * t / 365) + rng.normal(0, 2, 730), [365])[1] < 0.05
-    t = np.arange(1095)
-    assert step_size((100 + 0.2 * t) * (1 + 0.4 * np.sin(2 * np.pi * t / 365)) * rng.normal(1, 0.05, 1095), [365])[1] < 0.05
-    assert step_size(np.r_[np.full(2000, 100.0), np.full(2000, 101.0)] + rng.normal(0, 0.5, 4000))[1] < 0.05
-
-
-def daily(spark, values, name="value"):
-    day = dt.datetime(2022, 1, 1)
-    return spark.createDataFrame([(day + dt.timedelta(days=k), float(v)) for k, v in enumerate(values)], f"day timestamp_ntz, {name} double")
-
-
-def kinds(frame):
-    return {r["kind"]: r for r in frame.collect()}
-
-
-def test_trend_season_and_flat(spark, rng):
-    up = kinds(patterns.series_findings(daily(spark, np.linspace(100, 500, 730) + rng.normal(0, 10, 730), "revenue"), "day", "revenue", "D"))
-    assert up["trend"]["statistic"] > 0.8
-    wave = kinds(patterns.series_findings(daily(spark, 100 + 30 * np.sin(2 * np.pi * np.arange(730) / 7) + rng.normal(0, 3, 730), "sales"), "day", "sales", "D"))
-    assert wave["seasonality"]["evidence"]["period"] == "7"
-    flat = kinds(patterns.series_findings(daily(spark, rng.normal(100, 5, 730)), "day", "value", "D"))
-    assert not {"trend", "seasonality", "changepoint"} & set(flat)
-
-
-def test_distributions(spark, rng):
-    frame = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(rng.lognormal(3, 1.2, 3000), rng.normal(50, 5, 3000), np.where(rng.random(3000) < 0.7, 0, rng.lognormal(5, 1, 3000)), strict=True)], "amount double, value double, claim double")
+def refitted(values, periods):
+    """(place, F) of the best step, by fitting every candidate from scratch."""
+    n = len(values)
+    y = np.log(values) if (values > 0).all() else values
+    x, k = np.linspace(-1, 1, n), np.arange(n)
+    base = [np.ones(n), x, x**2]
+    for period in periods:
+        for harmonic in (1, 2):
+            base += [np.sin(2 * np.pi * harmonic * k / period), np.cos(2 * np.pi * harmonic * k / period)]
+    base = np.stack(base, axis=1)
+    rest = lambda m: float(((y - m @ np.linalg.lstsq(m, y, rcond=None)[0]) ** 2).sum())
+    without, edge = rest(base), max(8, n // 10)
+    found = []
+    for at in range(edge, n - edge + 1):
+        within = rest(np.column_stack([base, (k >= at).astype(float)]))
+        found.append(((without - within) / (within / (n - base.shape[1] - 1)), at))
+    return max(found)[1], max(found)[0]
+
+
+@pytest.mark.parametrize(("size", "place", "periods"), [(0.0, 50, ()), (0.2, 40, ()), (0.5, 70, (12,)), (-0.3, 61, (7,))])
+def test_step_equals_that_of_fitting_every_candidate(size, place, periods):
+    rng = np.random.default_rng(len(periods) + place)
+    k = np.arange(110)
+    values = (40 + 0.1 * k + 4 * np.sin(2 * np.pi * k / 12)) * (1 + size * (k >= place)) + rng.normal(0, 0.6, 110)
+    at, relative, p = best_step(values, periods)
+    want, f = refitted(values, periods)
+    assert at == want and p == pytest.approx(t_tail(math.sqrt(f), 110 - 3 - 4 * len(periods) - 1), rel=1e-6, abs=1e-12)
+    if size and 12 in periods:
+        assert abs(at - place) <= 2 and relative == pytest.approx(abs(size), abs=0.1) and p < 1e-6
+
+
+def test_size_of_a_step_between_signs_is_taken_of_the_whole_level():
+    values = np.concatenate([np.full(50, -2.0), np.full(50, 6.0)]) + np.tile([0.1, -0.1], 50)
+    at, size, p = best_step(values, ())
+    assert at == 50 and p < 1e-6 and size == pytest.approx(8 / np.abs(values).mean(), rel=0.05)
+
+
+def monthly(spark, values, name):
+    start = dt.datetime(2010, 1, 1)
+    rows = [(start.replace(year=2010 + k // 12, month=1 + k % 12), float(v)) for k, v in enumerate(values)]
+    return spark.createDataFrame(rows, f"month timestamp_ntz, {name} double")
+
+
+def test_series_findings_of_closed_forms(spark):
+    k = np.arange(96)
+    kinds = lambda values: {r["kind"]: r for r in patterns.series_findings(monthly(spark, values, "made"), "month", "made", "MS").collect()}
+    line = kinds(400.0 + 2 * k + np.where(k % 2, 0.5, -0.5))
+    assert line["trend"]["severity"] == "strong" and float(line["trend"]["evidence"]["slope"]) == pytest.approx(2, abs=0.01) and "changepoint" not in line
+    wave = kinds(80 + 10 * np.cos(np.pi * k / 3) + np.where(k % 5 == 0, 1.0, 0))
+    assert wave["seasonality"]["evidence"]["period"] == "6" and "trend" not in wave
+    louder = kinds(np.where(k < 48, 1, 5) * np.where(k % 2, 1.0, -1.0) + 100)
+    assert louder["variance_drift"]["statistic"] == pytest.approx(5)
+
+
+def test_shapes_of_columns(spark):
+    rows = [(float(2 ** (k % 12)), float(k % 50), 0.0 if k % 5 < 3 else float(k)) for k in range(1_000)]
+    frame = spark.createDataFrame(rows, "doubling double, even double, mostly_none double")
     p = profile(frame)
-    assert {r["columns"][0] for r in patterns.skewed(p).collect()} == {"amount", "claim"}
-    assert [r["columns"][0] for r in patterns.zero_inflation(p).collect()] == ["claim"]
-    assert "amount" in {r["columns"][0] for r in patterns.outliers(frame, ["amount", "value"]).collect()}
-
-
-def test_relations(spark, rng):
-    x = rng.uniform(1, 100, 1500)
-    frame = spark.createDataFrame([(float(a), float(3 * a + e), float(a**8), float(n)) for a, e, n in zip(x, rng.normal(0, 5, 1500), rng.normal(0, 1, 1500), strict=True)], "x double, linear double, curved double, noise double")
-    pairs = {tuple(r["columns"]): r for r in patterns.correlation(frame, ["x", "linear", "curved", "noise"]).collect()}
-    assert ("x", "linear") in pairs and pairs["x", "linear"]["severity"] == "strong" and not any("noise" in k for k in pairs)
-    bent = {tuple(r["columns"]) for r in patterns.nonlinear(frame, ["x", "curved", "noise"]).collect()}
-    assert bent == {("x", "curved")}
-
-
-def test_target_findings(spark, rng):
-    n = 2000
-    revenue = rng.lognormal(4, 0.6, n)
-    segment = rng.choice(["a", "b", "c"], n)
-    value = np.select([segment == "a", segment == "b"], [10, 50], 90) + rng.normal(0, 3, n)
-    churn = (rng.random(n) < 0.02).astype(int)
-    frame = spark.createDataFrame([(float(a), float(a * 1.0001), str(s), float(v), int(c)) for a, s, v, c in zip(revenue, segment, value, churn, strict=True)], "revenue double, restated double, segment string, value double, churn int")
-    assert {r["kind"] for r in patterns.target_findings(frame, "revenue", ["restated", "value"]).collect()} == {"target_leakage"}
-    assert patterns.group_effect(frame, "value", ["segment"]).first()["severity"] == "strong"
-    assert kinds(patterns.class_findings(frame, "churn"))["class_imbalance"]["severity"] == "strong"
-
-
-def test_clusters(spark, rng):
-    pts = np.concatenate([rng.normal(m, 0.2, (60, 2)) for m in ([0, 0], [5, 5], [0, 5])])
-    frame = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "a double, b double")
-    found = patterns.cluster_structure(frame, ["a", "b"], seeds=2).first()
-    assert found["severity"] == "strong" and found["evidence"]["k"] == "3"
+    skewed = {r["columns"][0] for r in patterns.skewed(p).collect()}
+    assert "doubling" in skewed and "even" not in skewed
+    assert [r["columns"][0] for r in patterns.zero_inflation(p).collect()] == ["mostly_none"]
+    out = {r["column"]: r for r in patterns.outlier_counts(frame, ["doubling", "even"]).collect()}
+    q1, q3 = np.percentile([r[0] for r in rows], [25, 75])
+    assert out["doubling"]["n_out"] == sum(r[0] > q3 + 1.5 * (q3 - q1) for r in rows) > 0 and out["even"]["n_out"] == 0
+
+
+def test_pairs_of_columns(spark):
+    rng = random.Random(31)
+    rows = []
+    for _ in range(700):
+        a = rng.randint(1, 40)
+        rows.append((float(a), 4.0 - a / 2, math.exp(a / 2), float(rng.choice([-1, 1]))))
+    frame = spark.createDataFrame(rows, "a double, down double, steep double, coin double")
+    found = {tuple(r["columns"]): r for r in patterns.correlation(frame, ["a", "down", "coin"]).collect()}
+    assert set(found) == {("a", "down")} and found["a", "down"]["statistic"] == pytest.approx(-1) and found["a", "down"]["severity"] == "strong" and found["a", "down"]["p_value"] == pytest.approx(0, abs=1e-9)
+    assert {tuple(r["columns"]) for r in patterns.nonlinear(frame, ["a", "steep", "coin"]).collect()} == {("a", "steep")}
+
+
+def test_findings_about_a_target(spark):
+    rows = [(float(k), k * 3.0 + 1, "xyz"[k % 3], [5.0, 50.0, 500.0][k % 3] + k % 2, int(k % 40 == 0)) for k in range(1_200)]
+    frame = spark.createDataFrame(rows, "goal double, copied double, kind string, level double, rare int")
+    assert [(r["kind"], r["columns"]) for r in patterns.target_findings(frame, "goal", ["copied", "level"]).collect()] == [("target_leakage", ["copied", "goal"])]
+    assert patterns.group_effect(frame, "level", ["kind"]).first()["statistic"] == pytest.approx(1, abs=1e-3)
+    uneven = patterns.class_findings(frame, "rare").filter("kind = 'class_imbalance'").first()
+    assert uneven["severity"] == "strong" and uneven["statistic"] == pytest.approx(39)
+
+
+def test_clusters(spark):
+    rng = random.Random(12)
+    rows = [(x + rng.random(), y + rng.random()) for x, y in ((0, 0), (9, 0), (0, 9), (9, 9)) for _ in range(40)]
+    found = patterns.cluster_structure(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], seeds=2).first()
+    assert found["severity"] == "strong" and found["evidence"]["k"] == "4"
 
 
 def test_clusters_count_copies_of_a_row(spark):
@@ -98,6 +119,15 @@ def test_series_skip_empty_periods_only_for_means(spark):
     assert [r["value"] for r in series.regular_series(frame, "d", "price", "D").orderBy("idx").collect()] == [2.0, 4.0]
 
 
+def test_gaps_across_ranges(spark):
+    rng = random.Random(2)
+    times = sorted({dt.datetime(2020, 1, 1) + dt.timedelta(minutes=rng.randrange(400_000)) for _ in range(900)})
+    frame = spark.createDataFrame([(x,) for x in times + times[:50]], "t timestamp_ntz")
+    found = {r["t"]: r["gap_days"] for r in series.time_gaps(frame, "t").collect()}
+    want = {b: (b - a).total_seconds() / 86_400 for a, b in zip(times, times[1:], strict=False)}
+    assert len(found) == len(times) and found[times[0]] is None and all(found[t] == pytest.approx(g) for t, g in want.items())
+
+
 def test_tails():
     assert abs(t_tail(2.228, 10) - 0.05) < 1e-4
     assert abs(correlation_p(0.5, 20) - 0.02478) < 1e-4
