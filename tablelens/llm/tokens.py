@@ -12,9 +12,7 @@ counts of all prefixes follow from left to right: count(prefix) = count(prefix w
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,9 +20,8 @@ from pyspark.sql import functions as F
 
 from tablelens.llm.common import held
 
-#: Entries of the younger half of a process's cache.
-CACHE_ENTRIES = 1_000_000
-
+#: Entries of the younger half of a process's cache, and the most characters of a key: longer ones are worked out anew.
+CACHE_ENTRIES, KEY_CHARS = 800_000, 64
 
 #: Characters of a text that are cut into chunks at a time, to bound the memory that a very long text takes.
 SLICE = 1 << 20
@@ -50,10 +47,11 @@ class Cache(dict):
         found = self.older.get(key)
         if found is None:
             found = self.work(key)
-        if len(self) >= self.entries:
-            self.older = dict(self)
-            self.clear()
-        self[key] = found
+        if len(key) <= KEY_CHARS:
+            if len(self) >= self.entries:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
         return found
 
 
@@ -135,6 +133,7 @@ class PrefixCounter(Chunks):
         self.spelled = {token[:n]: False for token in vocab for n in range(1, len(token))} | dict.fromkeys(vocab, True)
         self.together: dict[str, Cache] = Cache(lambda a: Cache(lambda b: self.stand_together(a, b)), 1 << 17)
         self.counts = Cache(self.chunk_count)
+        self.kept = Cache(self.chunk_prefixes)  # by the same keys, so that both forget alike
 
     def stand_together(self, a: str, b: str) -> bool:
         return [t.value for t in self.tokenizer.model.tokenize(a + b)] == [a, b]
@@ -161,33 +160,75 @@ class PrefixCounter(Chunks):
                     counts[end], last[end] = count, token
         return counts
 
+    def chunk_prefixes(self, chunk: str) -> bytes | list[int] | None:
+        """Tokens of the first 0, 1, 2, ... characters of a chunk with its leading space; None if the chunk is unsafe."""
+        if self.unsafe(chunk):
+            return None
+        if chunk.isascii() and chunk.isalpha() and self.letters_alone:
+            found = self.prefixes(self.spell(" " + chunk))
+        else:
+            found = self.by_character(" " + chunk)
+        return bytes(found) if len(found) <= KEY_CHARS and max(found) < 256 else found
+
     def chunk_count(self, chunk: str) -> int:
         """Tokens of a chunk with its leading space; UNSAFE if the chunk can't be taken by itself."""
-        if self.unsafe(chunk):
-            return UNSAFE
-        if chunk.isalpha() and self.letters_alone:
-            return self.prefixes(self.spell(" " + chunk))[-1]
-        return sum(self.prefixes(w)[-1] for w in self.pre_tokens(" " + chunk))
+        found = self.kept[chunk]
+        return UNSAFE if found is None else found[-1]
+
+    def by_character(self, text: str) -> list[int]:
+        """Tokens of the first 0, 1, 2, ... characters of a text without special tokens."""
+        words = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        out, before, k = [0], 0, 0
+        while k < len(words):
+            last, (at, end) = k, words[k][1]
+            while text[at:end].isspace() and last + 1 < len(words) and text[words[last + 1][1][0]].isspace():
+                last += 1  # a run of white space ends with the space before a word, or is whole where the text is cut
+                end = words[last][1][1]
+            run = len(text[at:end]) - len(text[at:end].lstrip())
+            if last > k or text[at:end].isspace():
+                spaces = self.prefixes(self.spell(text[at : at + run]))
+                sizes = [len(c.encode()) for c in text[at : at + run]]
+                byte = 0
+                for size in sizes:
+                    byte += size
+                    out.append(before + spaces[byte])
+            for j in range(k, last + 1):
+                a, b = words[j][1]
+                counts, byte = self.prefixes(words[j][0]), 0
+                contraction = b - a == 3 and text[a] == "'" and text[a + 1].isalpha()  # its first letter alone is a word of its own
+                for place in range(a, b):
+                    byte += len(text[place].encode())
+                    if len(out) <= place + 1:
+                        alone = contraction and place == a + 1
+                        out.append(before + (counts[1] + self.prefixes(self.spell(text[place]))[-1] if alone else counts[byte]))
+                before += counts[-1]
+            k = last + 1
+        return out
 
-    def pieces(self, text: str) -> Iterator[tuple[str, int, bool]]:
-        """(piece, tokens, special) in order; a piece is a chunk with its space, a pre-token's text, or a special token."""
+    def _laid_out(self, text: str) -> Iterator[tuple[int, int, object]]:
+        """(characters, tokens, counts by character or a function that gives them) of a text's parts, in order."""
         for segment, special in self.segments(text):
-            for piece, n in self._pieces(segment):
-                yield piece, n, False
+            for part in self.slices(segment):
+                found = self.chunks(part)
+                if found is not None and not found[0][-1:].isspace() and not any(map(self.unsafe, found[1])):
+                    if found[0]:
+                        first = self.by_character(found[0])
+                        yield len(found[0]), first[-1], first
+                    for chunk in found[1]:
+                        yield len(chunk) + 1, self.counts[chunk], self.kept[chunk]
+                elif part:
+                    counts = self.by_character(part)
+                    yield len(part), counts[-1], counts
             if special is not None:
-                yield next(s for s, i in self.special.items() if i == special), 1, True
+                name = next(s for s, i in self.special.items() if i == special)
+                yield len(name), 1, self._cut_special(segment, name)
 
-    def _pieces(self, text: str) -> Iterator[tuple[str, int]]:
-        found = self.chunks(text)
-        if found is None or any(map(self.unsafe, found[1])) or found[0][-1:].isspace():
-            for word, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
-                yield text[a:b], self.prefixes(word)[-1]
-            return
-        first, rest = found
-        if first:
-            yield first, self._plain(first)
-        for chunk in rest:
-            yield " " + chunk, self.counts[chunk]
+    def _cut_special(self, segment: str, name: str) -> list[int]:
+        """Counts where a special token's string is cut: it is ordinary text then, and may join with what stands before."""
+        at = segment.rfind(" ", 0, len(segment.rstrip()))
+        tail = segment[at:] if at > 0 and not segment[at - 1].isspace() else segment
+        whole = self.by_character(tail)[-1]
+        return [self.by_character(tail + name[:k])[-1] - whole for k in range(len(name))] + [1]
 
     def count(self, text: str) -> int:
         """Tokens of the whole text."""
@@ -203,41 +244,25 @@ class PrefixCounter(Chunks):
                 return self._plain(found[0]) + rest
         return self._plain(text)
 
-    def table(self, text: str) -> list[int]:
-        """Exact token counts of the prefixes of 0, 1, 2, ... characters of `text`."""
-        pieces, out, before = list(self.pieces(text)), [0], 0
-        for k, (piece, n, special) in enumerate(pieces):
-            start, at = self._open_from(pieces, k)
-            begun = before - sum(x[1] for x in pieces[at:k])
-            for end in range(1, len(piece) + 1):
-                out.append(before + 1 if special and end == len(piece) else begun + self._plain(start + piece[:end]))
-            before += n
-        return out
-
-    @staticmethod
-    def _open_from(pieces: list[tuple[str, int, bool]], k: int) -> tuple[str, int]:
-        """What a cut piece k may join with: the last piece before it that isn't white space, and all since."""
-        at = k
-        while at and not pieces[at - 1][2]:
-            at -= 1
-            if not pieces[at][0].isspace():
-                break
-        return "".join(x[0] for x in pieces[at:k]), at
-
     def _plain(self, text: str) -> int:
         return sum(self.prefixes(w)[-1] for w in self.pre_tokens(text))
 
+    def table(self, text: str) -> list[int]:
+        """Exact token counts of the prefixes of 0, 1, 2, ... characters of `text`, read from the stored ones."""
+        out, before = [0], 0
+        for _, tokens, counts in self._laid_out(text):
+            out += [before + n for n in counts[1:]]
+            before += tokens
+        return out
+
     def cut(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix of at most `budget` tokens that ends with a piece or inside the next one."""
-        pieces = list(self.pieces(text))
-        sums = list(accumulate((x[1] for x in pieces), initial=0))
-        k = bisect_right(sums, budget) - 1
-        length = sum(len(x[0]) for x in pieces[:k])
-        if k == len(pieces):
-            return length
-        start, at = self._open_from(pieces, k)
-        piece = pieces[k][0]
-        return length + max((e for e in range(len(piece)) if sums[at] + self._plain(start + piece[:e]) <= budget), default=0)
+        """Characters of the longest prefix of at most `budget` tokens, read from the stored counts up to there."""
+        length, before = 0, 0
+        for size, tokens, counts in self._laid_out(text):
+            if before + tokens > budget:
+                return length + max(k for k, n in enumerate(counts) if before + n <= budget)
+            length, before = length + size, before + tokens
+        return length
 
 
 def counter(path: str) -> PrefixCounter:
