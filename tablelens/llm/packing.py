@@ -4,6 +4,8 @@ Documents are taken in the order in which each Spark partition reads them, so no
 at the end of a document, after a sentence, or, where no sentence ends for long, at a fixed grid. The cost of a
 window is its padding and a penalty for the kind of its end; cost(i, j) = size - (P_j - P_i) + penalty_j, so the best
 start for each end is the least cost_i + P_i within the window's reach, which a monotone queue gives in constant time.
+The queue runs on over a partition's whole stream. Whatever comes later starts from an entry of the queue, so the cuts
+that all its entries have behind them are settled and are given out at once.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections import deque
 from collections.abc import Iterator
 from contextlib import suppress
 from functools import partial
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,9 @@ END = 0
 _END = struct.pack("<I", END)
 #: Penalties, in tokens of padding, for cutting a document after a sentence and inside one.
 SENTENCE_CUT, INNER_CUT = 1, 8
-#: Between ends of sentences that lie further apart than twice this, cuts are allowed at this spacing.
+#: From twice this after the end of a sentence or document on, cuts are allowed at this spacing.
 GRID = 8
-#: Tokens that are planned together; what is left of the last window goes on into the next plan.
+#: Tokens that are taken in before settled cuts are given out; it bounds memory and doesn't change the cuts.
 PLAN = 1 << 18
 ENDINGS = (".", "!", "?", "\n", '."', ".\n", "!\n", "?\n", ".)")
 
@@ -87,50 +90,90 @@ def chunk_ids(path: str) -> ChunkIds:
     return held("packing", path, lambda: ChunkIds(path))
 
 
-def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray) -> tuple[list[int], list[int]]:
-    """Allowed cuts in a stream of ids, from 0 to its length, and the penalty of each."""
+def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, since: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """Allowed cuts after some of `ids`, counted from their first, and the penalty of each.
+
+    doc_ends are the cuts at ends of documents. The last end of a document or sentence lies `since` ids before the
+    first; the same is given back for what follows.
+    """
     penalty = np.full(len(ids) + 1, -1, dtype=np.int64)  # -1: no cut here
     penalty[1:][sentence_end[ids]] = SENTENCE_CUT
-    penalty[doc_ends] = penalty[0] = penalty[-1] = 0
-    points = np.flatnonzero(penalty >= 0)
-    gaps = np.diff(points)
-    inner = np.where(gaps > 2 * GRID, (gaps - 1) // GRID, 0)
-    step = np.arange(inner.sum()) - np.repeat(np.cumsum(inner) - inner, inner) + 1
-    penalty[np.repeat(points[:-1], inner) + GRID * step] = INNER_CUT
+    penalty[doc_ends] = 0
+    place = np.arange(len(ids) + 1)
+    gap = place - np.maximum.accumulate(np.where(penalty >= 0, place, -since))
+    penalty[(penalty < 0) & (gap >= 2 * GRID) & (gap % GRID == 0)] = INNER_CUT
+    penalty[0] = -1
     points = np.flatnonzero(penalty >= 0)
-    return points.tolist(), penalty[points].tolist()
+    return points, penalty[points], int(gap[-1])
+
+
+class Cutter:
+    """Cuts of least padding plus penalties in a stream whose allowed cuts come in parts; no window is longer than WINDOW."""
+
+    def __init__(self):
+        self.points, self.value, self.back = [0], [0], [0]  # value: least cost up to a point, plus the point itself
+        self.queue = deque([0])
+
+    def extend(self, points: list[int], penalties: list[int]) -> None:
+        all_points, value, back, queue = self.points, self.value, self.back, self.queue
+        j = len(all_points)
+        all_points += points
+        for p, penalty in zip(points, penalties, strict=True):
+            while all_points[queue[0]] < p - WINDOW:
+                queue.popleft()
+            i = queue[0]
+            back.append(i)
+            v = value[i] + WINDOW + penalty
+            value.append(v)
+            while queue and value[queue[-1]] >= v:
+                queue.pop()
+            queue.append(j)
+            j += 1
+
+    def cuts(self, at: int) -> list[int]:
+        """The cuts that lead to point number `at`, the first one of the stream included."""
+        found = [self.points[at]]
+        while at:
+            at = self.back[at]
+            found.append(self.points[at])
+        return found[::-1]
+
+    def settled(self) -> int:
+        """The last point that lies on the way to every entry of the queue."""
+        heads = [-k for k in self.queue]
+        heapify(heads)
+        while True:
+            top = heappop(heads)
+            while heads and heads[0] == top:
+                heappop(heads)
+            if not heads:
+                return -top
+            heappush(heads, -self.back[-top])
+
+    def forget(self, at: int) -> None:
+        """What lies before point number `at` is given out; points count from there now."""
+        low = self.points[at]
+        self.points = [p - low for p in self.points[at:]]
+        self.value = [v - self.value[at] for v in self.value[at:]]
+        self.back = [max(0, b - at) for b in self.back[at:]]
+        self.queue = deque(k - at for k in self.queue)
 
 
 def best_cuts(points: list[int], penalties: list[int]) -> list[int]:
-    """The cuts, first and last point included, of least padding plus penalties; no window is longer than WINDOW."""
-    n = len(points)
-    value, back = [0] * n, [0] * n  # value: least cost up to a point, plus the point itself
-    queue = deque([0])
-    value[0] = points[0]
-    for j in range(1, n):
-        p = points[j]
-        while points[queue[0]] < p - WINDOW:
-            queue.popleft()
-        i = queue[0]
-        back[j] = i
-        v = value[j] = value[i] + WINDOW + penalties[j]
-        while queue and value[queue[-1]] >= v:
-            queue.pop()
-        queue.append(j)
-    cuts, j = [points[-1]], n - 1
-    while j:
-        j = back[j]
-        cuts.append(points[j])
-    return cuts[::-1]
+    """The cuts of a whole stream, first and last point included."""
+    cutter = Cutter()
+    cutter.extend(points[1:], penalties[1:])
+    return cutter.cuts(len(points) - 1)
 
 
 class Packer:
-    """Packs one partition's documents; holds one plan's tokens at a time."""
+    """Packs one partition's documents; holds the tokens that no settled cut has passed, and up to PLAN more."""
 
     def __init__(self, partition: int, sentence_end: np.ndarray):
         self.sentence_end, self.next_sequence = sentence_end, partition << 33
         self.docs: list[list] = []  # [doc_id, start of what is here, doc_tokens, ids]
-        self.held = 0
+        self.fresh = self.seen = self.since = 0  # tokens not yet planned, tokens held that are, and see cut_points
+        self.cutter = Cutter()
         self.rows: list[tuple] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -138,8 +181,8 @@ class Packer:
         for at in range(0, total, PLAN):
             part = ids[4 * at : 4 * (at + PLAN)]
             self.docs.append([doc_id, at, total, part])
-            self.held += len(part) // 4
-            if self.held >= PLAN:
+            self.fresh += len(part) // 4
+            if self.fresh >= PLAN:
                 self.plan(last=False)
 
     def plan(self, last: bool) -> None:
@@ -149,15 +192,18 @@ class Packer:
         ids, lengths = np.frombuffer(stream, dtype="<u4"), np.array([len(d[3]) // 4 for d in self.docs])
         edges = np.cumsum(lengths)
         doc_ends = edges[[d[1] + n == d[2] for d, n in zip(self.docs, lengths.tolist(), strict=True)]]
-        cuts = best_cuts(*cut_points(ids, doc_ends, self.sentence_end))
+        points, penalties, self.since = cut_points(ids[self.seen :], doc_ends[doc_ends > self.seen] - self.seen, self.sentence_end, self.since)
+        self.cutter.extend((points + self.seen).tolist(), penalties.tolist())
+        self.seen, self.fresh = len(ids), 0
+        at = len(self.cutter.points) - 1 if last else self.cutter.settled()
+        cuts = self.cutter.cuts(at)
         if last:  # the rest fills windows of powers of two, which need no padding
-            at, rest = cuts[-2], cuts[-1] - cuts[-2]
-            cuts[-1:] = np.cumsum([at] + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]).tolist()[1:]
-        elif len(cuts) > 2:
-            cuts.pop()
-        else:
-            return
-        self._emit(stream, edges.tolist(), cuts)
+            low, rest = cuts[-2], cuts[-1] - cuts[-2]
+            cuts[-1:] = np.cumsum([low] + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]).tolist()[1:]
+        if len(cuts) > 1:
+            self._emit(stream, edges.tolist(), cuts)
+            self.seen -= cuts[-1]
+            self.cutter.forget(at)
 
     def _emit(self, stream: bytes, edges: list[int], cuts: list[int]) -> None:
         k, begin = 0, 0
@@ -177,7 +223,6 @@ class Packer:
             self.docs = [[doc_id, start + done - begin, total, ids[4 * (done - begin) :]], *self.docs[k + 1 :]]
         else:
             self.docs = []
-        self.held = sum(len(d[3]) // 4 for d in self.docs)
 
 
 def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
@@ -203,9 +248,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its tokens and then id 0; null texts are empty and are that id alone. Rows that repeat an id are
-    packed again, each as a document of its own. Sequences of less than 1024 tokens are to be padded, but for those
+    packed again, each as a document of its own, and ids may be null. Sequences of less than 1024 tokens are to be padded, but for those
     whose length is a power of two: the rest of each partition is cut into such. Other columns are ignored, and an
-    empty table gives an empty table. The order of the input's rows is kept within each partition.
+    empty table gives an empty table. The order of the input's rows is kept within each partition, and cuts and
+    sequence ids follow the partitions in which the input is read: other partitions give other sequences.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body"))
     return rows.mapInArrow(partial(_pack, tokenizer=tokenizer), SCHEMA)
