@@ -6,14 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tablelens.llm.common import WORD, materialise, maybe_broadcast, text_or_empty
 
 #: Hexadecimal digits of the md5 that seed a document's draw: 52 bits, exact in a double.
 DRAW_DIGITS = 13
-#: Buckets of draws in which a source's sizes are summed.
-DRAW_BUCKETS = 4096
 
 
 def word_count(text_col: str = "text") -> Column:
@@ -63,59 +60,36 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), max_r
     return per.select("source", "source_size", F.when(over, cap.cast("double")).otherwise(F.lit(level) * F.col("weight")).alias("target"))
 
 
-def draw_limits(sizes: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
-    """`targets` with whole (copies that every document gets), last_bucket and last_draw: the draws that win one more.
-
-    A document wins if its draw lies below the fraction, up to the noise of the draws: the limit is the quantile of the
-    source's draws, weighted by sizes, at the fraction. So the words drawn come within about one document of the
-    target even where a few long documents hold most of a source. Sums by buckets of draws find the bucket that holds
-    the limit, and its own few draws find the limit; rows of equal draws, which share an id, win together.
-    """
+def with_rates(targets: DataFrame) -> DataFrame:
+    """Adds whole (copies that every document gets) and fraction (the probability of one more)."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rates = targets.withColumn("whole", F.floor(rate)).withColumn("goal", (rate - F.floor(rate)) * F.col("source_size"))
-    keyed = rates.withColumnRenamed("source", "__source")
-    same = F.col("source").eqNullSafe(F.col("__source"))
-    drawn = sizes.withColumn("u", draw("doc_id", seed)).withColumn("bucket", F.floor(F.col("u") * DRAW_BUCKETS))
-    sums = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
-    before = F.sum("held").over(Window.partitionBy("source").orderBy("bucket")) - F.col("held")  # at most DRAW_BUCKETS rows
-    sums = sums.withColumn("before", before).join(maybe_broadcast(keyed.select("__source", "goal")), same)
-    found = materialise(sums.filter("before <= goal AND goal < before + held").select("__source", "bucket", "before", "goal"), "buckets")
-    inner = drawn.withColumnRenamed("bucket", "own").join(maybe_broadcast(found), same & (F.col("own") == F.col("bucket")))
-    inner = inner.groupBy("__source", "u").agg(F.sum("size").alias("held"), F.first("before").alias("before"), F.first("goal").alias("goal"))
-    upto = F.col("before") + F.sum("held").over(Window.partitionBy("__source").orderBy("u")) - F.col("held") / 2
-    last = inner.withColumn("upto", upto).filter("upto <= goal").groupBy("__source").agg(F.max("u").alias("last_draw"))
-    limits = found.select(F.col("__source").alias("__s"), F.col("bucket").alias("last_bucket")).join(last, F.col("__s").eqNullSafe(F.col("__source")), "left").drop("__source")
-    return rates.join(limits, F.col("source").eqNullSafe(F.col("__s")), "left").select(*targets.columns, "whole", "last_bucket", "last_draw")
-
-
-def n_copies(id_col: str, seed: str, whole: str = "whole", last_bucket: str = "last_bucket", last_draw: str = "last_draw") -> Column:
-    """Copies of a document, beside its source's limits."""
-    u = draw(id_col, seed)
-    bucket = F.floor(u * DRAW_BUCKETS)
-    wins = (bucket < F.col(last_bucket)) | ((bucket == F.col(last_bucket)) & (u <= F.col(last_draw)))
-    return (F.col(whole) + F.coalesce(wins, F.lit(False)).cast("int")).cast("int")
+    return targets.withColumn("whole", F.floor(rate)).withColumn("fraction", rate - F.floor(rate))
+
+
+def n_copies(id_col: str, seed: str, whole: str = "whole", fraction: str = "fraction") -> Column:
+    """Copies of a document beside its source's rate: `whole`, and one more with probability `fraction`."""
+    return (F.col(whole) + (draw(id_col, seed) < F.col(fraction)).cast("int")).cast("int")
 
 
 def mix_report(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted).
 
-    Null texts and texts without words have size 0 and are never counted as taken. Null sources form one source. Rows
-    that repeat an id share its draw.
+    A document's copies are independent of all others', so a source's taken words have the target as their mean and
+    sqrt(sum(size^2) * fraction * (1 - fraction)) as their standard deviation. Null texts and texts without words have
+    size 0 and are never counted as taken. Null sources form one source. Rows that repeat an id share its draw.
     """
     sizes = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
     sizes = materialise(sizes, "sizes")
-    targets = materialise(source_targets(sizes, weights, max_repeats), "targets")
-    limits = materialise(draw_limits(sizes, targets, seed), "limits").withColumnRenamed("source", "__source")
-    out = sizes.join(maybe_broadcast(limits), F.col("source").eqNullSafe(F.col("__source")))
+    rates = materialise(with_rates(source_targets(sizes, weights, max_repeats)), "rates").withColumnRenamed("source", "__source")
+    out = sizes.join(maybe_broadcast(rates), F.col("source").eqNullSafe(F.col("__source")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * n_copies("doc_id", seed)).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix") -> DataFrame:
     """The mixed corpus: every document floor(rate) times plus its drawn copy, columns of `docs` unchanged."""
-    sizes = materialise(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size")), "sizes")
-    targets = materialise(source_targets(sizes, weights, max_repeats), "targets")
-    limits = materialise(draw_limits(sizes, targets, seed), "limits")
-    limits = limits.select(F.col("source").alias("__tl_source"), *[F.col(c).alias(f"__tl_{c}") for c in ("whole", "last_bucket", "last_draw")])
-    joined = docs.join(maybe_broadcast(limits), F.col("source").cast("string").eqNullSafe(F.col("__tl_source")))
-    n = n_copies("doc_id", seed, "__tl_whole", "__tl_last_bucket", "__tl_last_draw")
+    sizes = materialise(docs.select(F.col("source").cast("string").alias("source"), word_count().alias("size")), "sizes")
+    rates = materialise(with_rates(source_targets(sizes, weights, max_repeats)), "rates")
+    rates = rates.select(F.col("source").alias("__tl_source"), F.col("whole").alias("__tl_whole"), F.col("fraction").alias("__tl_fraction"))
+    joined = docs.join(maybe_broadcast(rates), F.col("source").cast("string").eqNullSafe(F.col("__tl_source")))
+    n = n_copies("doc_id", seed, "__tl_whole", "__tl_fraction")
     return joined.withColumn("__tl_copy", F.explode(F.array_repeat(F.lit(0), n))).select(*docs.columns)
