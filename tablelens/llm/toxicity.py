@@ -23,8 +23,6 @@ from tablelens.llm.common import held, materialise, maybe_broadcast
 
 #: The classifier is fitted on about so many labelled rows at most, drawn by a hash of the id.
 MAX_LABELLED = 16_000
-#: Entries of the lexicon at most, the most significant ones.
-MAX_TERMS = 2_000
 #: A term needs this share of toxic texts among those that hold it, this G-squared against chance, and so many toxic
 #: texts, less clean ones, that fewer than COVER better terms have found already (copies of a text teach many words).
 MIN_PRECISION, MIN_G2, MIN_TOXIC, COVER = 0.85, 25.0, 5, 3
@@ -36,7 +34,8 @@ STEM_EDITS = ((8, 1),)
 #: How often a misspelled form is expected for one correct form, by edits.
 MISSPELLED = {0: 1.0, 1: 0.02, 2: 0.005}
 CONTEXT = 6
-CACHE_ENTRIES = 400_000
+#: Chunks whose hits a process keeps, and the most characters of one: longer ones are looked through each time.
+CACHE_ENTRIES, MAX_KEPT = 400_000, 64
 STATES = 50_000
 #: Marks of quotation, and words that report speech or talk about words.
 QUOTES = "\"“”„«»‹›"
@@ -156,18 +155,21 @@ class Reader:
 
     def __init__(self, terms: tuple[Term, ...]):
         self.matcher = Matcher(terms)
-        self.known: dict[str, tuple[int, int] | None] = {}
+        self.known: dict[str, tuple[tuple[int, int], ...]] = {}
 
-    def _look(self, chunk: str) -> tuple[int, int] | None:
-        found = None
+    def _look(self, chunk: str) -> tuple[tuple[int, int], ...]:
+        """The terms that a chunk holds, each with its fewest edits."""
+        found: dict[int, int] = {}
         for word in _WORD.findall(chunk.lower()):
             hit = self.matcher.match(word)
-            if hit and (found is None or hit[1] < found[1]):
-                found = hit
-        if len(self.known) >= CACHE_ENTRIES:
-            self.known.clear()
-        self.known[chunk] = found
-        return found
+            if hit:
+                found[hit[0]] = min(hit[1], found.get(hit[0], hit[1]))
+        out = tuple(found.items())
+        if len(chunk) <= MAX_KEPT:
+            if len(self.known) >= CACHE_ENTRIES:
+                self.known.clear()
+            self.known[chunk] = out
+        return out
 
     def hits(self, text: str) -> list[tuple[int, int, str]]:
         """(term, edits, context) of every hit; context is quoted, reported, direct or plain."""
@@ -175,11 +177,12 @@ class Reader:
         found = []
         for at, chunk in enumerate(chunks):
             try:
-                hit = known[chunk]
+                hits = known[chunk]
             except KeyError:
-                hit = look(chunk)
-            if hit:
-                found.append((*hit, self._context(chunks, at)))
+                hits = look(chunk)
+            if hits:
+                context = self._context(chunks, at)
+                found += [(*hit, context) for hit in hits]
         return found
 
     @staticmethod
@@ -248,7 +251,7 @@ def learn_terms(train: DataFrame, n_toxic: int, n_clean: int) -> tuple[Term, ...
     part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(F.lit(0.0))
     scored = counts.withColumn("g2", 2 * (part(F.col("toxic"), rate) + part(F.col("clean"), 1 - rate)))
     picked = scored.filter((F.col("toxic") >= MIN_TOXIC) & (F.col("toxic") >= MIN_PRECISION * n) & (F.col("g2") >= MIN_G2))
-    rows = picked.orderBy(F.desc("g2"), "stem", "form").limit(MAX_TERMS).collect()  # at most MAX_TERMS rows
+    rows = picked.orderBy(F.desc("g2"), "stem", "form").collect()  # forms of the bounded sample's toxic texts
     words = {r["form"]: r for r in rows if not r["stem"]}
     kept: dict[str, Term] = {}
     for r in sorted((r for r in rows if r["stem"]), key=lambda r: (len(r["form"]), r["form"])):
