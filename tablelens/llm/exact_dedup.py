@@ -66,11 +66,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _differing(rows: DataFrame, multi: DataFrame, few: bool) -> DataFrame:
     """Rows whose bytes differ from those of their group's kept row."""
     salted = multi.withColumn("salts", F.ceil(F.col("group_size") / ROWS_PER_SALT).cast("int"))
-    hashed = rows.withColumn("h", F.unhex(F.md5("body")))
+    hashed = rows.withColumns({"h": F.unhex(F.md5("body")), "row": F.monotonically_increasing_id()})
     members = hashed.join((F.broadcast if few else (lambda df: df))(salted), "h")
     keepers = members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h", "salts").agg(F.first("body").alias("keep_body"))
     keepers = keepers.select("h", "keep_body", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    members = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    members = members.withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
     return members.join(keepers, ["h", "salt"]).filter(F.col("body") != F.col("keep_body")).select("doc_id", "h")
 
 
