@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
@@ -31,28 +32,50 @@ def held(owner: str, key: object, build: Callable[[], T]) -> T:
     return _held["made"]
 
 
+#: The folder of this process's tables, below the shared one.
+RUN = uuid.uuid4().hex
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is named (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The shared folder that the cluster names. Only a local session, whose driver and executors are one process, may
+    do without; elsewhere a folder of our own would be another one on each machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return "/tmp/checkpoints"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write `df` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    A result that is returned may read such tables when it is used, so they stay until `discard`, or `release` for all
+    that this process has written.
+    """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/tablelens/{uuid.uuid4().hex}/{label}"
+    path = f"{scratch_dir(spark)}/tablelens/{RUN}/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tablelens_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that `materialise` wrote and that nothing reads any more."""
     path = getattr(df, "_tablelens_path", None)
     if path:
-        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(session.sessionState().newHadoopConf()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this process has written: to be called when the results of the operators have been read."""
+    _delete(spark, f"{scratch_dir(spark)}/tablelens/{RUN}")
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
