@@ -42,7 +42,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as files: a source's languages are its directories."""
     docs = read_documents(spark, sf_dir)
-    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    none = F.lit("unknown")  # concat_ws would leave out what is null and move the document up
+    path = F.concat_ws("/", F.coalesce("source", none), F.coalesce("lang", none), F.coalesce(F.col("doc_id").cast("string"), none))
     return licences.licence_scan(docs.select("doc_id", "text", path.alias("path")))
 
 
@@ -129,11 +130,7 @@ ORACLE_SQL: dict[str, str] = {
         r AS (
             SELECT doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
                    ('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u
-            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-        x AS (
-            SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u) - size / 2 <= (rate - floor(rate)) * source_size
-                      AND rate > floor(rate) AS wins
-            FROM r)
-        SELECT doc_id, size, source_size, target, (size * (floor(rate) + wins::INT))::BIGINT AS taken
-        FROM x""",
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken
+        FROM r""",
 }
