@@ -116,18 +116,26 @@ class Cutter:
 
     def extend(self, points: list[int], penalties: list[int]) -> None:
         all_points, value, back, queue = self.points, self.value, self.back, self.queue
-        j = len(all_points)
+        keep, keep_back, put, pop = value.append, back.append, queue.append, queue.pop
+        j, head, tail = len(all_points), queue[0], value[queue[-1]]
+        head_point, head_value = all_points[head], value[head]
         all_points += points
         for p, penalty in zip(points, penalties, strict=True):
-            while all_points[queue[0]] < p - WINDOW:
+            while head_point < p - WINDOW:
                 queue.popleft()
-            i = queue[0]
-            back.append(i)
-            v = value[i] + WINDOW + penalty
-            value.append(v)
-            while queue and value[queue[-1]] >= v:
-                queue.pop()
-            queue.append(j)
+                head = queue[0]
+                head_point, head_value = all_points[head], value[head]
+            keep_back(head)
+            v = head_value + WINDOW + penalty
+            keep(v)
+            while tail >= v:
+                pop()
+                if not queue:
+                    head, head_point, head_value = j, p, v
+                    break
+                tail = value[queue[-1]]
+            put(j)
+            tail = v
             j += 1
 
     def cuts(self, at: int) -> list[int]:
