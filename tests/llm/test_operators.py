@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 pytest.importorskip("tablelens.llm")
 from tablelens.llm import exact_dedup, licences, line_dedup, mixing, packing, quality, simhash, substring, tokens, toxicity  # noqa: E402
@@ -92,6 +93,35 @@ def test_prefix_counts_are_exact(text):
     assert c.table(text) == want and c.count(text) == want[-1]
 
 
+def test_cut_reads_what_count_has_stored(spark):
+    c = tokens.PrefixCounter(tokens.tokenizer_path())
+    text = " ".join(f"{w}{k % 7}" for k, w in enumerate(WORDS * 9))
+    total = c.count(text)
+
+    class Gone:
+        def __getattr__(self, name):
+            raise AssertionError("a tokenizer is asked again")
+
+    want = c.by_character(text)
+    first = c.by_character(text.split(" ")[0])
+    c.tokenizer, c.by_character, c.prefixes = Gone(), {text.split(" ")[0]: first}.__getitem__, None
+    for budget in (0, 1, 50, total - 1):
+        assert c.cut(text, budget) == max(k for k, n in enumerate(want) if n <= budget)
+    rows = [(1, text, "s"), (1, text, "s"), (None, text, "s"), (None, None, "s")]
+    found = tokens.count_tokens(frame(spark, rows), budget=50).collect()
+    assert sorted(r["n_tokens"] for r in found) == [0, total, total, total] and {r["cut_chars"] for r in found if r["n_tokens"]} == {max(k for k, n in enumerate(want) if n <= 50)}
+
+
+def test_random_texts_have_exact_prefix_counts():
+    c, rng = tokens.counter(tokens.tokenizer_path()), random.Random(1)
+    parts = ["a", "the", " ", "  ", "\n", "'re", "'", "'ve", "!", "日", "é", "22", "\t", "<|endoftext|>", ".\n", "\u00a0", "Z's"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+        want = [len(c.tokenizer.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        assert c.table(text) == want and c.count(text) == want[-1]
+        assert want[-1] <= 5 or c.cut(text, 5) == max(k for k, n in enumerate(want) if n <= 5)
+
+
 def test_long_texts_are_cut_safely(monkeypatch):
     monkeypatch.setattr(tokens, "SLICE", 40)
     c = tokens.counter(tokens.tokenizer_path())
@@ -284,19 +314,37 @@ def test_cuts_are_the_best_ones():
         assert sum(packing.WINDOW - (b - a) + penalties[place[b]] for a, b in zip(cuts, cuts[1:], strict=False)) == cost[len(points) - 1]
 
 
-def test_long_document_spans_plans(monkeypatch):
-    monkeypatch.setattr(packing, "PLAN", 3000)
-    ids = np.arange(1, 20_001, dtype="<u4") % 500
-    packer = packing.Packer(1, np.zeros(500, dtype=bool))
-    packer.add(1, ids.tobytes())
-    packer.add(2, ids[:700].tobytes())
+@pytest.mark.parametrize("plan", [300, 3_000, 1 << 18])
+def test_plans_of_any_size_give_the_same_cuts(monkeypatch, plan):
+    monkeypatch.setattr(packing, "PLAN", plan)
+    rng = np.random.default_rng(5)
+    ends = np.zeros(500, dtype=bool)
+    ends[:20] = True
+    docs = [(k, rng.integers(1, 500, n).astype("<u4")) for k, n in enumerate([20_000, 700, 1, 5, 1_023, 1_024, 9_000, 40, 40, 40, 3_000])] + [(11, np.full(5_000, 300, "<u4"))]
+    packer = packing.Packer(1, ends)
+    for doc, ids in docs:
+        packer.add(doc, ids.tobytes())
     packer.plan(last=True)
-    for doc, n in ((1, 20_000), (2, 700)):
+    stream, doc_ends = np.concatenate([ids for _, ids in docs]), np.cumsum([len(ids) for _, ids in docs])
+    points, penalties, _ = packing.cut_points(stream, doc_ends, ends)
+    want = packing.best_cuts([0, *points.tolist()], [0, *penalties.tolist()])
+    lengths = Counter()
+    for r in packer.rows:
+        lengths[r[5]] += r[2]
+    found = np.cumsum([lengths[k] for k in sorted(lengths)]).tolist()
+    assert found[: len(want) - 2] == want[1:-1] and found[-1] == want[-1]
+    for doc, ids in docs:
         own = sorted(r[1:4] for r in packer.rows if r[0] == doc)
-        assert [s for s, _, _ in own] == np.cumsum([0, *[n for _, n, _ in own[:-1]]]).tolist() and sum(x[1] for x in own) == n
+        assert [s for s, _, _ in own] == np.cumsum([0, *[n for _, n, _ in own[:-1]]]).tolist() and sum(x[1] for x in own) == len(ids)
         assert all(c == zlib.crc32(ids[s : s + k].tobytes()) for s, k, c in own)
 
 
+def test_packing_of_repeated_and_null_ids(spark):
+    rows = [(1, "one text here", "s"), (1, "one text here", "s"), (None, "no id", "s"), (None, None, "s")]
+    pieces = packing.pack(frame(spark, rows)).collect()
+    assert Counter((p["doc_id"], p["doc_tokens"]) for p in pieces if p["start"] == 0) == {(1, 4): 2, (None, 3): 1, (None, 1): 1}
+
+
 # 9
 
 
@@ -358,6 +406,22 @@ def test_toxicity(spark, empty):
     assert {r["predicted"] for r in toxicity.toxicity(frame(spark, extra), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()} == {0}
 
 
+def test_contexts_are_learned_from_labels(spark):
+    """Clean texts that quote a toxic term teach that quotation speaks against abuse."""
+    rng, rows, labels = random.Random(7), [], []
+    for i in range(1_200):
+        words, toxic, quoted = [rng.choice(WORDS) for _ in range(30)], i % 6 == 0, i % 42 == 1
+        if toxic or quoted:
+            words[12] = '"dunderwit"' if quoted else "dunderwit"
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, 1, int(toxic)))
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels)
+    assert model.contexts["quoted"] < -2.5  # below what is believed without labels
+    score = {r["doc_id"]: r["score"] for r in toxicity.toxicity(frame(spark, rows), labels).collect()}
+    assert min(score[i] for i in range(0, 1_200, 6)) > 0.5 > max(score[i] for i in range(1, 1_200, 42))
+
+
 def test_misspelled_inflected_terms(spark):
     rows, labels = labelled(n=2_000)
     rows = [(i, re.sub("grumblefish|snotgoblin|dunderwit", "the", t), s) for i, t, s in rows]  # inflected terms alone
@@ -397,6 +461,7 @@ def test_automaton_is_edit_distance():
 def test_stems_and_context():
     find = toxicity.Reader((toxicity.Term("blurk", True, 5, 0), toxicity.Term("dunderwit", False, 5, 0)))
     assert [h[:2] for h in find.hits("such BLURKosity, dunderwitt blurk blur")] == [(0, 0), (1, 1), (0, 0)]
+    assert sorted(h[:2] for h in find.hits("dunderwit,blurkosity/dunderwot;plain" + "x" * 80)) == [(0, 0), (1, 0)]
     assert find.hits('he said "dunderwit" twice')[0][2] == "quoted"
     assert find.hits("she called him dunderwit then")[0][2] == "reported"
     assert find.hits("you are a dunderwit")[0][2] == "direct"
@@ -409,70 +474,65 @@ def test_line_groups(spark, empty):
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega " * 3
     near = base.replace("kappa", "kapa", 1)
     far = " ".join(reversed(base.split()))
-    rows = [(1, f"{base}\nshort line\n\nother words stand here on their own", "s"), (2, f"{near}\nSHORT, line!\n{far}", "s"), (3, None, "s"), (4, "", "s"), (5, "short line", None)]
-    found = {(r["doc_id"], r["line_no"], r["unit_no"]): r for r in line_dedup.line_groups(clashing(frame(spark, rows))).collect()}
-    assert found[1, 0, 0]["kept"] and found[1, 1, 0]["kept"] and found[1, 3, 0]["kept"]
-    assert not found[2, 1, 0]["kept"] and found[2, 1, 0]["keep_doc_id"] == 1 and not found[5, 0, 0]["kept"]
-    assert not found[2, 0, 0]["kept"] and found[2, 0, 0]["keep_doc_id"] == 1
-    assert found[2, 2, 0]["kept"]  # the same words in another order are another line
-    assert {k[0] for k in found} == {1, 2, 5}
+    rows = [(1, f"{base}\nshort line\n\nother words stand here on their own", "s"), (2, f"{near}\nSHORT, line!\n{far}", "s"), (3, None, "s"), (4, "", "s"), (5, "short line", None), (5, "short line", None), (5, "another text of this id", None), (None, "short line", "s"), (None, "no id but words of its own", "s")]
+    found = {(r["doc_id"], r["line_no"], r["n_words"]): r for r in line_dedup.line_groups(clashing(frame(spark, rows))).collect()}
+    assert found[1, 0, 72]["kept"] and found[1, 1, 2]["kept"] and found[1, 3, 7]["kept"] and found[5, 0, 5]["kept"] and found[None, 0, 7]["kept"]
+    for key in ((2, 1, 2), (5, 0, 2), (None, 0, 2), (2, 0, 72)):
+        assert not found[key]["kept"] and found[key]["keep_doc_id"] == 1, key
+    assert found[2, 2, 72]["kept"]  # the same words in another order are another line
+    assert line_dedup.line_groups(clashing(frame(spark, rows))).count() == 11
     assert line_dedup.line_groups(empty).count() == 0
-    left = {r["doc_id"]: r["text"] for r in line_dedup.remove_lines(frame(spark, rows)).collect()}
-    assert left[2] == far and left[3] is None and left[5] == "" and left[1] == rows[0][1]
+    left = [(r["doc_id"], r["text"]) for r in line_dedup.remove_lines(clashing(frame(spark, rows))).collect()]
+    assert len(left) == len(rows) and (2, far) in left and (3, None) in left and (5, "") in left and (1, rows[0][1]) in left and (None, "short line") in left
 
 
-def test_line_simhash_and_blocks(spark):
+def test_line_simhash(spark):
     words = [f"w{k}" for k in range(100)]
-    table = spark.createDataFrame([(1, words), (1, words), (2, words[:3])], "k int, words array<string>")
-    found = line_dedup.simhashed(table, "k").orderBy("k").collect()
-    assert [r["n_words"] for r in found] == [100, 100, 3]
-    got = found[0]["sh"] % 2**64
+    table = spark.createDataFrame([(1, words), (2, words[:3]), (3, ["x"] * 70_000 + ["y"] * 69_999)], "node long, tok array<string>")
+    found = line_dedup.sketched(table).orderBy("node").collect()
+    assert [r["n"] for r in found] == [100, 3, 139_999]
     h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words]
-    assert got == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > 100)
-    rng = random.Random(1)
-    for blocks in (5, 6, 8):
-        masks = line_dedup.block_masks(blocks)
-        for _ in range(50):
-            a = rng.getrandbits(64)
-            b = a ^ sum(1 << k for k in rng.sample(range(64), 3))
-            assert any(a & m == b & m for m in masks)
+    assert found[0]["sh"] % 2**64 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > 100)
+    assert found[2]["sh"] % 2**64 == xxhash.xxh64(b"x", seed=42).intdigest()
+    sets = sum((found[0][f"w{k}"] % 2**64) << (64 * k) for k in range(8))
+    assert sets == sum(1 << b for b in {64 * (x >> 6 & 7) + (x & 63) for x in h})
 
 
-def test_middles_keep_the_distance(spark):
-    rng = random.Random(6)
-    pairs = []
-    for _ in range(200):
-        a = [rng.choice(["ab", "abc", "b", "ccc"]) for _ in range(rng.randint(1, 9))]
-        b = list(a)
-        for _ in range(rng.randint(0, 3)):
-            k = rng.randrange(len(b))
-            b[k : k + 1] = rng.choice([[], ["ab"], [b[k], "xy"]]) or (["q"] if len(b) == 1 else [])
-        pairs.append((" ".join(a), " ".join(b)))
-    found = line_dedup._middles(spark.createDataFrame(pairs, "left string, right string")).collect()
-    assert all(distance(r["left_middle"], r["right_middle"]) == distance(r["left"], r["right"]) for r in found)
-
-
-def test_line_groups_match_all_pairs(spark):
-    """Every pair within reach of SimHash and edit distance is tied, by whatever way."""
+@pytest.mark.parametrize("tile", [3, 2_000])
+def test_line_groups_beside_all_pairs(spark, monkeypatch, tile):
+    """Of all pairs of edit similarity 0.8 at least nine in ten are tied, at any length of lines, and no others."""
+    monkeypatch.setattr(line_dedup, "TILE", tile)
     rng = random.Random(8)
-    base = [rng.choice(WORDS) + str(k) for k in range(60)]
-    lines = []
-    for k in range(40):
-        words = list(base)
-        for _ in range(rng.randint(0, 3)):
-            words[rng.randrange(60)] = rng.choice(WORDS)
-        lines.append(" ".join(words))
+    word = lambda: rng.choice(WORDS) + rng.choice(["", "", rng.choice(WORDS), str(rng.randrange(99))])
+    passage = [word() for _ in range(14)]  # many unlike lines share it
+    lines = [" ".join([*(word() for _ in range(9)), *passage, *(word() for _ in range(9))]) for _ in range(12)]
+    for size in (1, 2, 3, 4, 6, 9, 12, 13, 20, 30, 60, 140):
+        for _ in range(3):
+            base = [word() for _ in range(size)] if size > 2 else ["".join(rng.choice("abcdefghij") for _ in range(12)) for _ in range(size)]
+            lines.append(" ".join(base))
+            for _ in range(2):
+                words = list(base)
+                for _ in range(rng.randint(1, max(1, size // 15))):
+                    k = rng.randrange(len(words))
+                    how = rng.random()
+                    if size < 3 or how < 0.3:
+                        at = rng.randrange(len(words[k]))
+                        words[k] = words[k][:at] + rng.choice("xyz") + words[k][at + 1 :]
+                    elif how < 0.7:
+                        words[k] = word()
+                    elif how < 0.85:
+                        words.insert(k, word())
+                    elif len(words) > 1:
+                        del words[k]
+                lines.append(" ".join(words))
     rows = [(k, line, "s") for k, line in enumerate(lines)]
-
-    def sh(line):
-        h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in line.split()]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-    hashes = [sh(x) for x in lines]
-    pairs = [(a, b) for a in range(40) for b in range(a + 1, 40) if (hashes[a] ^ hashes[b]).bit_count() <= 3 and distance(lines[a], lines[b]) <= 0.2 * max(len(lines[a]), len(lines[b]))]
-    want = plain_components(pairs, list(range(40)))
+    alike = lambda a, b: min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and distance(a, b) <= int(round(0.2 * max(len(a), len(b)), 6))
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if alike(lines[a], lines[b])]
+    want = plain_components(pairs, list(range(len(lines))))
     found = {r["doc_id"]: r["keep_doc_id"] for r in line_dedup.line_groups(frame(spark, rows)).collect()}
-    assert found == want
+    assert all(want[a] == want[b] for a, b in found.items())
+    near = [(a, b) for a, b in pairs if want[a] == want[b]]
+    assert len(near) > 60 and sum(found[a] == found[b] for a, b in near) >= 0.9 * len(near)
 
 
 # 6
@@ -506,28 +566,31 @@ def test_passages_inside_sentences(spark, size, marks):
         assert rows[k][1][r["start"] : r["end"]] == passage and r["n_words"] == size and r["keep_doc_id"] == 0
 
 
-def test_repeated_passages_match_all_windows(spark):
+@pytest.mark.parametrize("within", [False, True])
+def test_repeated_passages_match_all_windows(spark, within):
     rng = random.Random(6)
-    rows = [(k, " ".join(rng.choice("ab") for _ in range(rng.randint(5, 60))), "s") for k in range(60)] + [(90, "a " * 60, "s"), (None, "b a " * 20, "s")]
+    rows = [(k, " ".join(rng.choice("ab") for _ in range(rng.randint(5, 60))), "s") for k in range(60)] + [(90, "a " * 60, "s"), (91, "c d " * 30, "s"), (92, "c d " * 30, "s"), (93, "e e " * 30, "s"), (None, "b a " * 20, "s")]
     seen, gone = {}, {}
     for k, text, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         words = text.split()
         for p in range(len(words) - 7):
             where = seen.setdefault(tuple(words[p : p + 8]), (k, p))
-            if where[0] != k or p - where[1] >= 8:
+            if where[0] != k or within and p - where[1] >= 8:
                 gone.setdefault(k, set()).update(range(p, p + 8))
-    found = {}
-    for r in substring.repeated_spans(frame(spark, rows), min_words=8).collect():
+    found, scopes = {}, set()
+    for r in substring.repeated_spans(frame(spark, rows), min_words=8, within=within).collect():
         found.setdefault(r["doc_id"], set()).update(range(r["start"] // 2, r["end"] // 2 + 1))
+        scopes.add(r["scope"])
     assert found == gone
+    assert scopes == ({"document", "passage", "within"} if within else {"document", "passage"})
 
 
-def test_units_cover_long_lines():
-    text = " ".join(f"w{k}" for k in range(100)) + ". Next one!\n\nLast"
-    units = list(substring.text_units(text))
-    assert [n for _, _, n, _ in units] == [32, 32, 32, 4, 2, 1]
-    assert " ".join(u for *_, u in units).split() == re.findall(r"\w+", text.lower())
-    assert units[0][0] == 0 and all(a[1] == b[0] or text[a[1] : b[0]].strip() == "" for a, b in zip(units, units[1:], strict=False))
+def test_long_texts_and_copies(spark):
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30_000))
+    rows = [(1, long, "s"), (2, "start " + long, "s"), (3, long, "s"), (3, long, "s"), (4, "x" * 200_000, "s"), (5, "x" * 200_000, "s"), (6, "few words", "s"), (7, "few words", "s")]
+    found = sorted((r["doc_id"], r["scope"], r["n_words"], r["keep_doc_id"]) for r in substring.repeated_spans(frame(spark, rows)).collect())
+    assert found == [(2, "passage", 30_000, 1), (3, "document", 30_000, 1), (3, "document", 30_000, 1)]
 
 
 # 8
@@ -560,9 +623,40 @@ def test_every_template_as_a_file(spark):
         for j, text in enumerate([notice, f"{half[0]}\n{half[1]}", f"{plain}\n\n# {half[0]}\n# {half[1]}:\n\n{plain}", f"/* Copyright. All rights reserved.\n * {half[0]}\n * {half[1]}.\n */\n{plain}"]):
             rows.append((10 * k + j, f"d{k}/{j}/x.py", text))
             expected[10 * k + j] = name
-    rows.append((9_000, "plain/x.py", plain))
+    for k, (name, text) in enumerate(licences.FILE_TEMPLATES):
+        rows += [(5_000 + 10 * k, f"f{k}/LICENSE", f"Copyright (c) 2020 Some One\n\n{text}"), (5_001 + 10 * k, f"f{k}/deep/er/x.py", plain)]
+        expected[5_000 + 10 * k] = name
+    rows += [(9_000, "plain/x.py", plain), (9_001, None, plain), (9_002, "ties/LICENSE", licences.TEMPLATES[0][1]), (9_002, "ties/LICENSE", licences.TEMPLATES[0][1]), (9_003, "ties/x", "word " * 50_000)]
     found = {r["doc_id"]: (r["licence"], r["origin"]) for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
-    assert found == {k: (name, "own") for k, name in expected.items()} | {9_000: (None, None)}
+    inherited = {5_001 + 10 * k: (name, f"f{k}") for k, (name, _) in enumerate(licences.FILE_TEMPLATES)}
+    assert found == {k: (name, "own") for k, name in expected.items()} | inherited | {9_000: (None, None), 9_001: (None, None), 9_002: ("Apache-2.0", "own"), 9_003: ("Apache-2.0", "ties")}
+
+
+def test_scores_are_tf_idf_cosines(spark):
+    """Against dense vectors in numpy."""
+    rng = random.Random(4)
+    pool = sorted({w for _, t in licences.TEMPLATES[:8] for w in re.findall(licences.TERM, t.lower())}) + ["other", "plain", "words"]
+    units = [(k, k % 7 == 0, k % 3, [rng.choice(pool) for _ in range(rng.randint(2, 14))]) for k in range(60)] + [(90 + k, False, 1, re.findall(licences.TERM, t.lower())) for k, (_, t) in enumerate(licences.TEMPLATES)]
+    found = {r["unit"]: (r["licence"], r["score"]) for r in licences.matched_units(spark.createDataFrame(units, "unit long, whole boolean, n long, terms array<string>")).collect()}
+    total, df = sum(n for _, _, n, _ in units), Counter()
+    for _, _, n, terms in units:
+        df.update({t: n for t in set(terms)})
+    present = {t for *_, terms in units for t in terms}
+    idf = lambda t: np.log((1 + total) / (1 + df[t])) + 1 if t in present else np.log(1 + total) + 1
+    vector = lambda terms: {t: c * idf(t) for t, c in Counter(terms).items()}
+    length = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    want = {}
+    for unit, whole, _, terms in units:
+        v, scores = vector(terms), []
+        for k, (name, text) in enumerate([*licences.TEMPLATES, *licences.FILE_TEMPLATES]):
+            t = vector(re.findall(licences.TERM, text.lower()))
+            score = round(sum(v[x] * t[x] for x in v if x in t) / (length(v) * length(t)), 6)
+            if (k >= len(licences.TEMPLATES)) == whole and len(set(v) & set(t)) >= licences.MIN_SHARED and score >= (licences.MIN_FILE_COSINE if whole else licences.MIN_COSINE):
+                scores.append((-score, k, name))
+        if scores:
+            want[unit] = (min(scores)[2], -min(scores)[0])
+    assert set(found) == set(want) and len(want) > 20
+    assert all(found[u][0] == want[u][0] and abs(found[u][1] - want[u][1]) < 2e-6 for u in want)
 
 
 # Pipeline
