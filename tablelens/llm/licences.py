@@ -1,7 +1,8 @@
 """License scans: TF-IDF cosine of licence headers and files to templates, and inheritance along directories.
 
-Sentences that hold a telling term of some template are vectors of terms, weighted by how rare a term is among all such sentences of the
-corpus. Each distinct sentence is compared once, however many documents hold it. A file without a licence of its own
+Whole files, paragraphs, lines and sentences that hold a telling term of some template are vectors of terms, weighted by
+how rare a term is among all such sentences of the corpus. Whole files are compared with the texts of licences, the rest
+with notices. Each distinct unit is compared once, however many documents hold it. A file without a licence of its own
 takes that of the nearest directory above it which has a licence file, found by joins on paths.
 """
 
@@ -11,11 +12,12 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tablelens.llm.common import materialise, maybe_broadcast, text_or_empty
 
 MIN_COSINE = 0.6
+#: The same for whole files and texts of licences.
+MIN_FILE_COSINE = 0.8
 #: Terms that a sentence and a template must share at least.
 MIN_SHARED = 2
 #: A file is a licence file by its name, or if licence sentences hold this share of its words.
@@ -23,6 +25,8 @@ LICENCE_FILE_NAME = r"(?i)^(un)?licen[cs]e|^copying|^notice|^copyright"
 LICENCE_FILE_SHARE = 0.5
 #: Lines of a wrapped notice that are joined at most, besides whole paragraphs.
 WRAPPED_LINES = 4
+#: Files with a telling term that one task cuts up.
+FILES = 400
 #: What a line of a comment begins with.
 COMMENT = r"^\s*(?:(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--)\s*)?"
 #: Words of templates that texts hold anyway ("mit" is German); all other terms of templates are telling.
@@ -54,61 +58,92 @@ TEMPLATES = (
 )
 
 
+#: The texts of short licences, as a licence file holds them after its copyright line.
+FILE_TEMPLATES = (
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""),
+)
+
+
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 #: A sentence is compared if it matches this: words about licences, or a telling term of a template.
 MARKERS = r"(?i)licen[cs]|copyright|spdx|copyleft|public domain|\bCC[ -](BY|0|ZERO)|\b(" + "|".join(sorted({t for _, notice in TEMPLATES for t in re.findall(TERM, notice.lower()) if t not in COMMON and re.search("[a-z]{2}", t)})) + r")\b"
 
 
 def terms(sentence: Column) -> Column:
-    return F.regexp_extract_all(F.lower(sentence), F.lit(TERM), F.lit(0))
+    return F.regexp_extract_all(F.lower(sentence), F.lit(TERM.replace("a-z0-9", r"\p{L}\p{N}")), F.lit(0))
 
 
 def stripped_lines(body: Column) -> Column:
     return F.transform(F.split(body, "\n"), lambda x: F.trim(F.regexp_replace(x, COMMENT, "")))
 
 
-def sentences(lines: Column) -> Column:
-    """(lines, sentence) of the sentences of a text's stripped lines that may name a licence; a sentence ends after . ! or ? and a space.
+def sentences(lines: Column, marked: Column) -> Column:
+    """(lines, sentence) of the units of a text's stripped lines that may name a licence.
 
-    Lines are cut one by one (1), then 2 to WRAPPED_LINES lines in a row joined, then whole paragraphs (0), so that a
-    notice is found however it is wrapped. Marks of comments before lines don't count.
+    The whole text is one unit (-1), a paragraph is cut into sentences (0), and so are lines one by one (1) and 2 to
+    WRAPPED_LINES lines in a row joined, so that a notice is found however it is wrapped. A sentence ends after . ! or ?
+    and a space. Marks of comments before lines don't count. `marked` says which lines match MARKERS: a joined line has
+    a term only if one of its lines has it.
     """
     cut = lambda n, parts: F.transform(F.filter(F.flatten(F.transform(parts, lambda x: F.split(x, r"(?<=[.!?])[ \t]+"))), lambda s: s.rlike(MARKERS)), lambda s: F.struct(F.lit(n).alias("lines"), F.trim(s).alias("sentence")))
-    found = [cut(1, lines), cut(0, F.transform(F.split(F.array_join(lines, "\n"), "\n{2,}"), lambda x: F.translate(x, "\n", " ")))]
-    for n in range(2, WRAPPED_LINES + 1):
+    whole = F.array(F.struct(F.lit(-1).alias("lines"), F.array_join(lines, " ").alias("sentence")))
+    paragraphs = F.filter(F.split(F.array_join(lines, "\n"), "\n{2,}"), lambda x: x.rlike(MARKERS))
+    found = [whole, cut(0, F.transform(paragraphs, lambda x: F.translate(x, "\n", " ")))]
+    for n in range(1, WRAPPED_LINES + 1):
         starts = F.when(F.size(lines) >= n, F.sequence(F.lit(1), F.greatest(F.size(lines) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(starts, lambda k, n=n: F.exists(F.slice(marked, k, F.lit(n)), lambda m: m))
         rows = F.filter(F.transform(starts, lambda k, n=n: F.slice(lines, k, F.lit(n))), lambda x: F.forall(x, lambda line: line != ""))
         found.append(cut(n, F.transform(rows, lambda x: F.array_join(x, " "))))
     return F.concat(*found)
 
 
 def template_terms(spark: SparkSession) -> DataFrame:
-    rows = [(k, name, text) for k, (name, text) in enumerate(TEMPLATES)]
-    return spark.createDataFrame(rows, "template int, licence string, notice string").select("template", "licence", F.explode(terms(F.col("notice"))).alias("term"))
+    rows = [(k, name, text, k >= len(TEMPLATES)) for k, (name, text) in enumerate([*TEMPLATES, *FILE_TEMPLATES])]
+    return spark.createDataFrame(rows, "template int, licence string, notice string, whole boolean").select("template", "licence", "whole", F.explode(terms(F.col("notice"))).alias("term"))
 
 
-def matched_sentences(found: DataFrame) -> DataFrame:
-    """(sentence, licence, score): the best template of each distinct sentence in `found` (sentence, n).
+def matched_units(found: DataFrame) -> DataFrame:
+    """(unit, licence, score): the best template of each distinct unit in `found` (unit, whole, n, terms).
 
-    n is how often it stands in single lines; sentences of joined lines have 0 and don't count for rareness again.
+    n is how often it stands in single lines; whole files and joined lines
+    have 0 and don't count for rareness again.
     """
     spark = found.sparkSession
-    words = materialise(found.select("sentence", "n", F.explode(terms(F.col("sentence"))).alias("term")).groupBy("sentence", "n", "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
+    words = found.select("unit", "whole", "n", F.explode("terms").alias("term")).groupBy("unit", "whole", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = materialise(words, "terms")
     total = found.agg(F.sum("n")).first()[0] or 0
-    idf = words.groupBy("term").agg(F.log((1.0 + total) / (1.0 + F.sum("n"))).alias("idf"))
-    idf = idf.select("term", (F.col("idf") + 1.0).alias("idf"))
-    own = template_terms(spark).groupBy("template", "licence", "term").agg(F.count(F.lit(1)).alias("t_tf"))
-    own = own.join(maybe_broadcast(materialise(idf, "idf")), "term", "left")
-    own = own.withColumn("t_w", F.col("t_tf") * F.coalesce("idf", F.lit(1.0) + F.log(F.lit(1.0 + total)))).drop("idf", "t_tf")
+    rare = F.lit(1.0) + F.log(F.lit(1.0 + total))  # of terms that no single line holds
+    idf = words.filter("n > 0").groupBy("term").agg(F.log((1.0 + total) / (1.0 + F.sum("n"))).alias("idf"))
+    idf = materialise(idf.select("term", (F.col("idf") + 1.0).alias("idf")), "idf")
+    own = template_terms(spark).groupBy("template", "licence", "whole", "term").agg(F.count(F.lit(1)).alias("t_tf"))
+    own = own.join(maybe_broadcast(idf), "term", "left")
+    own = own.withColumn("t_w", F.col("t_tf") * F.coalesce("idf", rare)).drop("idf", "t_tf")
     norm = own.groupBy("template").agg(F.sqrt(F.sum(F.col("t_w") ** 2)).alias("t_norm"))
-    own = F.broadcast(own.join(norm, "template"))  # the terms of TEMPLATES, a fixed list
-    weighted = words.join(maybe_broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    lengths = weighted.groupBy("sentence").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    dots = weighted.join(own, "term").groupBy("sentence", "template", "licence", "t_norm").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"), F.count(F.lit(1)).alias("shared"))
-    scored = dots.filter(F.col("shared") >= MIN_SHARED).join(lengths, "sentence")
-    scored = scored.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6)).filter(F.col("score") >= MIN_COSINE)
-    best = F.row_number().over(Window.partitionBy("sentence").orderBy(F.desc("score"), "template"))  # a row per template at most
-    return scored.withColumn("rank", best).filter("rank = 1").select("sentence", "licence", "score")
+    own = F.broadcast(own.join(norm, "template"))  # the terms of the templates, a fixed list
+    weighted = words.join(maybe_broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare))
+    lengths = weighted.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
+    dots = weighted.join(own, ["term", "whole"]).groupBy("unit", "whole", "template", "licence", "t_norm").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"), F.count(F.lit(1)).alias("shared"))
+    scored = dots.filter(F.col("shared") >= MIN_SHARED).join(lengths, "unit")
+    least = F.when(F.col("whole"), MIN_FILE_COSINE).otherwise(MIN_COSINE)
+    scored = scored.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6)).filter(F.col("score") >= least)
+    best = F.min(F.struct((-F.col("score")).alias("s"), "template", "licence"))
+    return scored.groupBy("unit").agg(best.alias("best")).select("unit", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score"))
 
 
 def licence_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
@@ -124,16 +159,23 @@ def licence_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path
     rows = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), text_or_empty(text_col).alias("body"))
     hits = rows.filter(F.col("body").rlike(MARKERS))  # most texts hold no such term and aren't cut up
     hits = hits.select("doc_id", "path", F.size(F.split("body", r"\s+")).alias("words"), stripped_lines(F.col("body")).alias("all"))
-    hits = materialise(hits, "marked")  # written, so that lines are cut once and not again for each that is joined
-    hits = materialise(hits.select("doc_id", "path", "words", F.inline(sentences(F.col("all")))), "hits")
-    distinct = materialise(hits.groupBy("sentence").agg(F.sum((F.col("lines") == 1).cast("long")).alias("n")), "sentences")
-    matched = materialise(matched_sentences(distinct), "matched").withColumnRenamed("sentence", "__sentence")
-    held = hits.join(maybe_broadcast(matched), F.col("sentence") == F.col("__sentence")).drop("__sentence")
-    size = F.size(F.split("sentence", r"\s+"))
-    whole = lambda n: F.coalesce(F.sum(F.when(F.col("lines") == n, size)), F.lit(0))
+    hits = materialise(hits.withColumn("marks", F.transform("all", lambda x: x.rlike(MARKERS))), "marked")  # written, so that lines are cut once and not again for each that is joined
+    hits = hits.repartition(max(1, hits.count() // FILES))
+    hits = hits.select("doc_id", "path", "words", F.inline(sentences(F.col("all"), F.col("marks"))))
+    # Units are told apart by 128 bits of their text, which isn't carried along.
+    named = hits.select("doc_id", "path", "words", "lines", F.size(F.split("sentence", r"\s+")).alias("size"), F.xxhash64("sentence").alias("u1"), F.xxhash64(F.lit(1), "sentence").alias("u2"), terms(F.col("sentence")).alias("terms"))
+    hits = materialise(named, "hits")
+    whole = (F.col("lines") == -1).alias("whole")
+    units = hits.groupBy("u1", "u2", whole).agg(F.sum((F.col("lines") == 1).cast("long")).alias("n"), F.first("terms").alias("terms"))
+    units = materialise(units.select("u1", "u2", "whole", "n", F.monotonically_increasing_id().alias("unit"), "terms"), "units")
+    matched = materialise(matched_units(units.select("unit", "whole", "n", "terms")), "matched").withColumnRenamed("unit", "m")
+    matched = materialise(units.select("u1", "u2", "whole", "unit").join(maybe_broadcast(matched), F.col("unit") == F.col("m")).select(F.col("u1").alias("k1"), F.col("u2").alias("k2"), F.col("whole").alias("k3"), "licence", "score"), "names")
+    held = hits.drop("terms").join(maybe_broadcast(matched), (F.col("u1") == F.col("k1")) & (F.col("u2") == F.col("k2")) & ((F.col("lines") == -1) == F.col("k3")))
+    size = F.col("size")
+    total = lambda n: F.coalesce(F.sum(F.when(F.col("lines") == n, size)), F.lit(0))
     own = held.groupBy("doc_id", "path").agg(
         F.min(F.struct((F.col("licence") == "Proprietary").alias("last"), (-F.col("score")).alias("s"), "licence")).alias("best"),
-        (F.greatest(whole(0), whole(1), F.max(size)) / F.max("words")).alias("share"),  # joined lines overlap and aren't summed
+        (F.greatest(total(0), total(1), F.max(size)) / F.max("words")).alias("share"),  # joined lines overlap and aren't summed
     )
     own = materialise(own.select("doc_id", "path", F.col("best.licence").alias("own_licence"), (-F.col("best.s")).alias("own_score"), "share"), "own")
     name, folder = F.regexp_extract("path", r"[^/]*$", 0), F.regexp_replace("path", r"/?[^/]*$", "")
