@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import exact_dedup, licences, line_dedup, mixing, packing, quality, simhash, substring, tokens, toxicity
+from tablelens.llm import collocations, exact_dedup, licences, line_dedup, mixing, packing, quality, simhash, spelling, substring, tokens, toxicity
 from tablelens.llm.common import read_documents
 
 
@@ -55,6 +55,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_documents(spark, sf_dir))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
@@ -66,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_source_mixing": op9_source_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -133,4 +143,30 @@ ORACLE_SQL: dict[str, str] = {
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken
         FROM r""",
+    "op11_collocations": r"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
+            FROM documents),
+        p AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+            FROM (SELECT lang, unnest(regexp_split_to_array(body, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+        g AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+            FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+        t AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY 1),
+        c AS (
+            SELECT * FROM f WHERE k >= 2 AND NOT EXISTS (
+                SELECT 1 FROM f AS l
+                WHERE l.lang = f.lang AND l.k > f.k AND l.a >= f.a AND contains(' ' || l.phrase || ' ', ' ' || f.phrase || ' '))),
+        u AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM c),
+        s AS (
+            SELECT u.lang, u.phrase, u.a, l.a AS l, r.a AS r, t.n, cut,
+                   ((1000::HUGEINT * u.a * t.n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+            FROM u JOIN t ON t.lang = u.lang
+                JOIN f AS l ON l.lang = u.lang AND l.k = cut AND l.phrase = array_to_string(w[1:cut], ' ')
+                JOIN f AS r ON r.lang = u.lang AND r.k = u.k - cut AND r.phrase = array_to_string(w[cut + 1:], ' ')
+            QUALIFY row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY score, cut) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM s QUALIFY rank <= 2000""",
 }
