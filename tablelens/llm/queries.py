@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import collocations, exact_dedup, licences, line_dedup, mixing, packing, quality, simhash, spelling, substring, tokens, toxicity
+from tablelens.llm import collocations, exact_dedup, licences, line_dedup, mixing, packing, quality, simhash, spelling, substring, suffix_dedup, tokens, toxicity
 from tablelens.llm.common import read_documents
 
 
@@ -63,6 +63,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read_documents(spark, sf_dir))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_collocations": op11_collocations,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -169,4 +174,18 @@ ORACLE_SQL: dict[str, str] = {
             QUALIFY row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY score, cut) = 1)
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
         FROM s QUALIFY rank <= 2000""",
+    "op13_suffix_dedup": """
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (
+            SELECT r, doc_id, i, substr(h, 2 * i + 1, 2) AS byte, CASE WHEN 2 * i + 100 <= len(h) THEN substr(h, 2 * i + 1, 100) END AS s
+            FROM (SELECT *, unnest(range(len(h) // 2)) AS i FROM d)),
+        m AS (SELECT *, s IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY s) AS starts FROM w),
+        c AS (SELECT *, bool_or(starts) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m),
+        e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS begins FROM c),
+        s AS (
+            SELECT r, count_if(gone) AS n_removed, count_if(begins) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept
+            FROM e GROUP BY r)
+        SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN s USING (r)""",
 }
