@@ -30,12 +30,16 @@ DATE_FORMS = (
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?( ?(Z|UTC|[+-]\d{2}:?\d{2}))?$"
 
 
+#: What all forms have in common: few characters, and a number or the name of a month in front. Other texts are tried once.
+_MAY_BE = r"(?s)^(?=.{4,45}$)(\d{1,4}[-/. ].*|[A-Za-z]{3,9} \d{1,2}.*|\d{8}|\d{4})$"
+
+
 def parsed_time(c: Column) -> Column:
-    """A text as a timestamp, null if it has none of the accepted forms. Texts without a digit aren't looked at twice."""
+    """A text as a timestamp, null if it has none of the accepted forms."""
     text = F.trim(c)
     iso = F.regexp_replace(text, r" ?([+-]\d{2}):?(\d{2})$", "$1:$2")
     zoned = F.when(text.rlike(_ISO), iso.try_cast("timestamp"))
     named = F.initcap(F.regexp_replace(F.regexp_replace(text, r"(?i)^(\d{1,2})-([a-z]{3,9})-(\d{4})", "$1 $2 $3"), ",", ""))  # 5-JAN-2024, Jan 5, 2024
     plain = lambda form: named if "MMM" in form else text
     forms = [F.when(plain(pattern).rlike(form), F.try_to_timestamp(plain(pattern), F.lit(pattern))) for pattern, form in DATE_FORMS]
-    return F.when(text.rlike(r"\d{4}"), F.coalesce(*forms, zoned)).cast("timestamp_ntz")
+    return F.when(text.rlike(_MAY_BE) & text.rlike(r"\d{4}"), F.coalesce(*forms, zoned)).cast("timestamp_ntz")

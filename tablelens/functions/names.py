@@ -31,21 +31,22 @@ def table_name(*parts: str, limit: int = 63) -> str:
 
 
 def normal_columns(names: Sequence[str | None]) -> list[str]:
-    """Tidy, distinct column names in the same order; blank and 'unnamed: n' ones are named by their place."""
-    out: list[str] = []
-    taken: set[str] = set()
-    for place, raw in enumerate(names):
-        name = re.sub(r"\s+", " ", raw or "").strip()
-        name = "" if re.fullmatch(r"(?i)unnamed:?\s*\d*", name) else re.sub(r"[^0-9a-zA-Z]+", "_", name).strip("_").lower()
-        name = name or f"column_{place}"
-        name = f"c_{name}" if name[0].isdigit() else name
-        free, k = name, 0
-        while free in taken:
-            k += 1
-            free = f"{name}_{k}"
-        taken.add(free)
-        out.append(free)
-    return out
+    """Tidy, distinct column names in the same order.
+
+    A name is its runs of letters and digits in lower case, joined by _. What is blank, of signs only, or 'unnamed: n' is
+    named after its place, column_1 the first. A name that begins with a digit gets c_ in front, and one that is taken
+    already gets the first free number behind.
+    """
+    out: dict[str, None] = {}
+    for place, raw in enumerate(names, 1):
+        runs = re.findall(r"[0-9a-z]+", (raw or "").lower())
+        if not runs or re.fullmatch(r"unnamed:?\s*\d*", " ".join((raw or "").lower().split())):
+            runs = ["column", str(place)]
+        if runs[0][0].isdigit():
+            runs.insert(0, "c")
+        name = "_".join(runs)
+        out[next(n for n in [name, *(f"{name}_{k}" for k in range(1, len(names) + 1))] if n not in out)] = None
+    return list(out)
 
 
 class UnknownName(ValueError):

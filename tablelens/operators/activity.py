@@ -6,18 +6,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 NEWEST = 200
 
 
-def stable_key(*parts: Column) -> Column:
-    """sha256 of the parts, trimmed and lower-cased; the items of array parts are sorted first."""
-    return F.sha2(F.concat_ws("\x1f", *[F.lower(F.trim(p.cast("string"))) for p in parts]), 256)
+def stable_key(frame: DataFrame, *columns: str) -> Column:
+    """sha256 of the columns' texts, trimmed and lower-cased, with a separator between them. A null is an empty part, so
+    that no two rows share a key for it; the items of an array are sorted, nulls left out."""
+    parts = [list_part(F.col(c)) if isinstance(frame.schema[c].dataType, T.ArrayType) else plain_part(F.col(c)) for c in columns]
+    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+
+
+def plain_part(c: Column) -> Column:
+    return F.coalesce(F.lower(F.btrim(c.cast("string"), F.lit(" \t\n\r\x0b\x0c"))), F.lit(""))
 
 
 def list_part(c: Column) -> Column:
-    return F.array_join(F.array_sort(F.transform(c, lambda x: F.lower(F.trim(x.cast("string"))))), ",")
+    items = F.array_sort(F.transform(F.array_compact(c), plain_part))
+    return F.coalesce(F.array_join(items, ","), F.lit(""))
 
 
 def latest_per_key(events: DataFrame, keys: Sequence[str], time: str, tie: str) -> DataFrame:

@@ -15,6 +15,10 @@ from tablelens.functions.names import CURRENCY_NAME, GEO_NAME, ID_NAME, TIME_NAM
 from tablelens.operators.query import is_numeric, is_temporal
 
 SAMPLES, CLIP = 10, 60
+#: Characters of a text that stand for it in counts, beside a digest if it has more.
+HEAD = CLIP + 1
+#: Relative error of sketched numbers of values, and how far off they are taken to be at most.
+SKETCH_ERROR, SKETCH_MARGIN = 0.01, 0.08
 #: A column's values are ranked in so many parts first, so that no task ranks them all.
 RANK_PARTS = 64
 PARSED_SHARE = 0.9
@@ -43,15 +47,39 @@ def as_text(f: T.StructField) -> Column:
     return F.to_json(f.name) if storage_kind(f.dataType) == "nested" else F.col(f.name).cast("string")
 
 
-def unpivot(frame: DataFrame) -> DataFrame:
-    """(column, value as text), nulls left out."""
-    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), as_text(f).alias("value")) for f in frame.schema])
-    return frame.select(F.explode(cells).alias("cell")).select("cell.*").filter("value IS NOT NULL")
+def cells(frame: DataFrame) -> DataFrame:
+    """(place, number, real, head, digest): a row per cell that isn't null, without long texts.
+
+    Integers and doubles stand as they are, other values as text, of which the first HEAD characters and, if there are
+    more, a digest of 128 bits are kept.
+    """
+
+    def cell(place: int, f: T.StructField) -> Column:
+        c, kind, none = F.col(f.name), storage_kind(f.dataType), F.lit(None)
+        whole, real = isinstance(f.dataType, T.IntegralType | T.BooleanType), isinstance(f.dataType, T.DoubleType)
+        text = as_text(f)
+        long = kind in ("text", "nested")
+        head = none if whole or real else F.substring(text, 1, HEAD) if long else text
+        digest = F.when(F.length(text) > HEAD, F.concat(F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(1), text)))) if long else none
+        cell = F.struct(
+            F.lit(place).alias("place"), (c.cast("long") if whole else none.cast("long")).alias("number"), (c if real else none.cast("double")).alias("real"),
+            head.cast("string").alias("head"), digest.cast("string").alias("digest"),
+        )
+        return F.when(c.isNotNull(), cell)
+
+    every = F.array_compact(F.array(*[cell(k, f) for k, f in enumerate(frame.schema)]))
+    return frame.select(F.explode(every).alias("cell")).select("cell.*")
 
 
 def value_counts(frame: DataFrame) -> DataFrame:
-    """(column, value, n) over all columns: one shuffle of partial counts."""
-    return unpivot(tidy(frame)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(column, value, n) over all columns: one shuffle of partial counts of `cells`. A value is its text; of more than HEAD
+    characters the first, and those of one beginning are told apart by their digests."""
+    frame = tidy(frame)
+    counts = cells(frame).groupBy("place", "number", "real", "head", "digest").agg(F.count(F.lit(1)).alias("n"))
+    flags = [k for k, f in enumerate(frame.schema) if isinstance(f.dataType, T.BooleanType)]
+    number = F.when(F.col("place").isin(flags), F.col("number").cast("boolean").cast("string")).otherwise(F.col("number").cast("string"))
+    name = F.array(*[F.lit(f.name) for f in frame.schema])[F.col("place")]
+    return counts.select(name.alias("column"), F.coalesce(number, F.col("real").cast("string"), "head").alias("value"), "n")
 
 
 def top_values(counts: DataFrame, k: int = SAMPLES) -> DataFrame:
@@ -62,14 +90,16 @@ def top_values(counts: DataFrame, k: int = SAMPLES) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def basics(frame: DataFrame) -> DataFrame:
-    """column, place, dtype, kind, n_rows, n (known), mean_length, time_share, min_number, max_number, min_time, max_time."""
+def basics(frame: DataFrame, sketched: bool = False) -> DataFrame:
+    """column, place, dtype, kind, n_rows, n (known), mean_length, time_share, min_number, max_number, min_time, max_time;
+    with `sketched` also n_sketched, the number of values by a sketch."""
     frame = tidy(frame)
     aggs, null = [F.count(F.lit(1)).alias("rows")], F.lit(None)
     for k, f in enumerate(frame.schema):
         c, kind = F.col(f.name), storage_kind(f.dataType)
         text, number, time = kind == "text", kind in ("integer", "real"), is_temporal(f.dataType)
         known = parsed_time(c.cast("string")).isNotNull()
+        sketch = [F.approx_count_distinct(as_text(f) if kind == "nested" else c, SKETCH_ERROR).alias("n_sketched")] if sketched else []
         aggs.append(
             F.struct(
                 F.count(c).alias("n"),
@@ -79,6 +109,7 @@ def basics(frame: DataFrame) -> DataFrame:
                 (F.max(c).cast("double") if number else null.cast("double")).alias("max_number"),
                 (F.min(c).cast("date").cast("string") if time else null.cast("string")).alias("min_time"),
                 (F.max(c).cast("date").cast("string") if time else null.cast("string")).alias("max_time"),
+                *sketch,
             ).alias(f"_{k}")
         )
     one = frame.agg(*aggs)
@@ -117,6 +148,23 @@ def semantic_type(column: Column, kind: Column, n: Column, u: Column, mean_lengt
     )
 
 
+def semantic_types(frame: DataFrame) -> DataFrame:
+    """(column, semantic) of a table's columns, in order, without counting what needn't be counted.
+
+    One aggregate gives the evidence and a sketch of each column's number of values. The type is worked out for the least
+    and the greatest number that the sketch allows; only columns for which the two differ are counted exactly.
+    """
+    known = basics(frame, sketched=True)
+    says = lambda u: semantic_type(F.col("column"), F.col("kind"), F.col("n"), u, F.col("mean_length"), F.col("time_share"))
+    low, high = F.floor(F.col("n_sketched") * (1 - SKETCH_MARGIN)), F.ceil(F.col("n_sketched") * (1 + SKETCH_MARGIN))
+    rows = known.select("column", "place", "kind", "n", "mean_length", "time_share", says(low).alias("semantic"), (says(low) != says(high)).alias("open")).collect()  # a row per column
+    near = [r["column"] for r in rows if r["open"]]
+    exact = tidy(frame).agg(*[F.count_distinct(c).alias(c) for c in near]).first().asDict() if near else {}
+    spark = frame.sparkSession
+    facts = spark.createDataFrame([(*r[:7], exact.get(r["column"])) for r in rows], "column string, place int, kind string, n long, mean_length double, time_share double, semantic string, u long")
+    return facts.select("column", "place", F.when(F.col("u").isNull(), F.col("semantic")).otherwise(says(F.col("u"))).alias("semantic")).orderBy("place").select("column", "semantic")
+
+
 def profile_columns(frame: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """The catalogue's entries for a table: basics plus n_unique, semantic, null_fraction, sample_values, pct_top_value.
 

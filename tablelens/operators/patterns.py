@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablelens.functions.stats import correlation_p, range_part, safe_corr, t_tail
+from tablelens.functions.stats import correlation_p, t_tail
 from tablelens.operators import series as S
 from tablelens.operators.columns import tidy
+from tablelens.operators.moments import Moments, moments, rank_correlations
 from tablelens.operators.profile import duplicate_rows
+from tablelens.operators.ranks import exact_quantiles
 
 FINDING = "kind string, severity string, columns array<string>, statistic double, p_value double, description string, evidence map<string,string>"
 SEVERITIES = ("strong", "notable", "info")
-MAX_COLLINEAR = 40
 OUTLIER_ROWS = 20
 
 
@@ -50,20 +51,12 @@ def missing_data(profiled: DataFrame) -> DataFrame:
     return finding(profiled, "missing_data", severity(F.col("pct_missing"), 0.05, 0.30), _one(), F.col("pct_missing"), F.concat(F.col("column"), F.lit(" lacks values")), n_missing=F.col("n_missing"))
 
 
-def pair_frame(frame: DataFrame, pairs: Sequence[tuple[str, str]], measure, where: str) -> DataFrame:
-    """(a, b, value): `measure` of every pair of columns, all in one aggregate."""
-    if not pairs:
-        return frame.sparkSession.createDataFrame([], "a string, b string, value double, n long")
-    known = lambda a, b: F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)) if where == "both" else F.count(F.lit(1))
-    one = frame.agg(*[F.struct(measure(a, b).alias("value"), known(a, b).alias("n")).alias(f"_{k}") for k, (a, b) in enumerate(pairs)])
-    per = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{k}").alias("s")) for k, (a, b) in enumerate(pairs)])
-    return one.select(F.explode(per).alias("p")).select("p.a", "p.b", "p.s.value", "p.s.n")
-
-
-def structured_missingness(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
+def structured_missingness(frame: DataFrame, columns: Sequence[str], m: Moments | None = None) -> DataFrame:
     """Columns whose gaps go together."""
-    gap = lambda c: F.col(c).isNull().cast("double")
-    found = pair_frame(tidy(frame), list(combinations(columns, 2)), lambda a, b: safe_corr(gap(a), gap(b)), "all").filter(F.abs("value") > 0.8)
+    m = m or moments(frame, [], columns)
+    at = {c: m.columns.index(c) for c in columns}
+    rows = [(a, b, m.gap_correlation(at[a], at[b])) for a, b in combinations(columns, 2)]
+    found = frame.sparkSession.createDataFrame(rows, "a string, b string, value double").filter(F.abs("value") > 0.8)
     return finding(found, "structured_missingness", F.lit("notable"), F.array("a", "b"), F.col("value"), F.concat("a", F.lit(" and "), "b", F.lit(" are missing together")))
 
 
@@ -94,89 +87,60 @@ def zero_inflation(profiled: DataFrame) -> DataFrame:
     return finding(profiled.filter("pct_zero > 0.5"), "zero_inflation", F.lit("notable"), _one(), F.col("pct_zero"), F.concat(F.col("column"), F.lit(" is mostly zero")))
 
 
-def outlier_counts(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, low, high, n, n_out: values outside the quartiles by 1.5 times their distance. Two passes."""
-    frame = tidy(frame).select(*columns)
-    quartiles = frame.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns]).first()
-    fences = {c: (q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])) for c in columns if (q := quartiles[c]) and q[1] > q[0]}
-    if not fences:
-        return frame.sparkSession.createDataFrame([], "column string, low double, high double, n long, n_out long")
-    one = frame.agg(*[F.struct(F.count(c).alias("n"), F.count_if(~F.col(c).cast("double").between(low, high)).alias("out")).alias(f"_{k}") for k, (c, (low, high)) in enumerate(fences.items())])
-    per = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.col(f"_{k}.n").alias("n"), F.col(f"_{k}.out").alias("n_out")) for k, (c, (low, high)) in enumerate(fences.items())])
-    return one.select(F.explode(per).alias("p")).select("p.*")
-
-
-def outliers(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    share = F.try_divide(F.col("n_out"), F.col("n"))
-    found = outlier_counts(frame, columns).filter(F.col("n") >= OUTLIER_ROWS)
-    return finding(found, "outliers", severity(share, 0.01, 0.05), _one(), share, F.concat(F.col("column"), F.lit(" has outliers")), low=F.col("low"), high=F.col("high"), n=F.col("n_out"))
+def fences_of(quartiles: dict[str, Sequence[float | None]]) -> dict[str, tuple[float, float]]:
+    """The bounds beyond which values are outliers; columns whose quartiles are one value have none."""
+    return {c: (a - 1.5 * (b - a), b + 1.5 * (b - a)) for c, (a, b) in quartiles.items() if a is not None and b > a}
 
 
-def correlations(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """a, b, value (Pearson's r over rows where both are known), n."""
-    frame = tidy(frame)
-    return pair_frame(frame, list(combinations(columns, 2)), lambda a, b: safe_corr(F.col(a), F.col(b)), "both")
+def outlier_counts(frame: DataFrame, columns: Sequence[str], m: Moments | None = None, fences: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """column, low, high, n, n_out: values outside the quartiles by 1.5 times their distance."""
+    if m is None:
+        fences = fences_of(exact_quantiles(frame.select(*columns), {c: (0.25, 0.75) for c in columns}))
+        m = moments(frame, list(fences), means={}, fences=fences)
+    rows = [(c, *fences[c], int(m.n[k, k]), int(m.outside[k])) for k, c in enumerate(m.numbers) if c in fences and c in columns]
+    return frame.sparkSession.createDataFrame(rows, "column string, low double, high double, n long, n_out long")
 
 
-def correlation(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    found = correlations(frame, columns).filter(F.abs("value") >= 0.6)
-
-    @F.pandas_udf("double")
-    def p(r: pd.Series, n: pd.Series) -> pd.Series:  # of the few pairs that are left
-        return pd.Series([correlation_p(x, k) for x, k in zip(r, n, strict=True)], dtype=float)
+def outliers(frame: DataFrame, columns: Sequence[str], m: Moments | None = None, fences: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    share = F.try_divide(F.col("n_out"), F.col("n"))
+    found = outlier_counts(frame, columns, m, fences).filter(F.col("n") >= OUTLIER_ROWS)
+    return finding(found, "outliers", severity(share, 0.01, 0.05), _one(), share, F.concat(F.col("column"), F.lit(" has outliers")), low=F.col("low"), high=F.col("high"), n=F.col("n_out"))
 
-    return finding(found, "correlation", severity(F.abs("value"), 0.6, 0.85), F.array("a", "b"), F.col("value"), F.concat("a", F.lit(" and "), "b", F.lit(" go together")), p("value", "n"), n=F.col("n"))
 
+def correlations(frame: DataFrame, columns: Sequence[str], m: Moments | None = None, pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """a, b, value (Pearson's r over rows where both are known), n, p_value."""
+    m = m or moments(frame, columns)
+    at, rows = {c: k for k, c in enumerate(m.numbers)}, []
+    for a, b in combinations(columns, 2) if pairs is None else pairs:
+        r, n = m.correlation(at[a], at[b])
+        rows.append((a, b, r, n, correlation_p(r, n) if r is not None and n > 2 else None))
+    return frame.sparkSession.createDataFrame(rows, "a string, b string, value double, n long, p_value double")
 
-def average_ranks(frame: DataFrame, column: str, rank: str) -> DataFrame:
-    """(value, rank): average ranks of the distinct values.
 
-    Values are counted, cut into ranges by sampled bounds, and ranked within ranges; the ranges' totals are few.
-    """
-    counts = frame.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("part", range_part(counts, "v"))
-    totals = counts.groupBy("part").agg(F.sum("n").alias("total"))
-    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))  # 64 rows
-    w = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("n").over(w)).join(F.broadcast(before), "part")
-    return ranked.select("v", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias(rank))
+def correlation(frame: DataFrame, columns: Sequence[str], m: Moments | None = None) -> DataFrame:
+    found = correlations(frame, columns, m).filter(F.abs("value") >= 0.6)
+    return finding(found, "correlation", severity(F.abs("value"), 0.6, 0.85), F.array("a", "b"), F.col("value"), F.concat("a", F.lit(" and "), "b", F.lit(" go together")), F.col("p_value"), n=F.col("n"))
 
 
 def rank_correlation(frame: DataFrame, a: str, b: str) -> DataFrame:
     """a, b, rho, r, n of one pair, ranks taken over the rows where both are known."""
-    frame = tidy(frame).select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-    both = frame.join(average_ranks(frame, "x", "rx").withColumnRenamed("v", "x"), "x").join(average_ranks(frame, "y", "ry").withColumnRenamed("v", "y"), "y")
-    return both.agg(safe_corr(F.col("rx"), F.col("ry")).alias("rho"), safe_corr(F.col("x"), F.col("y")).alias("r"), F.count(F.lit(1)).alias("n")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho", "r", "n")
+    return rank_correlations(frame, [a, b])
 
 
-def nonlinear(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    pairs = [rank_correlation(frame, a, b) for a, b in combinations(columns, 2)]
-    if not pairs:
-        return none(frame.sparkSession)
-    found = reduce(DataFrame.unionByName, pairs).withColumn("gain", F.abs("rho") - F.abs("r")).filter((F.abs("rho") >= 0.6) & (F.col("gain") >= 0.1))
+def nonlinear(frame: DataFrame, columns: Sequence[str], m: Moments | None = None) -> DataFrame:
+    found = rank_correlations(frame, columns, m).withColumn("gain", F.abs("rho") - F.abs("r")).filter((F.abs("rho") >= 0.6) & (F.col("gain") >= 0.1))
     return finding(found, "nonlinear_relationship", severity(F.col("gain"), 0.2, None, "info"), F.array("a", "b"), F.col("rho"), F.concat("a", F.lit(" and "), "b", F.lit(" go together, not along a line")), r=F.col("r"))
 
 
-def inflation_factors(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, vif, r2, n over the rows where all columns are known: from one aggregate of k x k moments."""
-    columns = list(columns)[:MAX_COLLINEAR]
-    frame = tidy(frame).select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop("any")
-    pairs = list(combinations(range(len(columns)), 2))
-    row = frame.agg(F.count(F.lit(1)).alias("n"), *[safe_corr(F.col(columns[i]), F.col(columns[j])).alias(f"_{i}_{j}") for i, j in pairs]).first()
-    schema = "column string, vif double, r2 double, n long"
-    if len(columns) < 3 or row["n"] < len(columns) + 5:
-        return frame.sparkSession.createDataFrame([], schema)
-    r = np.eye(len(columns))
-    for i, j in pairs:
-        r[i, j] = r[j, i] = row[f"_{i}_{j}"] or 0.0
-    inverse = np.linalg.inv(r) if np.linalg.matrix_rank(r) == len(columns) else np.linalg.pinv(r) + 1e6 * np.eye(len(columns))
-    factors = np.clip(inverse.diagonal(), 1, 1e6)
-    return frame.sparkSession.createDataFrame([(c, float(v), float(1 - 1 / v), row["n"]) for c, v in zip(columns, factors, strict=True)], schema)
-
-
-def multicollinearity(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
+def inflation_factors(frame: DataFrame, columns: Sequence[str], m: Moments | None = None) -> DataFrame:
+    """column, vif, r2, n over the rows where all columns are known."""
+    m = m or moments(frame, columns)
+    return frame.sparkSession.createDataFrame(m.inflation(), "column string, vif double, r2 double, n long")
+
+
+def multicollinearity(frame: DataFrame, columns: Sequence[str], m: Moments | None = None) -> DataFrame:
     exact = F.when(F.col("r2") > 0.9999, "exact").otherwise("near")
-    return finding(inflation_factors(frame, columns), "multicollinearity", severity(F.col("vif"), 10, 30), _one(), F.col("vif"), F.concat(F.col("column"), F.lit(" follows from the others")), dependence=exact)
+    return finding(inflation_factors(frame, columns, m), "multicollinearity", severity(F.col("vif"), 10, 30), _one(), F.col("vif"), F.concat(F.col("column"), F.lit(" follows from the others")), dependence=exact)
 
 
 def temporal(frame: DataFrame, time: str) -> DataFrame:
@@ -283,9 +247,10 @@ def class_findings(frame: DataFrame, target: str) -> DataFrame:
     return uneven.unionByName(rare)
 
 
-def target_findings(frame: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
+def target_findings(frame: DataFrame, target: str, columns: Sequence[str], m: Moments | None = None) -> DataFrame:
     """target_leakage and predictive_feature of a numeric target."""
-    found = pair_frame(tidy(frame), [(c, target) for c in columns if c != target], lambda a, b: safe_corr(F.col(a), F.col(b)), "both").filter(F.col("n") >= 10)
+    others = [c for c in columns if c != target]
+    found = correlations(frame, [*others, target], m, [(c, target) for c in others]).filter(F.col("n") >= 10)
     leak = finding(found.filter(F.abs("value") >= 0.95), "target_leakage", F.lit("strong"), F.array("a", "b"), F.col("value"), F.concat("a", F.lit(f" gives {target} away")))
     good = finding(found.filter((F.abs("value") >= 0.4) & (F.abs("value") < 0.95)), "predictive_feature", F.lit("info"), F.array("a", "b"), F.col("value"), F.concat("a", F.lit(f" tells about {target}")))
     return leak.unionByName(good)
@@ -345,24 +310,33 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(rank, "kind", F.array_join("columns", ","))
 
 
-def detect_all(frame: DataFrame, profiled: DataFrame, target: str | None = None, time_limit: int = 6) -> DataFrame:
-    """All findings, most severe first. Detectors about a target run only with one, clusters only without."""
-    facts = [r.asDict() for r in profiled.select("column", "place", "kind", "semantic", "n_unique", "n", "n_rows", "n_missing", "is_constant").collect()]  # a row per column
-    facts.sort(key=lambda f: f["place"])
-    numeric = [f["column"] for f in facts if f["kind"] in ("integer", "real") and f["n_unique"] > 2 and f["semantic"] != "identifier"]
+def detect_all(frame: DataFrame, profiled: DataFrame, target: str | None = None, times: Sequence[str] | None = None, values: Sequence[str] | None = None) -> DataFrame:
+    """All findings, most severe first. Detectors about a target run only with one, clusters only without.
+
+    Pairs of columns, outliers and gaps share one scan, ranks of all columns take a second, duplicates a third, a target's
+    groups a fourth. Series are looked at for every temporal column and every number that varies, unless `times` and
+    `values` name fewer.
+    """
+    names = ["column", "place", "kind", "semantic", "n_unique", "n_missing", "mean", "p25", "p75"]
+    facts = sorted((r.asDict() for r in profiled.select(*names).collect()), key=lambda f: f["place"])  # a row per column
+    numeric = [f for f in facts if f["kind"] in ("integer", "real") and f["n_unique"] > 2 and f["semantic"] != "identifier"]
+    means, quartiles = {f["column"]: f["mean"] for f in numeric}, {f["column"]: (f["p25"], f["p75"]) for f in numeric}
+    numeric = [f["column"] for f in numeric]
     lacking = [f["column"] for f in facts if f["n_missing"] > 0]
-    times = [f["column"] for f in facts if f["semantic"] == "temporal" and f["kind"] == "temporal"]
+    temporal_ = [f["column"] for f in facts if f["semantic"] == "temporal" and f["kind"] == "temporal"]
     groups = [f["column"] for f in facts if f["semantic"] in ("categorical", "geo", "boolean") and 2 <= f["n_unique"] <= 30]
-    out = [missing_data(profiled), structured_missingness(frame, lacking), constant_columns(profiled), duplicates(frame), high_cardinality(profiled), free_text(profiled), skewed(profiled.filter("semantic <> 'identifier'")), zero_inflation(profiled)]
+    fences = fences_of(quartiles)
+    m = moments(frame, numeric, [c for c in lacking if c not in numeric], means, fences)
+    out = [missing_data(profiled), structured_missingness(frame, lacking, m), constant_columns(profiled), duplicates(frame), high_cardinality(profiled), free_text(profiled), skewed(profiled.filter("semantic <> 'identifier'")), zero_inflation(profiled)]
     if numeric:
-        out += [outliers(frame, numeric), correlation(frame, numeric), nonlinear(frame, numeric), multicollinearity(frame, numeric)]
-    if times:
-        freq = S.frequency(frame, times[0]).first()["freq"]
-        out += [temporal(frame, times[0]), *[series_findings(frame, times[0], c, freq) for c in numeric[:time_limit]]]
+        out += [outliers(frame, numeric, m, fences), correlation(frame, numeric, m), nonlinear(frame, numeric, m), multicollinearity(frame, numeric, m)]
+    for time in temporal_ if times is None else times:
+        freq = S.frequency(frame, time).first()["freq"]
+        out += [temporal(frame, time), *[series_findings(frame, time, c, freq) for c in (numeric if values is None else values)]]
     if target:
         out.append(class_findings(frame, target))
         if target in numeric:
-            out += [target_findings(frame, target, numeric), group_effect(frame, target, [g for g in groups if g != target])]
+            out += [target_findings(frame, target, numeric, m), group_effect(frame, target, [g for g in groups if g != target])]
     elif len(numeric) >= 2:
         out.append(cluster_structure(frame, numeric))
     return ordered(reduce(DataFrame.unionByName, out))

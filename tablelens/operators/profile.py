@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.stats import corrected_kurtosis, corrected_skewness
+from tablelens.operators.ranks import exact_quantiles
 from tablelens.operators.columns import profile_columns, storage_kind, tidy, top_values, value_counts
 
+QUARTILES = (0.25, 0.5, 0.75)
 STATISTICS = ("mean", "std", "min", "p25", "median", "p75", "max", "skewness", "kurtosis", "pct_zero", "pct_negative")
 
 
@@ -18,10 +20,11 @@ def numeric_columns(frame: DataFrame) -> list[str]:
 
 
 def number_statistics(frame: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """column and its moments, quantiles and shares. exact=False takes quantiles from sketches of bounded size, for
-    columns with more distinct values than one task's memory holds."""
+    """column and its moments, quantiles and shares. Quantiles are selected by jobs of their own; exact=False takes them
+    from sketches of bounded size within the one aggregate."""
     frame, columns = tidy(frame), list(columns or numeric_columns(frame))
-    quantile = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, 10_000))
+    found = exact_quantiles(frame, {c: QUARTILES for c in columns}) if exact else {}
+    quantile = lambda name, c: F.array(*[F.lit(v).cast("double") for v in found[name]]) if exact else F.percentile_approx(c, list(QUARTILES), 10_000).cast("array<double>")
     structs = []
     for k, name in enumerate(columns):
         c = F.col(name).cast("double")
@@ -30,7 +33,7 @@ def number_statistics(frame: DataFrame, columns: Sequence[str] | None = None, ex
                 F.avg(c).alias("mean"),
                 F.when(F.count(c) > 1, F.stddev_samp(c)).otherwise(F.lit(0.0)).alias("std"),
                 F.min(c).alias("min"),
-                quantile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
+                quantile(name, c).alias("q"),
                 F.max(c).alias("max"),
                 corrected_skewness(c).alias("skewness"),
                 corrected_kurtosis(c).alias("kurtosis"),

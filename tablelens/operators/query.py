@@ -6,6 +6,7 @@ import datetime as dt
 import decimal
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.functions.names import clean_alias, resolve
+from tablelens.operators.ranks import exact_quantiles, grouped_quantiles
 
 MAX_ROWS, DEFAULT_ROWS = 50_000, 1_000
 #: A limit that says outright that all rows are wanted.
@@ -163,7 +165,7 @@ def aggregate(m: Metric, frame: DataFrame, column: str, semantic: str | None) ->
     if m.agg == "sum" and semantic == "identifier":
         raise BadQuery(f"{column} names things; its sum means nothing")
     distinct = F.approx_count_distinct if m.approximate else F.count_distinct
-    return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "count_distinct": distinct, "median": F.median, "stddev": F.stddev_samp}[m.agg](c)
+    return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "count_distinct": distinct, "median": lambda c: F.percentile_approx(c, 0.5, 10_000).cast("double"), "stddev": F.stddev_samp}[m.agg](c)
 
 
 def row_limit(limit: int | str | None) -> int | None:
@@ -173,7 +175,7 @@ def row_limit(limit: int | str | None) -> int | None:
 
 
 def run_spec(frame: DataFrame, spec: QuerySpec, semantics: dict[str, str] | None = None, synonyms: dict[str, Sequence[str]] | None = None, as_of: dt.date | None = None) -> Answer:
-    """The query's DataFrame. Everything is checked against the schema first; nothing runs until the caller asks."""
+    """The query's DataFrame. Everything is checked against the schema first; only exact medians run before the caller asks."""
     semantics, warnings = semantics or {}, []
     find = lambda name: resolve(name, frame.columns, synonyms)
     dims: list[tuple[str, Column, str]] = []
@@ -195,7 +197,7 @@ def run_spec(frame: DataFrame, spec: QuerySpec, semantics: dict[str, str] | None
     aliases = [a for a, _, _ in [*dims, *metrics]]
     if len(set(aliases)) < len(aliases):
         raise BadQuery(f"two outputs have one name: {', '.join(sorted(a for a in set(aliases) if aliases.count(a) > 1))}")
-    having = {a for a, _, _ in metrics}
+    having, medians = {a for a, _, _ in metrics}, [m.agg == "median" and not m.approximate for m in spec.metrics]
     out, after = frame, []
     for f in spec.filters:
         if clean_alias(f.column) in having and f.column.lower() not in {c.lower() for c in frame.columns}:
@@ -205,7 +207,12 @@ def run_spec(frame: DataFrame, spec: QuerySpec, semantics: dict[str, str] | None
         out = out.filter(condition(F.col(column), frame.schema[column].dataType, f.op, f.value, as_of))
     if metrics:
         keys = [c.alias(a) for a, c, _ in dims]
-        out = (out.groupBy(*keys) if keys else out).agg(*[c.alias(a) for a, c, _ in metrics])
+        plain = [c.alias(a) for (a, c, _), median in zip(metrics, medians, strict=True) if not median]
+        found = (out.groupBy(*keys) if keys else out).agg(*(plain or [F.count(F.lit(1)).alias("_rows")]))
+        for (alias, _, column), median in zip(metrics, medians, strict=True):
+            if median:
+                found = _with_median(found, out.select(*keys, F.col(column).alias("_median_of")), [a for a, _, _ in dims], alias)
+        out = found.select(*aliases)
     elif dims:
         out = out.select(*[c.alias(a) for a, c, _ in dims])
     else:
@@ -218,6 +225,16 @@ def run_spec(frame: DataFrame, spec: QuerySpec, semantics: dict[str, str] | None
     return Answer(out if rows is None else out.limit(rows), warnings)
 
 
+def _with_median(found: DataFrame, values: DataFrame, keys: list[str], alias: str) -> DataFrame:
+    """`found` with the exact median of each group's values. It is worked out by jobs of its own, before the caller asks."""
+    if not keys:
+        return found.withColumn(alias, F.lit(exact_quantiles(values, {"_median_of": [0.5]})["_median_of"][0]).cast("double"))
+    per = grouped_quantiles(values, keys, "_median_of", 0.5, alias)
+    per = per.select(*[F.col(k).alias(f"_of_{k}") for k in keys], alias)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return found.join(per, same, "left").drop(*[f"_of_{k}" for k in keys])
+
+
 def _order(spec: QuerySpec, outputs: list[str], dims: list, metrics: list, warnings: list[str]) -> list[Column]:
     lower = {o.lower(): o for o in outputs}
     base = {column.lower(): alias for alias, _, column in [*metrics, *dims]}

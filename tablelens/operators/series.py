@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tablelens.functions.names import RATE_NAME, suggests
 from tablelens.functions.stats import range_part
+from tablelens.operators.ranks import running_counts
 
 #: Frequency by the median gap in days, and the periods that are looked for at each.
 GAPS = ((1.5, "D"), (9.0, "W"), (45.0, "MS"), (120.0, "QS"))
@@ -37,7 +38,11 @@ def frequency(frame: DataFrame, time: str) -> DataFrame:
     gaps = time_gaps(frame, time)
     zeros = gaps.filter("n > 1").select(F.lit(0.0).alias("g"), (F.col("n") - 1).alias("w"))
     weighted = gaps.filter("gap_days IS NOT NULL").select(F.col("gap_days").alias("g"), F.lit(1).cast("long").alias("w")).unionByName(zeros).groupBy("g").agg(F.sum("w").alias("w"))
-    out = weighted.agg(F.expr("percentile(g, 0.5, w)").alias("median_gap_days"), F.sum("w").alias("gaps"))
+    # a weighted median: the gaps of the two middle places, by running counts
+    ranked = running_counts(weighted.withColumn("all", F.lit(0)), ["all"], "g", "w")
+    last = F.col("total") - 1
+    holds = lambda k: F.when((F.col("before") <= k) & (k < F.col("before") + F.col("w")), F.col("g"))
+    out = ranked.agg(((F.max(holds(F.floor(last / 2))) + F.max(holds(F.ceil(last / 2)))) / 2).alias("median_gap_days"), F.max("total").alias("gaps"))
     freq = F.when(F.coalesce(F.col("gaps"), F.lit(0)) < 2, "D")
     for most, name in GAPS:
         freq = freq.when(F.col("median_gap_days") <= most, name)

@@ -18,6 +18,7 @@ from tablelens.plans import readiness
 from tablelens.plans.adhoc import adhoc
 from tablelens.plans.analysis import analyze
 from tablelens.sources import readers, warehouse
+from tablelens.sources.scratch import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,11 +47,6 @@ def spec(frame: DataFrame, dims=(), metrics=(), filters=(), sort=(), limit=ALL_R
     return run_spec(frame, QuerySpec(dims, metrics, filters, sort, limit), **more).frame
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/tablelens/{uuid.uuid4().hex}/{name}"
-
-
 # Sources and sinks
 
 
@@ -66,7 +62,7 @@ def a6_drop_empty_rows(t, spark, sf_dir):
     return kept.select("k", "segment", "balance")
 
 
-@query("SELECT n_nationkey AS nation_key, n_name AS column_1, n_regionkey AS region_key_2 FROM nation")
+@query("SELECT n_nationkey AS nation_key, n_name AS column_2, n_regionkey AS region_key_2 FROM nation")
 def a7_tidy_names(t, spark, sf_dir):
     return readers.tidy_names(t("nation").toDF(" Nation  Key", "Unnamed: 1", "Region-Key 2"))
 
@@ -131,7 +127,7 @@ def a11_write_append(t, spark, sf_dir):
 @query("SELECT 'rows' AS what, count(*) AS n FROM lineitem UNION ALL SELECT 'preview', least(500, count(*)) FROM lineitem UNION ALL SELECT 'listed', 1 UNION ALL SELECT 'listed after drop', 0")
 def a16_table_looks(t, spark, sf_dir):
     """A stored table counted, previewed, listed and dropped."""
-    name = "looked_at_lineitem"
+    name = f"looked_at_{uuid.uuid4().hex}"
     written = warehouse.replace(t("lineitem"), name)
     counts = [("rows", written), ("preview", warehouse.preview(spark, name, 500).count()), ("listed", warehouse.tables(spark).count(name))]
     warehouse.drop(spark, name)
@@ -186,7 +182,7 @@ def sql_profile(table: str) -> str:
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", \"column\", semantic FROM ({sql_profile(t)})" for t in TABLES))
 def b1_semantic_types(t, spark, sf_dir):
-    frames = [columns.profile_columns(t(name)).select(F.lit(name).alias("table"), "column", "semantic") for name in TABLES]
+    frames = [columns.semantic_types(t(name)).select(F.lit(name).alias("table"), "column", "semantic") for name in TABLES]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -329,9 +325,9 @@ def c9_count_rows(t, spark, sf_dir):
     return spec(t("lineitem"), [Dimension("l_linestatus")], [Metric("count")])
 
 
-def _filtered(name: str, filters: list[Filter], where: str, table: str = "orders", as_of: dt.date | None = None) -> None:
+def _filtered(name: str, filters: list[Filter], where: str, table: str = "orders", as_of: dt.date | None = None, derive: Callable[[DataFrame], DataFrame] = lambda d: d) -> None:
     def build(t, spark, sf_dir):
-        return spec(t(table), metrics=[Metric("count")], filters=filters, as_of=as_of)
+        return spec(derive(t(table)), metrics=[Metric("count")], filters=filters, as_of=as_of)
 
     build.__name__ = name
     query(f"SELECT count(*) AS row_count FROM {table} WHERE {where}")(build)
@@ -345,6 +341,7 @@ _filtered("c16_between", [Filter("o_orderdate", "between", ["1996-01-01", "1996-
 _filtered("c17_contains", [Filter("c_mktsegment", "contains", "UILD")], "contains(lower(c_mktsegment), 'uild')", "customer")
 _filtered("c17_starts_with", [Filter("p_type", "starts_with", "promo")], "starts_with(lower(p_type), 'promo')", "part")
 _filtered("c18_is_not_null", [Filter("o_custkey", "is_not_null")], "o_custkey IS NOT NULL")
+_filtered("c18_is_null", [Filter("part", "is_null")], "l_quantity > 40", "lineitem", derive=lambda d: d.withColumn("part", F.when(F.col("l_quantity") <= 40, F.col("l_quantity"))))
 _filtered("c19_last_n_days", [Filter("o_orderdate", "last_n_days", 30)], "o_orderdate >= DATE '1998-08-02' - INTERVAL 30 DAY", as_of=dt.date(1998, 8, 2))
 _filtered("c19_last_n_months", [Filter("o_orderdate", "last_n_months", 3)], "o_orderdate >= DATE '1998-08-02' - INTERVAL 3 MONTH", as_of=dt.date(1998, 8, 2))
 _filtered("c20_conjunction", [Filter("o_orderstatus", "=", "F"), Filter("o_totalprice", "<", 50_000)], "o_orderstatus = 'F' AND o_totalprice < 50000")
@@ -650,7 +647,7 @@ _PAIRS = (("plain", "cubed"), ("plain", "closed"), ("cubed", "closed"))
 
 @query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS value, count(*) AS n FROM ({_CUBED})" for a, b in _PAIRS), "value")
 def f10_correlation(t, spark, sf_dir):
-    return patterns.correlations(cubed(t), ["plain", "cubed", "closed"])
+    return patterns.correlations(cubed(t), ["plain", "cubed", "closed"]).drop("p_value")
 
 
 @query(f"""WITH r AS (SELECT plain, closed, rank() OVER (ORDER BY plain) + (count(*) OVER (PARTITION BY plain) - 1) / 2 AS x, rank() OVER (ORDER BY closed) + (count(*) OVER (PARTITION BY closed) - 1) / 2 AS y FROM ({_CUBED}))
@@ -659,6 +656,31 @@ def f11_rank_correlation(t, spark, sf_dir):
     return patterns.rank_correlation(cubed(t), "plain", "closed")
 
 
+@query(f"""SELECT 'correlation' AS kind, 'strong' AS severity, a || ',' || b AS columns, value AS statistic, 0.0::DOUBLE AS p_value FROM (SELECT 'plain' AS a, 'cubed' AS b, corr(plain, cubed) AS value FROM ({_CUBED})
+    UNION ALL SELECT 'plain', 'closed', corr(plain, closed) FROM ({_CUBED}) UNION ALL SELECT 'cubed', 'closed', corr(cubed, closed) FROM ({_CUBED})) WHERE abs(value) >= 0.85
+    UNION ALL SELECT 'correlation', 'notable', a || ',' || b, value, 0.0 FROM (SELECT 'plain' AS a, 'cubed' AS b, corr(plain, cubed) AS value FROM ({_CUBED})
+    UNION ALL SELECT 'plain', 'closed', corr(plain, closed) FROM ({_CUBED}) UNION ALL SELECT 'cubed', 'closed', corr(cubed, closed) FROM ({_CUBED})) WHERE abs(value) >= 0.6 AND abs(value) < 0.85""", "statistic")
+def f10_correlation_findings(t, spark, sf_dir):
+    return patterns.correlation(cubed(t), ["plain", "cubed", "closed"]).select("kind", "severity", F.array_join("columns", ",").alias("columns"), "statistic", "p_value")
+
+
+_POWERS = "SELECT l_quantity AS quantity, power(l_quantity, 8) AS power, l_tax AS tax, CASE WHEN l_linenumber < 5 THEN power(l_quantity, 12) END AS gappy FROM lineitem"
+_RANKED = """SELECT '{a},{b}' AS columns, corr(x, y) AS rho, corr(p, q) AS r FROM (SELECT {a} AS p, {b} AS q, rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2 AS x,
+    rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2 AS y FROM ({t}) WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+_POWER_PAIRS = (("quantity", "power"), ("quantity", "tax"), ("quantity", "gappy"), ("power", "tax"), ("power", "gappy"), ("tax", "gappy"))
+
+
+def powers(t) -> DataFrame:
+    q = F.col("l_quantity")
+    return t("lineitem").select(q.alias("quantity"), F.pow(q, F.lit(8)).alias("power"), F.col("l_tax").alias("tax"), F.when(F.col("l_linenumber") < 5, F.pow(q, F.lit(12))).alias("gappy"))
+
+
+@query(" UNION ALL ".join(f"SELECT 'nonlinear_relationship' AS kind, CASE WHEN abs(rho) - abs(r) >= 0.2 THEN 'notable' ELSE 'info' END AS severity, columns, rho AS statistic FROM ({_RANKED.format(a=a, b=b, t=_POWERS)}) WHERE abs(rho) >= 0.6 AND abs(rho) - abs(r) >= 0.1" for a, b in _POWER_PAIRS), "statistic")
+def f11_nonlinear(t, spark, sf_dir):
+    """Ranks of four columns, one with gaps, and the pairs that go together along a curve."""
+    return found(patterns.nonlinear(powers(t), ["quantity", "power", "tax", "gappy"]))
+
+
 _VIF = f"""WITH m AS (SELECT count(*) AS n, corr(plain, cubed) AS p, corr(plain, closed) AS q, corr(cubed, closed) AS s FROM ({_CUBED})),
     d AS (SELECT *, 1 + 2 * p * q * s - p * p - q * q - s * s AS det FROM m)
     SELECT 'plain' AS "column", (1 - s * s) / det AS vif, 1 - det / (1 - s * s) AS r2, n FROM d
@@ -670,6 +692,17 @@ def f12_multicollinearity(t, spark, sf_dir):
     return patterns.inflation_factors(cubed(t), ["plain", "cubed", "closed"])
 
 
+_NETS = "SELECT l_tax AS tax, l_quantity AS quantity, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS total FROM lineitem"
+
+
+@query(f"""WITH m AS (SELECT corr(tax, net) AS p, corr(tax, total) AS q, corr(net, total) AS s FROM ({_NETS})), d AS (SELECT *, 1 + 2 * p * q * s - p * p - q * q - s * s AS det FROM m),
+    v AS (SELECT 'tax' AS columns, (1 - s * s) / det AS v FROM d UNION ALL SELECT 'net', (1 - q * q) / det FROM d UNION ALL SELECT 'total', (1 - p * p) / det FROM d)
+    SELECT 'multicollinearity' AS kind, CASE WHEN v >= 30 THEN 'strong' ELSE 'notable' END AS severity, columns, v AS statistic FROM v WHERE v >= 10""", "statistic")
+def f12_multicollinearity_findings(t, spark, sf_dir):
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return found(patterns.multicollinearity(t("lineitem").select(F.col("l_tax").alias("tax"), net.alias("net"), (net * (1 + F.col("l_tax"))).alias("total")), ["tax", "net", "total"]))
+
+
 @query("SELECT 'temporal_coverage' AS kind, 'info' AS severity, 'ts' AS columns, date_diff('day', min(ts), max(ts))::DOUBLE AS statistic FROM events")
 def f13_temporal_coverage(t, spark, sf_dir):
     return found(patterns.temporal(t("events"), "ts").filter("kind = 'temporal_coverage'"))
@@ -733,6 +766,12 @@ def f20_class_sizes(t, spark, sf_dir):
     return patterns.class_sizes(t("part"), "p_brand")
 
 
+@query("""SELECT 'rare_classes' AS kind, 'notable' AS severity, 'kind' AS columns, min(n)::DOUBLE AS statistic FROM (SELECT CASE WHEN p_partkey <= 7 THEN 'rare' ELSE p_brand END AS kind, count(*) AS n FROM part GROUP BY 1) HAVING min(n) < 10 AND count(*) >= 2""")
+def f20_rare_classes(t, spark, sf_dir):
+    kind = F.when(F.col("p_partkey") <= 7, "rare").otherwise(F.col("p_brand"))
+    return found(patterns.class_findings(t("part").select(kind.alias("kind")), "kind").filter("kind = 'rare_classes'"))
+
+
 @query(f"SELECT 'target_leakage' AS kind, 'strong' AS severity, 'restated,plain' AS columns, corr(plain * 1.0001 + o_orderkey % 7, plain) AS statistic FROM ({_CUBED})", "statistic")
 def f21_target_leakage(t, spark, sf_dir):
     rows = cubed(t).withColumn("restated", F.col("plain") * 1.0001 + F.col("o_orderkey") % 7)
@@ -755,10 +794,52 @@ def f24_cluster_structure(t, spark, sf_dir):
     return found(patterns.cluster_structure(t("part"), ["p_size", "p_retailprice"]))
 
 
-@query()
+_OFFERS = f"SELECT o_orderpriority, plain, cubed, closed, CASE WHEN plain > 100000 THEN o_orderkey % 7 END AS late, CASE WHEN plain > 100000 THEN o_orderkey % 11 END AS later, 1 AS same FROM (SELECT o_orderpriority, o.o_orderkey, plain, cubed, closed FROM orders o JOIN ({_CUBED}) c ON o.o_orderkey = c.o_orderkey)"
+_OFFER_NUMBERS = ("plain", "cubed", "closed", "late", "later")
+
+
+def offers(t) -> DataFrame:
+    some = F.col("o_totalprice") > 100_000
+    rows = t("orders").select("o_orderkey", "o_orderpriority", F.when(some, F.col("o_orderkey") % 7).alias("late"), F.when(some, F.col("o_orderkey") % 11).alias("later"), F.lit(1).alias("same"))
+    return cubed(t).join(rows, "o_orderkey").select("o_orderpriority", "plain", "cubed", "closed", "late", "later", "same")
+
+
+def sql_all_findings() -> str:
+    """The single findings about one table without times, put together. Detectors that find nothing there stay in."""
+    t, pairs = f"({_OFFERS})", [(a, b) for k, a in enumerate(_OFFER_NUMBERS) for b in _OFFER_NUMBERS[k + 1 :]]
+    row = lambda kind, level, columns, statistic, source: f"SELECT '{kind}' AS kind, {level} AS severity, {columns} AS columns, ({statistic})::DOUBLE AS statistic FROM ({source})"
+    of = lambda v, notable, strong: f"CASE WHEN {v} >= {strong} THEN 'strong' WHEN {v} >= {notable} THEN 'notable' END"
+    both = lambda a, b: f"SELECT '{a},{b}' AS c, corr({a}, {b}) AS v, count(*) AS n FROM {t} WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+    out = [row("missing_data", of("v", 0.05, 0.3), f"'{c}'", "v", f"SELECT 1 - count({c}) / count(*) AS v FROM {t}") for c in (*_OFFER_NUMBERS, "o_orderpriority", "same")]
+    out.append(row("structured_missingness", "CASE WHEN v > 0.8 THEN 'notable' END", "'late,later'", "v", f"SELECT corr((late IS NULL)::INT, (later IS NULL)::INT) AS v FROM {t}"))
+    out.append(row("constant_columns", "'notable'", "'same'", "v", f"SELECT count(DISTINCT same) AS v FROM {t}"))
+    out.append(row("duplicate_rows", "CASE WHEN v > 0.05 THEN 'strong' WHEN v > 0.001 THEN 'notable' END", "''", "v", f"SELECT (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t}))) / count(*) AS v FROM {t}"))
+    for c in _OFFER_NUMBERS:
+        out.append(row("skewed_distribution", of("abs(v)", 1, 2), f"'{c}'", "v", f"SELECT skewness({c}) AS v FROM {t}"))
+        out.append(row("zero_inflation", "CASE WHEN v > 0.5 THEN 'notable' END", f"'{c}'", "v", f"SELECT avg(({c} = 0)::INT) AS v FROM {t}"))
+        out.append(row("outliers", of("v", 0.01, 0.05), f"'{c}'", "v", f"SELECT avg(({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1))::INT) AS v FROM {t}, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {t}) WHERE q3 > q1 HAVING count({c}) >= 20"))
+    for a, b in pairs:
+        out.append(row("correlation", of("abs(v)", 0.6, 0.85), "c", "v", both(a, b)))
+        out.append(row("nonlinear_relationship", "CASE WHEN abs(rho) >= 0.6 AND abs(rho) - abs(r) >= 0.2 THEN 'notable' WHEN abs(rho) >= 0.6 AND abs(rho) - abs(r) >= 0.1 THEN 'info' END", "columns", "rho", _RANKED.format(a=a, b=b, t=_OFFERS)))
+    for a in _OFFER_NUMBERS[1:]:
+        pair = both(a, "plain")
+        out.append(row("target_leakage", "CASE WHEN abs(v) >= 0.95 AND n >= 10 THEN 'strong' END", "c", "v", pair))
+        out.append(row("predictive_feature", "CASE WHEN abs(v) >= 0.4 AND abs(v) < 0.95 AND n >= 10 THEN 'info' END", "c", "v", pair))
+    out.append(row("group_effect", of("v", 0.15, 0.5), "'o_orderpriority,plain'", "v", f"SELECT 1 - sum(n * s) / (any_value(tn) * any_value(ts)) AS v FROM (SELECT count(*) AS n, var_pop(plain) AS s FROM {t} GROUP BY o_orderpriority), (SELECT count(*) AS tn, var_pop(plain) AS ts FROM {t})"))
+    return f"SELECT * FROM ({' UNION ALL '.join(out)}) WHERE severity IS NOT NULL"
+
+
+@query(sql_all_findings(), "statistic")
 def f26_detect_all(t, spark, sf_dir):
-    frame = t("supplier")
-    return found(patterns.detect_all(frame, profile.profile(frame), "s_acctbal"))
+    """All findings about orders with some derived columns. What five columns say of each other jointly has a query of its own."""
+    frame = offers(t)
+    return found(patterns.detect_all(frame, profile.profile(frame), "plain").filter("kind <> 'multicollinearity'"))
+
+
+@query()
+def f26_detect_all_series(t, spark, sf_dir):
+    frame = t("orders").select("o_orderdate", "o_totalprice", "o_orderstatus")
+    return found(patterns.detect_all(frame, profile.profile(frame)))
 
 
 # Model readiness
@@ -781,7 +862,7 @@ def g3_ranked_advice(t, spark, sf_dir):
     out = None
     for name, task, target in (("events", "forecasting", "value"), ("customer", "regression", "c_acctbal")):
         p = profile.profile(t(name))
-        facts = readiness.facts_of(patterns.detect_all(t(name), p, target, time_limit=1), p)
+        facts = readiness.facts_of(patterns.detect_all(t(name), p, target), p)
         rows = readiness.advise(facts.withColumn("table", F.lit(name)).withColumn("task", F.lit(task)))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -890,7 +971,17 @@ def g15_analyze(t, spark, sf_dir):
 
 @query("SELECT event_id, sha256(lower(trim(event_type)) || chr(31) || user_id::VARCHAR) AS key FROM events")
 def h1_stable_key(t, spark, sf_dir):
-    return t("events").select("event_id", activity.stable_key(F.col("event_type"), F.col("user_id")).alias("key"))
+    return t("events").select("event_id", activity.stable_key(t("events"), "event_type", "user_id").alias("key"))
+
+
+@query("""SELECT event_id, sha256(coalesce(lower(trim(event_type)), '') || chr(31) || CASE WHEN user_id % 3 = 0 THEN '' WHEN event_type < 'm' THEN event_type || ',' || 'p' || user_id ELSE CASE WHEN event_type < 'p' || user_id
+    THEN event_type || ',p' || user_id ELSE 'p' || user_id || ',' || event_type END END) AS key FROM (SELECT event_id, user_id, CASE WHEN user_id % 5 > 0 THEN event_type END AS event_type FROM events) WHERE event_type IS NOT NULL OR user_id % 3 = 0""")
+def h1_stable_key_lists(t, spark, sf_dir):
+    """Keys with nulls and with arrays, whose items come in any order."""
+    rows = t("events").withColumn("event_type", F.when(F.col("user_id") % 5 > 0, F.col("event_type"))).filter("event_type IS NOT NULL OR user_id % 3 = 0")
+    items = F.array(F.concat(F.lit(" P"), F.col("user_id").cast("string")), "event_type")
+    rows = rows.select("event_id", "event_type", F.when(F.col("user_id") % 3 > 0, items).alias("items"))
+    return rows.select("event_id", activity.stable_key(rows, "event_type", "items").alias("key"))
 
 
 @query("SELECT event_id, ts, user_id, event_type, value, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")

@@ -61,7 +61,8 @@ def test_literals_and_names():
     assert number("12") == 12 and number("1e3") == 1000.0
     assert moment("2024-03") == dt.datetime(2024, 3, 1) and moment("05/02/2024") == dt.datetime(2024, 2, 5)
     assert clean_alias("2 Big-Words") == "c_2_big_words" and clean_alias("") == "value"
-    assert normal_columns(["Month ", "Unnamed: 1", "a b", "A-B", "a_b_1", None, "9x"]) == ["month", "column_1", "a_b", "a_b_1", "a_b_1_1", "column_5", "c_9x"]
+    assert normal_columns(["Month ", "Unnamed: 1", "a b", "A-B", "a_b_1", None, "9x"]) == ["month", "column_2", "a_b", "a_b_1", "a_b_1_1", "column_6", "c_9x"]
+    assert normal_columns(["a", "Unnamed: 1", None, "--", "column_2"]) == ["a", "column_2", "column_3", "column_4", "column_2_1"]
     assert table_name("My File", "2024") == "my_file_2024" and table_name("") == "dataset"
 
 
@@ -79,6 +80,20 @@ def test_adhoc_reads_known_tables_only(spark, tmp_path, orders):
     assert adhoc(spark, "WITH x AS (SELECT * FROM a) SELECT count(*) AS n FROM x;", {"a": a}).first()["n"] == 60
     with pytest.raises(NotAllowed):
         adhoc(spark, "SELECT * FROM other_view", {"a": a})
+    spark.createDataFrame([(1,)], "secret int").createOrReplaceTempView("local_view")
+    spark.createDataFrame([(1,)], "secret int").createOrReplaceGlobalTempView("everywhere")
+    spark.createDataFrame([(1,)], "secret int").write.mode("overwrite").saveAsTable("kept_table")
+    foreign = ("local_view", "global_temp.everywhere", "kept_table", "range(3)", "a CROSS JOIN local_view", "(SELECT * FROM a WHERE region IN (SELECT secret FROM local_view))", "a, LATERAL (SELECT secret FROM kept_table)", "(VALUES (1)) AS v")
+    for source in foreign:
+        with pytest.raises(NotAllowed):
+            adhoc(spark, f"SELECT 1 FROM {source}", {"a": a})
+    with pytest.raises(NotAllowed):
+        adhoc(spark, "SELECT reflect('java.lang.System', 'nanoTime') FROM a", {"a": a})
+    assert adhoc(spark, "SELECT (SELECT count(*) FROM a) AS n FROM a AS x JOIN a AS y ON x.region = y.region LIMIT 1", {"a": a}).first()["n"] == 60
+    assert adhoc(spark, "SELECT 1 AS one", {"a": a}).first()["one"] == 1
+    given = spark.createDataFrame([(1,)], "k int")
+    assert adhoc(spark, "SELECT * FROM given", {"given": given}).first()["k"] == 1
+    spark.sql("DROP TABLE kept_table")
     for text in ("DROP TABLE a", f"SELECT * FROM parquet.`{tmp_path / 'b'}`", "SELECT 1; SELECT 2"):
         with pytest.raises(Exception):  # noqa: B017
             adhoc(spark, text, {"a": a})
