@@ -47,7 +47,7 @@ def scratch_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
     A result that is returned may read such tables when it is used, so they stay until `discard`, or `release` for all
@@ -55,7 +55,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tablelens/{RUN}/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     out = spark.read.schema(df.schema).parquet(path)
     out._tablelens_path = path
     return out

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial, reduce
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import discard, materialise, maybe_broadcast
+from tablelens.llm.common import materialise, maybe_broadcast
 
 LENGTH, GRAM = 50, 16
 #: Triggers that a task holds before it deals them out, and triggers of a task that compares them.
@@ -43,7 +44,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _M = np.uint64(0xD6E8FEB86659FD93)
 DEALT = "bucket int, fp binary, context binary, doc binary, rid binary, place binary, hot binary"
-ANSWERS = "rid long, covered binary, asked binary"
+ANSWERS = "bucket int, rid binary, place binary, covered binary"
+KNOWN = "rid long, covered binary, asked binary"
 PIECES = "key long, low int, high int, doc long, rid long, trigger int, first int, n int, bytes binary"
 SPANS = "rid long, start int, end int"
 
@@ -128,17 +130,26 @@ def _settled(fp: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.n
     return order, np.cumsum(_first_of([fp])) - 1, doc > least
 
 
-def _answers(rid: np.ndarray, place: np.ndarray, covered: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
-    """A row for each text of which something is known."""
-    rows = []
+def _answers(rid: np.ndarray, place: np.ndarray, covered: np.ndarray, asked: np.ndarray, buckets: int) -> list[tuple]:
+    """What is known of triggers, packed into a row for each bucket of texts."""
     use = np.flatnonzero(covered | asked)
-    use = use[np.argsort(rid[use], kind="stable")]
-    rid, place, covered, asked = rid[use], place[use], covered[use], asked[use]
-    at = np.flatnonzero(_first_of([rid]))
-    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(rid)], strict=True) if len(rid) else ():
-        rows.append((int(rid[a]), place[a:b][covered[a:b]].tobytes(), place[a:b][asked[a:b]].tobytes()))
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["rid", "covered", "asked"])
+    bucket = _bucket(rid[use], buckets)
+    by = np.lexsort((rid[use], bucket))
+    use, bucket = use[by], bucket[by]
+    at = np.flatnonzero(_first_of([bucket]))
+    ends = [*at[1:].tolist(), len(use)]
+    return [(int(bucket[a]), _packed(rid[use[a:b]]), _packed(place[use[a:b]]), _packed(covered[use[a:b]].astype(np.uint8))) for a, b in zip(at.tolist(), ends, strict=True)] if len(use) else []
+
+
+def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    return ((x.view(np.uint64) * _M) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def _table(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    schema = [(n, kinds[k]) for n, k in (f.split() for f in fields.split(", "))]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, schema, strict=True)], [n for n, _ in schema])
 
 
 _KINDS = (np.uint64, np.uint64, np.int64, np.int64, np.uint32, np.uint8)
@@ -158,21 +169,18 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int, bits: int, length: in
         contexts = np.bincount(group, weights=_first_of(columns[:2]), minlength=1)
         hot = contexts[group] >= local_hot
         lead = hot & _first_of([group])
-        own = _answers(columns[3], columns[4], covered, hot & ~covered)
-        rows = []
+        own = _answers(columns[3], columns[4], covered, hot & ~covered, buckets)
+        rows = [(-1 - bucket, b"", b"", b"", rid, place, known) for bucket, rid, place, known in own]
         send = np.flatnonzero((~covered & ~hot) | lead)
         send = send[np.argsort(columns[3][send], kind="stable")]
-        bucket = ((columns[0][send] * _M) >> np.uint64(33)).astype(np.int64) % buckets
+        bucket = _bucket(columns[0][send], buckets)
         by = np.argsort(bucket, kind="stable")
         send, bucket = send[by], bucket[by]
         at = np.flatnonzero(_first_of([bucket]))
         flags = lead.astype(np.uint8)
         for a, b in zip(at.tolist(), [*at[1:].tolist(), len(send)], strict=True) if len(send) else ():
             rows.append((int(bucket[a]), *(_packed(c[send[a:b]]) for c in columns), _packed(flags[send[a:b]])))
-        for rid, c, k in zip(*(own.column(j).to_pylist() for j in range(3)), strict=True):
-            rows.append((-1 - rid % buckets, b"", b"", b"", np.array([rid], np.int64).tobytes(), c, k))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], [f.split()[0] for f in DEALT.split(", ")])
+        return _table(rows, DEALT)
 
     for batch in batches:
         for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
@@ -188,20 +196,19 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int, bits: int, length: in
         yield out()
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Which contexts earlier documents have, and which triggers have more than one context."""
     cells: list[list[bytes]] = [[] for _ in _KINDS]
     for batch in batches:
         own = []
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[0] < 0:
-                own.append((int(np.frombuffer(row[4], np.int64)[0]), row[5], row[6]))
+                own.append((-1 - row[0], *row[4:]))
             else:
                 for k, c in enumerate(row[1:]):
                     cells[k].append(c)
         if own:
-            cols = list(zip(*own, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["rid", "covered", "asked"])
+            yield _table(own, ANSWERS)
     fp, context, doc, rid, place, hot = (_unpacked(c, k) for c, k in zip(cells, _KINDS, strict=True))
     cells.clear()
     if not len(fp):
@@ -213,7 +220,21 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     several = np.minimum.reduceat(doc, begins) < np.maximum.reduceat(doc, begins)  # of one document nothing is earlier
     common = np.maximum.reduceat(hot, begins) > 0
     asked = ((contexts > 1) & several | common)[group] & ~covered
-    yield _answers(rid, place, covered, asked)
+    yield _table(_answers(rid, place, covered, asked, buckets), ANSWERS)
+
+
+def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text of which something is known."""
+    cells: list[list[bytes]] = [[], [], []]
+    for batch in batches:
+        for k in range(3):
+            cells[k] += batch.column(k + 1).to_pylist()
+    rid, place, covered = (_unpacked(c, kind) for c, kind in zip(cells, (np.int64, np.uint32, np.uint8), strict=True))
+    order = np.lexsort((place, rid))
+    rid, place, covered = rid[order], place[order], covered[order] > 0
+    at = np.flatnonzero(_first_of([rid]))
+    ends = [*at[1:].tolist(), len(rid)]
+    yield _table([(int(rid[a]), place[a:b][covered[a:b]].tobytes(), place[a:b][~covered[a:b]].tobytes()) for a, b in zip(at.tolist(), ends, strict=True)] if len(rid) else [], KNOWN)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -226,8 +247,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[
             b = np.frombuffer(text, np.uint8)
             sums, place, first, last = triggers(hasher, b, length, gram)
             known = np.zeros(len(place), bool)
-            for c in covered:
-                known[np.frombuffer(c, np.uint32)] = True
+            known[np.frombuffer(covered, np.uint32)] = True
             if known.any():
                 lo, hi = first[known], last[known] + length
                 new = np.concatenate(([True], lo[1:] > np.maximum.accumulate(hi)[:-1]))
@@ -236,7 +256,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[
                 zero = np.zeros(len(lo), np.int64)
                 parts.append((zero, zero, zero - 1, zero + doc, zero + rid, hi, lo, zero))
                 texts += [b""] * len(lo)
-            ask = np.unique(np.concatenate([np.frombuffer(c, np.uint32) for c in asked])) if asked else np.zeros(0, np.uint32)
+            ask = np.unique(np.frombuffer(asked, np.uint32))
             ask = ask[~known[ask]]
             for low, high in ((0, half), (half, width)):
                 # windows that start `low` to `high` - 1 bytes before the trigger
@@ -280,13 +300,13 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     most = int(rank.max()) + 1
     by_one = lambda at: s[at] * most + rank[at + 1]
     by_two = lambda at: (s[at] * top + s[at + 1]) * most + rank[at + 2]
-    zeros = zeros[np.argsort(by_one(zeros), kind="stable")]
+    zeros = zeros[np.argsort(by_one(zeros))]
     before = np.searchsorted(np.sort(by_one(ones)), by_one(zeros)) + np.searchsorted(np.sort(by_two(twos)), by_two(zeros))
     order = np.empty(n, np.int64)
     taken = np.zeros(n, bool)
     place = np.arange(len(zeros)) + np.maximum.accumulate(before) if len(zeros) else before
     order[place], taken[place] = zeros, True
-    order[~taken] = sample[np.argsort(name, kind="stable")]
+    order[~taken] = sample[np.argsort(name)]
     # equal neighbours have one rank: by the sample's names, or by the keys that both know
     kind = order % 3
     a, b, p, q = order[:-1], order[1:], kind[:-1], kind[1:]
@@ -306,7 +326,7 @@ def earlier_windows(pieces: list[bytes], doc: np.ndarray, length: int) -> np.nda
     text = np.where(left == 0, 1, b.astype(np.int64) + 2)  # 1 ends a piece
     rank = suffix_ranks(text, length)
     starts = np.flatnonzero(left >= length)
-    starts = starts[np.argsort(rank[starts], kind="stable")]
+    starts = starts[np.argsort(rank[starts])]
     out = np.full(len(b), -1, np.int8)
     if not len(starts):
         return out
@@ -324,14 +344,26 @@ def _sort(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
     """Spans that earlier documents hold, of pieces that come in order of their keys."""
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        _, doc, rid, first, pieces = zip(*rows, strict=True)
-        gone = earlier_windows(list(pieces), np.array(doc, np.int64), length)
-        step = np.diff(np.concatenate(([0], (gone == 1).astype(np.int8), [0])))
-        a, z = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        begin = np.concatenate(([0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)))
-        piece = np.searchsorted(begin, a, "right") - 1
-        shift = np.array(first, np.int64)[piece] - begin[piece]
-        return pa.RecordBatch.from_arrays([pa.array(np.array(rid, np.int64)[piece], pa.int64()), pa.array((a + shift).astype(np.int32)), pa.array((z + shift - 1 + length).astype(np.int32))], ["rid", "start", "end"])
+        # equal pieces of a core hold the same windows: the later ones go whole, and a core of one text is done
+        least: dict[tuple, int] = {}
+        kinds: Counter = Counter()
+        for key, doc, _, _, piece in rows:
+            if (key, piece) not in least:
+                kinds[key] += 1
+            least[key, piece] = min(doc, least.get((key, piece), doc))
+        whole = [(rid, first, first + len(piece)) for key, doc, rid, first, piece in rows if doc > least[key, piece]]
+        rows = [r for r in rows if kinds[r[0]] > 1 and r[1] == least[r[0], r[4]]]
+        found = [np.array(c, np.int64) for c in zip(*whole, strict=True)] if whole else [np.zeros(0, np.int64)] * 3
+        if rows:
+            _, doc, rid, first, pieces = zip(*rows, strict=True)
+            gone = earlier_windows(list(pieces), np.array(doc, np.int64), length)
+            step = np.diff(np.concatenate(([0], (gone == 1).astype(np.int8), [0])))
+            a, z = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+            begin = np.concatenate(([0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)))
+            piece = np.searchsorted(begin, a, "right") - 1
+            shift = np.array(first, np.int64)[piece] - begin[piece]
+            found = [np.concatenate(x) for x in zip(found, (np.array(rid, np.int64)[piece], a + shift, z + shift - 1 + length), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1].astype(np.int32)), pa.array(found[2].astype(np.int32))], ["rid", "start", "end"])
 
     rows, held = [], 0
     for batch in batches:
@@ -409,7 +441,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(NONE)).alias("doc"), "body", F.octet_length("body").cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("rid"), F.xxhash64("body").alias("t1"), F.xxhash64(F.lit(1), "body").alias("t2"))
-    rows = materialise(rows, "rows")
+    rows = materialise(rows, "rows", compression="zstd")  # all texts once more
     long = F.col("n_bytes") >= length
     same = rows.filter(long).groupBy(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "rid")).alias("s")).filter("copies > 1")
     same = materialise(same.select("_t1", "_t2", F.col("s.doc").alias("_doc"), F.col("s.rid").alias("_rid")), "copies")
@@ -420,14 +452,14 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     n = max(1, total * 2 // (length - gram))
     tasks = max(n // TASK_TRIGGERS + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = min(64, max(40, n.bit_length() + 12))
-    dealt = own.select("rid", "doc", "body").mapInArrow(partial(_deal, buckets=4 * tasks, bits=bits, length=length, gram=gram, local_hot=local_hot), DEALT)
-    answers = materialise(dealt.repartition(tasks, "bucket").mapInArrow(_compare, ANSWERS), "answers")
+    buckets = 4 * tasks
+    dealt = own.select("rid", "doc", "body").mapInArrow(partial(_deal, buckets=buckets, bits=bits, length=length, gram=gram, local_hot=local_hot), DEALT)
+    answers = dealt.repartition(tasks, "bucket").mapInArrow(partial(_compare, buckets=buckets), ANSWERS)
+    known = materialise(answers.repartition(tasks, "bucket").mapInArrow(_by_text, KNOWN), "known").withColumnRenamed("rid", "_rid")
     _freed(spark)
-    by_text = answers.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list("covered").alias("covered"), F.collect_list("asked").alias("asked"))  # of one text
-    keys = maybe_broadcast(answers.select(F.col("rid").alias("_rid")).distinct())
-    asked = own.join(keys, F.col("rid") == F.col("_rid"), "left_semi").join(by_text.hint("merge"), F.col("rid") == F.col("_rid"))
-    pieces = materialise(asked.select("rid", "doc", F.col("body").cast("binary"), "covered", "asked").mapInArrow(partial(_cut, length=length, gram=gram), PIECES), "pieces")
-    discard(answers)
+    same = F.col("rid") == F.col("_rid")
+    asked = own.join(maybe_broadcast(known.select("_rid")), same, "left_semi").join(known.hint("merge"), same)
+    pieces = materialise(asked.select("rid", "doc", F.col("body").cast("binary"), "covered", "asked").mapInArrow(partial(_cut, length=length, gram=gram), PIECES), "pieces", compression="zstd")
     _freed(spark)
     covered = pieces.filter("high < 0").select("rid", F.col("first").alias("start"), F.col("trigger").alias("end"))
     spans = _sorted_spans(pieces.filter("high > 0"), length, most)
