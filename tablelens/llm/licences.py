@@ -20,9 +20,12 @@ MIN_COSINE = 0.6
 MIN_FILE_COSINE = 0.8
 #: Terms that a sentence and a template must share at least.
 MIN_SHARED = 2
-#: A file is a licence file by its name, or if licence sentences hold this share of its words.
+#: A tag that names the licence of a file outright.
+SPDX_TAG = r"SPDX-License-Identifier:\s*\(*\s*([A-Za-z0-9][A-Za-z0-9.+-]*)"
+#: Licences whose notice other licences hold too: they count only if nothing else in the file names another.
+SHARED_NOTICES = ("Proprietary", "BSD-2-Clause")
+#: A file is a licence file by its name, or if the whole of it is the text of a licence.
 LICENCE_FILE_NAME = r"(?i)^(un)?licen[cs]e|^copying|^notice|^copyright"
-LICENCE_FILE_SHARE = 0.5
 #: Lines of a wrapped notice that are joined at most, besides whole paragraphs.
 WRAPPED_LINES = 4
 #: Files with a telling term that one task cuts up.
@@ -30,7 +33,10 @@ FILES = 400
 #: What a line of a comment begins with.
 COMMENT = r"^\s*(?:(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--)\s*)?"
 #: Words of templates that texts hold anyway ("mit" is German); all other terms of templates are telling.
-COMMON = frozenset("a all any are as by can either in into is it mit of or that the this to under with you and".split())
+COMMON = frozenset(
+    "a all any are as by can either in into is it mit of or that the this to under with you and "
+    "above appear august be copies covered deal do express february fee from holder including january june its limitation may merge name names neither nor november organization parties persons prepare prior products provided purpose restriction rights sell so specific subject third used works whom without written".split()
+)
 
 #: Usual notices of well-known licences.
 TEMPLATES = (
@@ -39,11 +45,27 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License"),
     ("MIT", "Licensed under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
@@ -68,6 +90,18 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
+    ("BSL-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
     ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
     ("Unlicense", """This is free and unencumbered software released into the public domain.
@@ -150,20 +184,20 @@ def licence_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path
     """One row per input row: doc_id, path, licence, score, origin.
 
     origin is 'own' if the file's own text names the licence, else the directory whose licence file it comes from,
-    '' for the topmost; licence, score and origin are null if there is none. Of several licences in a file the one of
-    the highest cosine counts, then the first by name, and Proprietary only if there is no other, as licensed files
-    reserve rights too; of several licence files in a directory likewise, then the
+    '' for the topmost; licence, score and origin are null if there is none. An SPDX tag decides (score 1), then a file that
+    is the text of a licence as a whole. Of several notices in a file the one of the highest cosine counts, then the first
+    by name, and those of SHARED_NOTICES only if there is no other, as licensed files reserve rights too; of several licence files in a directory likewise, then the
     first path. Rows that share id and path are one file. Null and empty texts have no licence of their own; a file
     without a path inherits none. Other columns are ignored.
     """
     rows = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), text_or_empty(text_col).alias("body"))
     hits = rows.filter(F.col("body").rlike(MARKERS))  # most texts hold no such term and aren't cut up
-    hits = hits.select("doc_id", "path", F.size(F.split("body", r"\s+")).alias("words"), stripped_lines(F.col("body")).alias("all"))
-    hits = materialise(hits.withColumn("marks", F.transform("all", lambda x: x.rlike(MARKERS))), "marked")  # written, so that lines are cut once and not again for each that is joined
+    hits = hits.select("doc_id", "path", F.regexp_extract("body", SPDX_TAG, 1).alias("tag"), stripped_lines(F.col("body")).alias("all"))
+    marked = hits = materialise(hits.withColumn("marks", F.transform("all", lambda x: x.rlike(MARKERS))), "marked")  # written, so that lines are cut once and not again for each that is joined
     hits = hits.repartition(max(1, hits.count() // FILES))
-    hits = hits.select("doc_id", "path", "words", F.inline(sentences(F.col("all"), F.col("marks"))))
+    hits = hits.select("doc_id", "path", F.inline(sentences(F.col("all"), F.col("marks"))))
     # Units are told apart by 128 bits of their text, which isn't carried along.
-    named = hits.select("doc_id", "path", "words", "lines", F.size(F.split("sentence", r"\s+")).alias("size"), F.xxhash64("sentence").alias("u1"), F.xxhash64(F.lit(1), "sentence").alias("u2"), terms(F.col("sentence")).alias("terms"))
+    named = hits.select("doc_id", "path", "lines", F.xxhash64("sentence").alias("u1"), F.xxhash64(F.lit(1), "sentence").alias("u2"), terms(F.col("sentence")).alias("terms"))
     hits = materialise(named, "hits")
     whole = (F.col("lines") == -1).alias("whole")
     units = hits.groupBy("u1", "u2", whole).agg(F.sum((F.col("lines") == 1).cast("long")).alias("n"), F.first("terms").alias("terms"))
@@ -171,15 +205,17 @@ def licence_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path
     matched = materialise(matched_units(units.select("unit", "whole", "n", "terms")), "matched").withColumnRenamed("unit", "m")
     matched = materialise(units.select("u1", "u2", "whole", "unit").join(maybe_broadcast(matched), F.col("unit") == F.col("m")).select(F.col("u1").alias("k1"), F.col("u2").alias("k2"), F.col("whole").alias("k3"), "licence", "score"), "names")
     held = hits.drop("terms").join(maybe_broadcast(matched), (F.col("u1") == F.col("k1")) & (F.col("u2") == F.col("k2")) & ((F.col("lines") == -1) == F.col("k3")))
-    size = F.col("size")
-    total = lambda n: F.coalesce(F.sum(F.when(F.col("lines") == n, size)), F.lit(0))
+    tags = marked.filter("tag <> ''").select("doc_id", "path", F.lit(-2).alias("lines"), F.col("tag").alias("licence"), F.lit(1.0).alias("score"))
+    held = held.select("doc_id", "path", "lines", "licence", "score").unionByName(tags)
+    kind = F.when(F.col("lines") < 0, F.col("lines")).otherwise(F.lit(0))  # a tag, a whole file, a notice
+    shared = (F.col("lines") >= 0) & F.col("licence").isin(*SHARED_NOTICES)
     own = held.groupBy("doc_id", "path").agg(
-        F.min(F.struct((F.col("licence") == "Proprietary").alias("last"), (-F.col("score")).alias("s"), "licence")).alias("best"),
-        (F.greatest(total(0), total(1), F.max(size)) / F.max("words")).alias("share"),  # joined lines overlap and aren't summed
+        F.min(F.struct(kind.alias("kind"), F.when(shared, F.array_position(F.array(*[F.lit(x) for x in SHARED_NOTICES[::-1]]), F.col("licence"))).otherwise(0).alias("last"), (-F.col("score")).alias("s"), "licence")).alias("best"),
+        F.bool_or(F.col("lines") == -1).alias("whole"),
     )
-    own = materialise(own.select("doc_id", "path", F.col("best.licence").alias("own_licence"), (-F.col("best.s")).alias("own_score"), "share"), "own")
+    own = materialise(own.select("doc_id", "path", F.col("best.licence").alias("own_licence"), (-F.col("best.s")).alias("own_score"), "whole"), "own")
     name, folder = F.regexp_extract("path", r"[^/]*$", 0), F.regexp_replace("path", r"/?[^/]*$", "")
-    governing = own.filter(F.col("path").isNotNull() & ((F.col("share") >= LICENCE_FILE_SHARE) | name.rlike(LICENCE_FILE_NAME)))
+    governing = own.filter(F.col("path").isNotNull() & (F.col("whole") | name.rlike(LICENCE_FILE_NAME)))
     governing = governing.groupBy(folder.alias("folder")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own_licence")).alias("best"))
     governing = materialise(governing.select("folder", F.col("best.own_licence").alias("up_licence"), (-F.col("best.s")).alias("up_score")), "governing")
     narrow = rows.select("doc_id", "path").alias("f").join(

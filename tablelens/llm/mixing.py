@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: repetition rates per source, hash-seeded copies per document."""
+"""Mixing sources to target weights: repetition rates per source, hash-seeded copies per document that add up."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.llm.common import WORD, materialise, maybe_broadcast, text_or_empty
+from tablelens.operators.ranks import running_counts
 
-#: Hexadecimal digits of the md5 that seed a document's draw: 52 bits, exact in a double.
+#: Hexadecimal digits of the md5 that seed a draw: 52 bits, exact in a double.
 DRAW_DIGITS = 13
 
 
@@ -17,9 +18,9 @@ def word_count(text_col: str = "text") -> Column:
     return F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
 
 
-def draw(id_col: str, seed: str) -> Column:
-    """A number in [0, 1) that depends on the seed and the id alone; a null id draws as the text 'null'."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+def draw(column: str, seed: str) -> Column:
+    """A number in [0, 1) that depends on the seed and the value alone; a null draws as the text 'null'."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(column).cast("string"), F.lit("null")))
     return F.conv(F.substring(F.md5(key), 1, DRAW_DIGITS), 16, 10).cast("double") / F.lit(float(16**DRAW_DIGITS))
 
 
@@ -66,30 +67,51 @@ def with_rates(targets: DataFrame) -> DataFrame:
     return targets.withColumn("whole", F.floor(rate)).withColumn("fraction", rate - F.floor(rate))
 
 
-def n_copies(id_col: str, seed: str, whole: str = "whole", fraction: str = "fraction") -> Column:
-    """Copies of a document beside its source's rate: `whole`, and one more with probability `fraction`."""
-    return (F.col(whole) + (draw(id_col, seed) < F.col(fraction)).cast("int")).cast("int")
+def copies(sizes: DataFrame, rates: DataFrame, seed: str) -> DataFrame:
+    """doc_id, source, size, tie, n_rows, source_size, target, n_copies: a row per document, with its number of copies.
+
+    Every document gets `whole` copies, and one more with probability `fraction`. The draws of a source aren't independent:
+    its documents are numbered by size, then by a hash of the id, the fraction is added up along them from one
+    hash-seeded offset, and a copy is given where the sum passes a whole number. Of two neighbours about one size apart one
+    gets the copy instead of the other, so that a source's words miss its target by no more than its largest document.
+    Numbers come from ranges that go on where those before ended, so no task holds a source. Rows that agree in id,
+    source and text share their copies.
+    """
+    units = sizes.groupBy("doc_id", "source", "size", "tie").agg(F.count(F.lit(1)).alias("n_rows"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    units = units.withColumn("order", F.struct("size", F.md5(F.concat(F.lit(f"{seed}:"), name)).alias("h"), "doc_id", "tie"))
+    numbered = running_counts(units, ["source"], "order", "n_rows")
+    rated = numbered.join(maybe_broadcast(rates.withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source")))
+    passed = lambda k: F.floor(draw("source", seed) + k * F.col("fraction"))
+    given = passed(F.col("before") + F.col("n_rows")) - passed(F.col("before"))
+    more = (2 * given >= F.col("n_rows")).cast("int")
+    return rated.select("doc_id", "source", "size", "tie", "n_rows", "source_size", "target", "whole", (F.col("whole") + more).cast("int").alias("n_copies"))
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    return materialise(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), F.xxhash64(text_or_empty("text")).alias("tie")), "sizes")
 
 
 def mix_report(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted).
 
-    A document's copies are independent of all others', so a source's taken words have the target as their mean and
-    sqrt(sum(size^2) * fraction * (1 - fraction)) as their standard deviation. Null texts and texts without words have
-    size 0 and are never counted as taken. Null sources form one source. Rows that repeat an id share its draw.
+    A source's taken words differ from its target by no more than its largest document (see `copies`). Null texts and texts
+    without words have size 0 and are never counted as taken. Null sources form one source. Reruns agree.
     """
-    sizes = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
-    sizes = materialise(sizes, "sizes")
-    rates = materialise(with_rates(source_targets(sizes, weights, max_repeats)), "rates").withColumnRenamed("source", "__source")
-    out = sizes.join(maybe_broadcast(rates), F.col("source").eqNullSafe(F.col("__source")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * n_copies("doc_id", seed)).alias("taken"))
+    sizes = _sizes(docs)
+    rates = materialise(with_rates(source_targets(sizes, weights, max_repeats)), "rates")
+    out = copies(sizes, rates, seed).withColumn("_row", F.explode(F.array_repeat(F.lit(0), F.col("n_rows").cast("int"))))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix") -> DataFrame:
-    """The mixed corpus: every document floor(rate) times plus its drawn copy, columns of `docs` unchanged."""
-    sizes = materialise(docs.select(F.col("source").cast("string").alias("source"), word_count().alias("size")), "sizes")
+    """The mixed corpus: every document as often as `copies` says, columns of `docs` unchanged."""
+    sizes = _sizes(docs)
     rates = materialise(with_rates(source_targets(sizes, weights, max_repeats)), "rates")
-    rates = rates.select(F.col("source").alias("__tl_source"), F.col("whole").alias("__tl_whole"), F.col("fraction").alias("__tl_fraction"))
-    joined = docs.join(maybe_broadcast(rates), F.col("source").cast("string").eqNullSafe(F.col("__tl_source")))
-    n = n_copies("doc_id", seed, "__tl_whole", "__tl_fraction")
+    drawn = materialise(copies(sizes, rates, seed).filter("n_copies > whole").select(F.col("doc_id").alias("__tl_id"), F.col("source").alias("__tl_of"), F.col("tie").alias("__tl_tie")), "drawn")
+    rates = rates.select(F.col("source").alias("__tl_source"), F.col("whole").alias("__tl_whole"))
+    source = F.col("source").cast("string")
+    same = F.col("doc_id").eqNullSafe(F.col("__tl_id")) & source.eqNullSafe(F.col("__tl_of")) & (F.xxhash64(text_or_empty("text")) == F.col("__tl_tie"))
+    joined = docs.join(maybe_broadcast(rates), source.eqNullSafe(F.col("__tl_source"))).join(maybe_broadcast(drawn, 1_000_000), same, "left")
+    n = (F.col("__tl_whole") + F.col("__tl_tie").isNotNull().cast("int")).cast("int")
     return joined.withColumn("__tl_copy", F.explode(F.array_repeat(F.lit(0), n))).select(*docs.columns)

@@ -84,13 +84,15 @@ def with_rules(counts: DataFrame) -> DataFrame:
 def host_verdicts(ruled: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """host, n_docs, n_failed, host_rate (shrunk), host_ok.
 
-    The beta prior is fitted to the hosts' raw rates by moments, hosts counting alike. With fewer than two hosts, or
-    rates that don't vary, the prior weighs as much as one average host. A null host is one more host.
+    The beta prior is fitted to the hosts' raw rates by moments, hosts counting alike. What a host's rate varies by chance,
+    as it has so few documents, is taken off the variance first, so that small hosts don't make the prior too wide. Rates
+    that vary no more than by chance get a prior that weighs as much as all documents. A null host is one more host.
     """
     hosts = ruled.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     hosts = materialise(hosts, "hosts")
     raw = F.col("n_failed") / F.col("n_docs")
-    mean, variance, size = hosts.agg(F.avg(raw), F.coalesce(F.var_samp(raw), F.lit(0.0)), F.avg("n_docs")).first()
+    chance = F.avg(raw * (1 - raw) / F.greatest(F.col("n_docs") - 1, F.lit(1)))
+    mean, variance, size = hosts.agg(F.avg(raw), F.coalesce(F.var_samp(raw), F.lit(0.0)) - chance, F.sum("n_docs")).first()
     if mean is None:  # no hosts
         mean, variance, size = 0.0, 0.0, 1.0
     spread = mean * (1 - mean)

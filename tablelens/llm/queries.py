@@ -112,7 +112,7 @@ ORACLE_SQL: dict[str, str] = {
                    OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 10 * n_words AS failed
             FROM c),
         h AS (SELECT source, count(*) AS n, sum(failed::INT) AS f, sum(failed::INT) / count(*) AS p FROM r GROUP BY source),
-        m AS (SELECT avg(p) AS m, coalesce(var_samp(p), 0) AS v, avg(n) AS size FROM h),
+        m AS (SELECT avg(p) AS m, coalesce(var_samp(p), 0) - avg(p * (1 - p) / greatest(n - 1, 1)) AS v, sum(n) AS size FROM h),
         b AS (SELECT m, CASE WHEN v > 0 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE size END AS s FROM m),
         ok AS (SELECT source, (f + m * s) / (n + s) <= 0.5 AS host_ok FROM h, b)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -144,9 +144,11 @@ ORACLE_SQL: dict[str, str] = {
             FROM c, l),
         r AS (
             SELECT doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-                   ('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u
+                   row_number() OVER (PARTITION BY d.source ORDER BY size, md5('mix:' || doc_id), doc_id) AS k,
+                   ('0x' || substr(md5('mix:' || coalesce(d.source, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken
+        SELECT doc_id, size, source_size, target,
+               (size * (floor(rate) + floor(u + k * (rate - floor(rate))) - floor(u + (k - 1) * (rate - floor(rate)))))::BIGINT AS taken
         FROM r""",
     "op11_collocations": r"""
         WITH d AS (

@@ -368,6 +368,9 @@ def test_mixing(docs, rows, empty):
         assert r["size"] == sizes[r["doc_id"]] and r["source_size"] == per[sources[r["doc_id"]]]
         assert r["target"] == pytest.approx(target[sources[r["doc_id"]]])
         assert r["size"] == 0 and r["taken"] == 0 or r["taken"] % r["size"] == 0 and r["taken"] <= 3 * r["size"]
+    for source in target:
+        own = [r for r in found if sources[r["doc_id"]] == source]
+        assert abs(sum(r["taken"] for r in own) - target[source]) <= max((r["size"] for r in own), default=0) + 1e-6
     again = {r["doc_id"]: r["taken"] for r in mixing.mix_report(docs).collect()}
     assert again == {r["doc_id"]: r["taken"] for r in found}
     copies = Counter(r["doc_id"] for r in mixing.mix(docs).collect())
@@ -375,6 +378,34 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix_report(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_of_few_unequal_and_repeated_documents(spark):
+    rng = random.Random(8)
+    rows = [(k, "w " * rng.choice([0, 1, 5, 400, 3000]), rng.choice("abcdefg")) for k in range(60)]
+    rows += [(100, "w " * 50, "a")] * 3 + [(100, "other " * 50, "a"), (None, "w " * 70, "b"), (None, None, None), (101, "w " * 20, None)]
+    docs = frame(spark, rows).repartition(5)
+    found = mixing.mix_report(docs).collect()
+    assert len(found) == len(rows)
+    per = {}
+    for r in found:
+        cell = per.setdefault((r["target"], r["source_size"]), [0, 0])
+        cell[0] += r["taken"]
+        cell[1] = max(cell[1], r["size"])
+    assert len(per) == 8 and all(abs(taken - target) <= 1.5 * largest for (target, _), (taken, largest) in per.items())
+    words = Counter(len(words_of(r["text"])) for r in mixing.mix(docs).collect())
+    assert sum(k * n for k, n in words.items()) == sum(r["taken"] for r in found)
+
+
+def test_prior_is_freed_of_chance(spark):
+    """Hosts of five documents with one rate: what they differ by is chance, so that all are shrunk to one rate."""
+    rng = random.Random(1)
+    ruled = [(f"h{k}", rng.random() < 0.3) for k in range(200) for _ in range(5)]
+    rates = [r["host_rate"] for r in quality.host_verdicts(spark.createDataFrame(ruled, "host string, failed boolean")).collect()]
+    assert max(rates) - min(rates) < 0.15
+    varied = ruled[:500] + [(f"v{k}", rng.random() < 0.9) for k in range(100) for _ in range(5)]
+    rates = {r["host"]: r["host_rate"] for r in quality.host_verdicts(spark.createDataFrame(varied, "host string, failed boolean")).collect()}
+    assert sum(r > 0.5 for h, r in rates.items() if h[0] == "v") > 90 and sum(r > 0.5 for h, r in rates.items() if h[0] == "h") < 30
+
+
 # 10
 
 
@@ -632,6 +663,37 @@ def test_every_template_as_a_file(spark):
     assert found == {k: (name, "own") for k, name in expected.items()} | inherited | {9_000: (None, None), 9_001: (None, None), 9_002: ("Apache-2.0", "own"), 9_003: ("Apache-2.0", "ties")}
 
 
+def test_licences_that_hold_others_and_tags(spark):
+    texts = dict((name, text) for name, text in licences.FILE_TEMPLATES)
+    rest = "\n".join(f"Section {k} of these terms and conditions, in which nothing much is said." for k in range(400))
+    titles = {"GPL-2.0": "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991", "GPL-3.0": "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007", "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "Apache-2.0": "Apache License\nVersion 2.0, January 2004", "MPL-2.0": "Mozilla Public License Version 2.0\n=====", "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"}
+    rows, want = [], {}
+    for k, name in enumerate(["BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "Zlib", "BSL-1.0", "Unlicense"]):
+        rows += [(k, f"w{k}/LICENSE", f"Copyright (c) 2020, Some One\nAll rights reserved.\n\n{texts[name]}"), (20 + k, f"h{k}/x.c", "/*\n * Copyright. All rights reserved.\n * " + texts[name].replace("\n", "\n * ") + "\n */\n" + "int x = 1;\n" * 300)]
+        want[k] = want[20 + k] = name
+    for k, (name, title) in enumerate(titles.items()):
+        rows.append((40 + k, f"t{k}/COPYING", f"{title}\n\n{rest}"))
+        want[40 + k] = name
+    for k, tag in enumerate(["MIT", "BSD-2-Clause", "GPL-3.0-only", "Apache-2.0", "LGPL-2.1-or-later", "0BSD"]):
+        rows.append((60 + k, f"s{k}/x.py", f"# SPDX-License-Identifier: {tag}\n# All rights reserved.\nimport this\n"))
+        want[60 + k] = tag
+    rows.append((70, "s9/long.py", "word " * 200_000 + "\n# SPDX-License-Identifier: (MIT OR ISC)\n" + "Licensed under the Apache License, Version 2.0\n" * 2000))
+    want[70] = "MIT"
+    found = {r["doc_id"]: r["licence"] for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {k: found[k] for k in want} == want
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/usr/share/common-licenses"), reason="no texts of licences here")
+def test_full_texts_of_licences(spark):
+    want = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = []
+    for k, name in enumerate(want):
+        with open(f"/usr/share/common-licenses/{name}", encoding="utf-8") as f:
+            rows.append((k, f"{name}/COPYING", f.read()))
+    found = {r["path"].split("/")[0]: r["licence"] for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert found == want
+
+
 def test_scores_are_tf_idf_cosines(spark):
     """Against dense vectors in numpy."""
     rng = random.Random(4)
