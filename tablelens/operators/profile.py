@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,11 +80,31 @@ def buckets(profiled: DataFrame) -> DataFrame:
     return profiled.withColumn("bucket", kind).filter("bucket IS NOT NULL").groupBy("bucket").agg(F.array_join(F.array_sort(F.collect_list("column")), ",").alias("columns"))
 
 
-def duplicate_rows(frame: DataFrame) -> DataFrame:
-    """n_rows, n_duplicates: rows beyond the first of equal ones, nulls equal. Rows are grouped by a 128-bit hash."""
-    text = F.to_json(F.struct(*frame.columns), {"ignoreNullFields": "false"})
-    rows = frame.select(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
+def row_hashes(frame: DataFrame) -> list[Column]:
+    """Two hashes of a row's columns. What is null is hashed too, as hashes pass over nulls."""
+    parts = [x for f in frame.schema for x in (F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f.name), F.col(f.name).isNull())]
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (0, 1)]
+
+
+def duplicate_rows(frame: DataFrame, hashes: Callable[[DataFrame], list[Column]] = row_hashes) -> DataFrame:
+    """n_rows, n_duplicates: rows beyond the first of equal ones, nulls equal.
+
+    Rows are counted by hashes. Only rows whose hashes repeat are compared by their values, and equal ones of a task are one
+    row before they are dealt out, so that many copies of a row are no burden. Without repeating hashes the values aren't
+    looked at.
+    """
+    a, b = hashes(frame)
+    counts = frame.select(a.alias("a"), b.alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count_if(F.col("n") > 1).alias("repeating"))
+    n_rows, repeating = total.first()
+    n_duplicates = 0
+    if repeating:
+        again = counts.filter("n > 1").select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+        names = {f.name: f"_{k}" for k, f in enumerate(frame.schema)}
+        values = [(F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f.name)).alias(names[f.name]) for f in frame.schema]
+        rows = frame.select(*values, a.alias("a"), b.alias("b")).join(again, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_semi")
+        n_duplicates = rows.groupBy(*names.values()).agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return frame.sparkSession.createDataFrame([(n_rows, n_duplicates)], "n_rows long, n_duplicates long")
 
 
 #: Bytes of a value of fixed width; texts have their length, and nested values that of their JSON.

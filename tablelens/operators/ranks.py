@@ -130,22 +130,26 @@ def exact_quantiles(frame: DataFrame, wanted: dict[str, Sequence[float]], few: i
     return out
 
 
-def running_counts(counts: DataFrame, keys: Sequence[str], value: str = "v", n: str = "n") -> DataFrame:
-    """`counts` (a row per key and value) with `before`, the sum of n over a key's smaller values, and `total`.
+def running_counts(counts: DataFrame, keys: Sequence[str], value: str = "v", n: str = "n", more: Sequence[str] = ()) -> DataFrame:
+    """`counts` (a row per key and value) with `before`, the sum of n over a key's smaller values, and `total`; for other
+    columns to be summed up, `more`, likewise before_ and total_ with their names.
 
     Rows are dealt by ranges of key and value and written; each range is summed up by itself, and a key goes on with what
     its earlier ranges hold. A key of very many values lies in many ranges.
     """
     ranged = counts.repartitionByRange(*[F.asc(k) for k in keys], F.asc(value)).withColumn("_range", F.spark_partition_id())
     ranged = written(ranged, "ranges")
-    parts = ranged.groupBy("_range", *keys).agg(F.sum(n).alias("_n"))
+    sums = {n: ("before", "total")} | {c: (f"before_{c}", f"total_{c}") for c in more}
+    parts = ranged.groupBy("_range", *keys).agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
     w = Window.partitionBy(*keys)
-    parts = parts.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k_{k}") for k in keys], (F.sum("_n").over(w.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("total"))  # a row per key and range
+    carried = [x for c, (_, total) in sums.items() for x in ((F.sum(f"_s_{c}").over(w.orderBy("_range")) - F.col(f"_s_{c}")).alias(f"_b_{c}"), F.sum(f"_s_{c}").over(w).alias(total))]
+    parts = parts.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k_{k}") for k in keys], *carried)  # a row per key and range
     same = F.col("_range") == F.col("_r")
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    inner = F.sum(n).over(Window.partitionBy("_range", *keys).orderBy(value)) - F.col(n)
-    return ranged.withColumn("_in", inner).join(parts, same).select(*counts.columns, (F.col("_before") + F.col("_in")).alias("before"), "total")
+    inner = Window.partitionBy("_range", *keys).orderBy(value)
+    ranged = ranged.withColumns({f"_i_{c}": F.sum(c).over(inner) - F.col(c) for c in sums})
+    return ranged.join(parts, same).select(*counts.columns, *[x for c, (before, total) in sums.items() for x in ((F.col(f"_b_{c}") + F.col(f"_i_{c}")).alias(before), total)])
 
 
 def grouped_quantiles(frame: DataFrame, keys: Sequence[str], column: str, p: float, alias: str) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 from tablelens.functions.stats import safe_corr
 from tablelens.operators.columns import tidy
+from tablelens.operators.ranks import running_counts
+from tablelens.sources.scratch import written
 
 LEAK = 0.95
 #: Folds, rounds of boosting, and repeats of each permutation.
@@ -154,7 +156,7 @@ def stratified_folds(frame: DataFrame, label: str, key: Sequence[str], folds: in
     sizes = rows.groupBy(F.col(label).alias("_l"), F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("_l").orderBy("_q")) - F.col("_n"))  # a row per class and part
     place = F.row_number().over(Window.partitionBy(label, "_p").orderBy("_h", *key)) - 1
-    joined = rows.withColumn("_place", place).join(F.broadcast(before), F.col(label).eqNullSafe(F.col("_l")) & (F.col("_p") == F.col("_q")))
+    joined = rows.withColumn("_place", place).join(before, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_p") == F.col("_q")))
     return joined.withColumn("fold", F.pmod(F.col("_place") + F.col("_before"), F.lit(folds)).cast("int")).select(*frame.columns, "fold")
 
 
@@ -239,19 +241,26 @@ def class_metrics(scored: DataFrame) -> dict[str, float]:
     f1 = {c: 2 * hit[c] / max(1, true[c] + said[c]) for c in classes}
     out = {"balanced_accuracy": sum(hit[c] / true[c] for c in classes) / len(classes), "macro_f1": sum(f1.values()) / len(classes)}
     if len(classes) == 2 and "probability" in scored.columns:
-        # scores are counted at 10,000 steps, so that ranks come from a table of bounded size
-        step = F.floor(vector_to_array("probability")[1] * 10_000).cast("int")
-        rows = scored.groupBy(step.alias("s")).agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("s")).collect()
-        total, count = sum(r["p"] for r in rows), sum(r["n"] for r in rows)
-        tp = seen = area = precision = 0.0
-        for r in rows:
-            area += (r["n"] - r["p"]) * (tp + r["p"] / 2)
-            tp, seen = tp + r["p"], seen + r["n"]
-            precision += r["p"] / total * tp / seen
-        out |= {"roc_auc": area / (total * (count - total)), "average_precision": precision, "f1": f1[1.0]}
+        out |= ranking_metrics(scored.select("label", vector_to_array("probability")[1].alias("score"))) | {"f1": f1[1.0]}
     return out
 
 
+def ranking_metrics(scored: DataFrame) -> dict[str, float]:
+    """roc_auc and average_precision of (label 0 or 1, score), exact: rows of one score are one step. Scores are counted and
+    summed up by ranges, so that no task sorts them all. NaN where a class is missing."""
+    steps = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("p")).withColumn("all", F.lit(0))
+    ranked = running_counts(steps, ["all"], "score", "n", ["p"])
+    found, seen = F.col("total_p") - F.col("before_p"), F.col("total") - F.col("before")  # at this score or above
+    row = ranked.agg(
+        F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum(F.col("p") / F.col("total_p") * found / seen).alias("precision"),
+        F.max("total_p").alias("p"), F.max("total").alias("n"),
+    ).first()
+    p, n = row["p"] or 0, row["n"] or 0
+    if not p or p == n:
+        return {"roc_auc": math.nan, "average_precision": math.nan}
+    return {"roc_auc": (row["ranks"] - p * (p + 1) / 2) / (p * (n - p)), "average_precision": row["precision"]}
+
+
 def baseline(frame: DataFrame, profiled: DataFrame, target: str, folds: int = FOLDS, rounds: int = ROUNDS, repeats: int = REPEATS, time: str | None = None, key: Sequence[str] | None = None) -> Baseline:
     """Gradient boosting under cross-validation beside the trivial guess; columns that leak the target are dropped first.
 
@@ -321,9 +330,9 @@ def _weighted(train: DataFrame, task: str) -> DataFrame:
 
 
 def numbered(frame: DataFrame, place: str) -> DataFrame:
-    """Adds the numbers 0, 1, 2, ... to rows, by the rows of the partitions before. The frame is kept, as numbers that
+    """Adds the numbers 0, 1, 2, ... to rows, by the rows of the partitions before. The rows are written, as numbers that
     were given twice need not agree."""
-    kept = frame.withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).persist()
+    kept = written(frame.withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
     before, seen = {}, 0
     for r in kept.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():  # a row per partition
         before[r["_part"]], seen = seen, seen + r["n"]
@@ -334,23 +343,40 @@ def numbered(frame: DataFrame, place: str) -> DataFrame:
 def permutation_importance(transform, test: DataFrame, columns: Sequence[str], task: str, repeats: int = 5, top: int = 15, seed: int = 7) -> DataFrame:
     """column, importance: how much the score falls, on average, when a column's values are dealt to other rows.
 
-    Row i gets the value of row (a i + b) mod n, with another a, coprime to n, and b each time: a join on numbers, and
-    no task orders all rows. Importances are divided by the sum of their absolute values.
+    In repeat k row i gets the values of row (a i + b) mod n, with another a, coprime to n, and b each time. One join brings
+    a row the values it gets in all repeats; the row is then stacked once for each column and repeat, with that column's
+    value replaced, and all versions are scored in one pass and grouped. Importances are divided by the sum of their
+    absolute values.
     """
     spark, rng = test.sparkSession, random.Random(seed)
     rows = numbered(test, "_at")
-    n = rows.count()
-    score = (lambda d: regression_metrics(d)["r2"]) if task == "regression" else (lambda d: class_metrics(d)["balanced_accuracy"])
-    whole, drops = score(transform(test)), []
-    for c in columns:
-        falls = []
-        for _ in range(repeats):
-            a = next(x for x in iter(lambda: rng.randrange(1, max(2, n)), None) if math.gcd(x, max(1, n)) == 1)
-            b = rng.randrange(max(1, n))
-            dealt = rows.select(F.col("_at").alias("_from"), F.col(c).alias("_v"))
-            wanted = F.pmod(F.col("_at").cast("decimal(38,0)") * F.lit(a).cast("decimal(19,0)") + F.lit(b), F.lit(max(1, n))).cast("long")
-            mixed = rows.withColumn("_wanted", wanted).join(dealt, F.col("_wanted") == F.col("_from")).withColumn(c, F.col("_v")).select(*test.columns)
-            falls.append(whole - score(transform(mixed)))
-        drops.append((c, sum(falls) / len(falls)))
+    n = max(1, rows.count())
+    steps = []
+    for k in range(repeats):
+        a = next(x for x in iter(lambda: rng.randrange(1, max(2, n)), None) if math.gcd(x, n) == 1)
+        steps.append((k, a, rng.randrange(n)))
+    wanted = F.array(*[F.struct(F.lit(k).alias("repeat"), F.pmod(F.col("_at").cast("decimal(38,0)") * F.lit(a).cast("decimal(19,0)") + F.lit(b), F.lit(n)).cast("long").alias("_wanted")) for k, a, b in steps])
+    asked = rows.select("*", F.explode(wanted).alias("_w")).select(*test.columns, "_w.*")
+    dealt = rows.select(F.col("_at").alias("_from"), F.struct(*columns).alias("_other"))
+    both = asked.join(dealt, F.col("_wanted") == F.col("_from"))
+    # version -1 is the row as it is, in the first repeat only
+    versions = F.concat(F.array(*[F.lit(k) for k in range(len(columns))]), F.when(F.col("repeat") == 0, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")))
+    stacked = both.withColumn("version", F.explode(versions))
+    stacked = stacked.withColumns({c: F.when(F.col("version") == k, F.col("_other")[c]).otherwise(F.col(c)) for k, c in enumerate(columns)})
+    scored = transform(stacked.select(*test.columns, "version", "repeat"))
+    scores = _scores(scored, task)
+    whole = scores.get((-1, 0), 0.0)
+    drops = [(c, sum(whole - scores[k, r] for r in range(repeats)) / repeats) for k, c in enumerate(columns)] if scores else [(c, 0.0) for c in columns]
     total = sum(abs(d) for _, d in drops) or 1.0
     return spark.createDataFrame([(c, d / total) for c, d in drops], "column string, importance double").orderBy(F.desc("importance"), "column").limit(top)
+
+
+def _scores(scored: DataFrame, task: str) -> dict[tuple[int, int], float]:
+    """R2 or balanced accuracy of each version and repeat."""
+    by = ("version", "repeat")
+    if task == "regression":
+        e = F.col("label") - F.col("prediction")
+        rows = scored.groupBy(*by).agg((1 - F.try_divide(F.avg(e * e), F.var_pop("label"))).alias("score")).collect()  # a row per column and repeat
+        return {(r["version"], r["repeat"]): r["score"] or 0.0 for r in rows}
+    hits = scored.groupBy(*by, "label").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("hit"))
+    return {(r["version"], r["repeat"]): r["score"] for r in hits.groupBy(*by).agg(F.avg("hit").alias("score")).collect()}

@@ -81,6 +81,49 @@ def a8_mixed_dates(t, spark, sf_dir):
     return warehouse.promote_dates(t("orders").select("o_orderkey", written.alias("ordered")))
 
 
+def in_database(t, spark: SparkSession) -> tuple[str, dict[str, str]]:
+    """A database within the driver that holds customer, and a view of it. Its rows can be read by one process only, so
+    these queries are for local sessions; elsewhere give read_jdbc the URL of a server."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise NotImplementedError("an embedded database is open to a single process")
+    spark._jvm.System.setProperty("derby.stream.error.file", "/dev/null")
+    url, options = f"jdbc:derby:memory:{uuid.uuid4().hex}", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = t("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    rows.write.format("jdbc").options(url=f"{url};create=true", dbtable="customer", createTableColumnTypes="c_name VARCHAR(64), c_mktsegment VARCHAR(64)", **options).save()
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    connection.createStatement().execute("CREATE VIEW debtors AS SELECT * FROM customer WHERE c_acctbal < 0")
+    connection.close()
+    return url, options
+
+
+def _lower(frame: DataFrame) -> DataFrame:
+    return frame.toDF(*[c.lower() for c in frame.columns])
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 1000")
+def a3_database_table(t, spark, sf_dir):
+    """A table read in ranges of its key; the filter goes to the database."""
+    url, options = in_database(t, spark)
+    read = _lower(readers.read_jdbc(spark, url, "CUSTOMER", partition_column="C_CUSTKEY", parts=4, **options))
+    return read.filter("c_acctbal > 1000").select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+def a4_database_query(t, spark, sf_dir):
+    url, options = in_database(t, spark)
+    read = _lower(readers.read_jdbc(spark, url, query="SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment", **options))
+    return read.select("c_mktsegment", F.col("n").cast("long").alias("n"))
+
+
+@query("SELECT 'customer' AS name, 'table' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'debtors', 'view', count(*) FROM customer WHERE c_acctbal < 0")
+def a14_list_database(t, spark, sf_dir):
+    """The objects of a database, with their rows."""
+    url, options = in_database(t, spark)
+    listed = readers.list_database(spark, url, **options)
+    counts = [readers.read_jdbc(spark, url, o.name, **options).agg(F.lit(o.name.lower()).alias("name"), F.lit(o.kind).alias("kind"), F.count(F.lit(1)).alias("n")) for o in listed]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def a1_csv_scan(t, spark, sf_dir):
     """Customers exported as CSV and read again."""
@@ -941,6 +984,19 @@ def g12_class_metrics(t, spark, sf_dir):
     return spark.createDataFrame([(m["balanced_accuracy"], m["macro_f1"])], "balanced_accuracy double, macro_f1 double")
 
 
+_SCORED = "SELECT (o_totalprice > 150000)::INT AS label, round(o_totalprice / 50000 + o_orderkey % 7, 1) AS score FROM orders"
+
+
+@query(f"""WITH s AS (SELECT score, count(*) AS n, sum(label) AS p FROM ({_SCORED}) GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY score) - n AS below, sum(n) OVER (ORDER BY score DESC) AS seen,
+    sum(p) OVER (ORDER BY score DESC) AS hits, sum(p) OVER () AS tp, sum(n) OVER () AS tn FROM s)
+    SELECT (sum(p * (below + (n + 1) / 2)) - any_value(tp) * (any_value(tp) + 1) / 2) / (any_value(tp) * (any_value(tn) - any_value(tp))) AS roc_auc, sum(p / tp * hits / seen) AS average_precision FROM r""", "roc_auc", "average_precision")
+def g12_ranking_metrics(t, spark, sf_dir):
+    """Scores with many ties against a class of about half the rows."""
+    scored = t("orders").select((F.col("o_totalprice") > 150_000).cast("int").alias("label"), F.round(F.col("o_totalprice") / 50_000 + F.col("o_orderkey") % 7, 1).alias("score"))
+    m = readiness.ranking_metrics(scored)
+    return spark.createDataFrame([(m["roc_auc"], m["average_precision"])], "roc_auc double, average_precision double")
+
+
 @query()
 def g14_baseline_regression(t, spark, sf_dir):
     frame = t("part").select("p_partkey", "p_brand", "p_size", "p_retailprice")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,17 +69,33 @@ def ingest(frame: DataFrame, table: str) -> DataFrame:
     return columns.crossJoin(F.broadcast(grain(columns))).withColumn("dataset", F.lit(name))  # the grain is one row
 
 
-def ingest_all(spark: SparkSession, objects: dict[str, Callable[[], DataFrame]], prefix: str = "") -> DataFrame:
-    """(object, table, n_rows, problem): every object of a source; one that fails is named with ! and the rest go on."""
-    done = []
-    for name, read in objects.items():
+#: Objects of a source that are ingested at once.
+AT_ONCE = 8
+
+
+def ingest_all(spark: SparkSession, objects: dict[str, Callable[[], DataFrame]], prefix: str = "", at_once: int = AT_ONCE) -> DataFrame:
+    """(object, table, n_rows, problem): every object of a source, in order; one that fails is named with ! and the rest go on.
+
+    Objects are read side by side by threads that inherit the session's properties, each in a scheduler pool of its own, so
+    that with fair scheduling a large one doesn't hold up the others. Two objects of one table name follow each other.
+    """
+
+    def one(name: str, read: Callable[[], DataFrame]) -> tuple:
         try:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"ingest {name}")
             table = table_name(prefix, name)
             ingest(read(), table)
-            done.append((name, table, spark.table(table).count(), None))
+            return name, table, spark.table(table).count(), None
         except (ValueError, AnalysisException) as problem:
-            done.append((f"!{name}", None, None, str(problem)))
-    return spark.createDataFrame(done, "object string, table string, n_rows long, problem string")
+            return f"!{name}", None, None, str(problem)
+
+    by_table: dict[str, list[str]] = {}
+    for name in objects:
+        by_table.setdefault(table_name(prefix, name), []).append(name)
+    work = lambda names: [(name, one(name, objects[name])) for name in names]
+    with ThreadPoolExecutor(max(1, min(at_once, len(by_table)))) as pool:
+        found = dict(pair for pairs in pool.map(inheritable_thread_target(spark)(work), by_table.values()) for pair in pairs)
+    return spark.createDataFrame([found[name] for name in objects], "object string, table string, n_rows long, problem string")
 
 
 def look(spark: SparkSession, table: str, rows: int = FRAME_ROWS) -> DataFrame:
