@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
@@ -10,6 +9,8 @@ from typing import TypeVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelens.sources.scratch import RUN, release, scratch_dir  # noqa: F401
+
 T = TypeVar("T")
 
 #: Java pattern of a word: a run of anything but ASCII white space. Python's bytes.split() cuts at the same bytes.
@@ -32,21 +33,6 @@ def held(owner: str, key: object, build: Callable[[], T]) -> T:
     return _held["made"]
 
 
-#: The folder of this process's tables, below the shared one.
-RUN = uuid.uuid4().hex
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names. Only a local session, whose driver and executors are one process, may
-    do without; elsewhere a folder of our own would be another one on each machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        return "/tmp/checkpoints"
-    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-
-
 def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -73,11 +59,6 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables that this process has written: to be called when the results of the operators have been read."""
-    _delete(spark, f"{scratch_dir(spark)}/tablelens/{RUN}")
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a table is small enough to broadcast. For a written table the count comes from the files' footers."""
     return df.count() <= rows

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial, reduce
@@ -378,27 +379,53 @@ def _sort(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 
 
 def _freed(spark: SparkSession) -> None:
-    """Shuffle files of tables that are written by now are deleted when the driver forgets them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Shuffle files that no table needs any more go when the driver forgets their plans, which is made sure of here: they
+    would lie beside those of the next steps."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def _known(own: DataFrame, n: int, length: int, gram: int, local_hot: int) -> DataFrame:
+    """(_rid, covered, asked) of the texts of which something is known. n: about how many triggers there are."""
+    tasks = max(n // TASK_TRIGGERS + 1, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bits, buckets = min(64, max(40, n.bit_length() + 12)), 4 * tasks
+    dealt = own.select("rid", "doc", "body").mapInArrow(partial(_deal, buckets=buckets, bits=bits, length=length, gram=gram, local_hot=local_hot), DEALT)
+    answers = dealt.repartition(tasks, "bucket").mapInArrow(partial(_compare, buckets=buckets), ANSWERS)
+    return materialise(answers.repartition(tasks, "bucket").mapInArrow(_by_text, KNOWN), "known").withColumnRenamed("rid", "_rid")
+
+
+def _pieces(own: DataFrame, known: DataFrame, length: int, gram: int) -> DataFrame:
+    same = F.col("rid") == F.col("_rid")
+    asked = own.join(maybe_broadcast(known.select("_rid")), same, "left_semi").join(known.hint("merge"), same)
+    return materialise(asked.select("rid", "doc", F.col("body").cast("binary"), "covered", "asked").mapInArrow(partial(_cut, length=length, gram=gram), PIECES), "pieces", compression="zstd")
+
+
+def _common_cores(pieces: DataFrame, most: int) -> DataFrame:
+    """(_key, _low) of the cores of far too many pieces: counted over one piece in a few, by a hash of its place."""
+    one_in = max(1, most // 16)
+    some = pieces.filter(F.pmod(F.xxhash64("rid", "trigger"), F.lit(one_in)) == 0)
+    return some.groupBy("key", "low").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most // one_in).select(F.col("key").alias("_key"), F.col("low").alias("_low"))
 
 
 def _sorted_spans(pieces: DataFrame, length: int, most: int) -> list[DataFrame]:
     """Spans of the windows that earlier documents hold; pieces of common cores are parted until they are few."""
     spark, out = pieces.sparkSession, []
     while True:
-        cores = pieces.groupBy("key", "low").agg(F.count(F.lit(1)).alias("rows"), F.min("doc").alias("least"), F.max("doc").alias("last")).filter("least < last")
-        cores = materialise(cores.select(F.col("key").alias("_key"), F.col("low").alias("_low"), (F.col("rows") > most).alias("common")), "cores")
-        joined = pieces.join(cores, (F.col("key") == F.col("_key")) & (F.col("low") == F.col("_low")))
-        few = joined.filter("NOT common").select("key", "doc", "rid", "first", "bytes")
-        tasks = int(few.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]) // TASK_BYTES + 1
+        common = materialise(_common_cores(pieces, most), "common")
+        of = (F.col("key") == F.col("_key")) & (F.col("low") == F.col("_low"))
+        few = pieces.join(maybe_broadcast(common), of, "left_anti").select("key", "doc", "rid", "first", "bytes")
+        tasks = int(pieces.agg(F.coalesce(F.sum("n") + F.count(F.lit(1)) * (length - 1), F.lit(0))).first()[0]) // TASK_BYTES + 1
         tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
         out.append(materialise(few.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(partial(_sort, length=length), SPANS), "spans"))
-        common = joined.filter("common").drop("_key", "_low", "common")
-        single = common.filter("high - low = 1")  # one window each: its bytes are the key
+        if common.isEmpty():
+            return out
+        wide = pieces.join(maybe_broadcast(common), of, "left_semi")
+        single = wide.filter("high - low = 1")  # one window each: its bytes are the key
         firsts = single.groupBy(F.col("bytes").alias("_bytes")).agg(F.min("doc").alias("_least"))
         out.append(materialise(single.join(firsts, F.col("bytes") == F.col("_bytes")).filter("_least < doc").select("rid", F.col("first").alias("start"), (F.col("first") + length).alias("end")), "spans"))
-        wide = common.filter("high - low > 1")
+        wide = wide.filter("high - low > 1")
         middle = F.expr("low + (high - low) div 2").cast("int")
         part = F.explode(F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct(middle.alias("low"), F.col("high").alias("high")))).alias("p")
         parts = wide.select("doc", "rid", "trigger", "first", "n", "bytes", part).select("doc", "rid", "trigger", "first", "n", "bytes", "p.low", "p.high")
@@ -407,10 +434,7 @@ def _sorted_spans(pieces: DataFrame, length: int, most: int) -> list[DataFrame]:
         parts = parts.withColumns({"_a": start, "_n": end - start + 1}).filter("_n > 0")
         parts = parts.withColumns({"bytes": F.expr(f"substring(bytes, _a - first + 1, _n + {length - 1})"), "first": F.col("_a"), "n": F.col("_n").cast("int")}).drop("_a", "_n")
         core = F.expr(f"substring(bytes, trigger - low - first + 1, {length} + 1 - (high - low))")
-        parts = materialise(parts.withColumn("key", F.xxhash64("low", "high", core)).select(*pieces.columns), "pieces")
-        if parts.isEmpty():
-            return out
-        pieces = parts
+        pieces = materialise(parts.withColumn("key", F.xxhash64("low", "high", core)).select(*pieces.columns), "pieces")
 
 
 def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,17 +473,9 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     rows = rows.join(maybe_broadcast(same), (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")) & long, "left").select("doc_id", "doc", "body", "n_bytes", "rid", lead.alias("lead"))
     own = rows.filter((F.col("lead") == F.col("rid")) & long)
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    n = max(1, total * 2 // (length - gram))
-    tasks = max(n // TASK_TRIGGERS + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bits = min(64, max(40, n.bit_length() + 12))
-    buckets = 4 * tasks
-    dealt = own.select("rid", "doc", "body").mapInArrow(partial(_deal, buckets=buckets, bits=bits, length=length, gram=gram, local_hot=local_hot), DEALT)
-    answers = dealt.repartition(tasks, "bucket").mapInArrow(partial(_compare, buckets=buckets), ANSWERS)
-    known = materialise(answers.repartition(tasks, "bucket").mapInArrow(_by_text, KNOWN), "known").withColumnRenamed("rid", "_rid")
+    known = _known(own, max(1, total * 2 // (length - gram)), length, gram, local_hot)
     _freed(spark)
-    same = F.col("rid") == F.col("_rid")
-    asked = own.join(maybe_broadcast(known.select("_rid")), same, "left_semi").join(known.hint("merge"), same)
-    pieces = materialise(asked.select("rid", "doc", F.col("body").cast("binary"), "covered", "asked").mapInArrow(partial(_cut, length=length, gram=gram), PIECES), "pieces", compression="zstd")
+    pieces = _pieces(own, known, length, gram)
     _freed(spark)
     covered = pieces.filter("high < 0").select("rid", F.col("first").alias("start"), F.col("trigger").alias("end"))
     spans = _sorted_spans(pieces.filter("high > 0"), length, most)
