@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tablelens.functions.stats import correlation_p, t_tail
 from tablelens.operators import series as S
@@ -18,6 +16,7 @@ from tablelens.operators.columns import tidy
 from tablelens.operators.moments import Moments, moments, rank_correlations
 from tablelens.operators.profile import duplicate_rows
 from tablelens.operators.ranks import exact_quantiles
+from tablelens.operators.steps import best_steps
 
 FINDING = "kind string, severity string, columns array<string>, statistic double, p_value double, description string, evidence map<string,string>"
 SEVERITIES = ("strong", "notable", "info")
@@ -176,7 +175,7 @@ def series_findings(frame: DataFrame, time: str, column: str, freq: str, entity:
     if hits:
         first = reduce(DataFrame.unionByName, hits).groupBy("entity").agg(F.min(F.struct("place", "period", "acf")).alias("s")).select("entity", "s.*")
         out.append(finding(first, "seasonality", severity(F.col("acf"), None, 0.5, "notable"), name, F.col("acf"), F.lit(f"{column} repeats"), period=F.col("period"), entity=F.col("entity")))
-    steps = changepoints(series, S.PERIODS[freq])
+    steps = best_steps(series, S.PERIODS[freq])
     level = F.when((F.col("p") < 1e-4) & (F.col("size") >= 0.15), "strong").when((F.col("p") < 1e-4) & (F.col("size") >= 0.05), "notable")
     out.append(finding(steps, "changepoint", level, name, F.col("at"), F.lit(f"{column} steps to another level"), F.col("p"), size=F.col("size"), entity=F.col("entity")))
     drift = S.half_spread(series).filter("ratio > 2")
@@ -184,52 +183,6 @@ def series_findings(frame: DataFrame, time: str, column: str, freq: str, entity:
     return reduce(DataFrame.unionByName, out)
 
 
-def best_step(values: np.ndarray, periods: Iterable[int]) -> tuple[int, float, float]:
-    """(place, size, p) of the step that explains most beyond curve and seasons.
-
-    The size is relative: to the level before the step if all values are positive, else to the mean absolute value. The
-    step's gain at every place comes from one projection: the steps are freed of the other terms all at once.
-    """
-    n = len(values)
-    edge = max(8, int(0.1 * n))
-    if n < 2 * edge + 8:
-        return -1, 0.0, 1.0
-    positive = bool((values > 0).all())
-    y, x = (np.log(values) if positive else values.astype(float)), np.linspace(-1, 1, n)
-    base = [np.ones(n), x, x * x]
-    for period in periods:
-        if 3 <= period <= n / 2:
-            for harmonic in (1, 2):
-                turn = 2 * np.pi * harmonic * np.arange(n) / period
-                base += [np.sin(turn), np.cos(turn)]
-    q, _ = np.linalg.qr(np.stack(base, axis=1))
-    rest = y - q @ (q.T @ y)
-    # steps[k] is 1 from k on: their products with anything are sums from the end
-    tails = np.cumsum(q[::-1], axis=0)[::-1]
-    own = np.arange(n, 0, -1) - (tails**2).sum(axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        effect = np.cumsum(rest[::-1])[::-1] / own
-    gain = np.where(own > 1e-9, effect**2 * own, 0.0)
-    gain[:edge] = gain[n - edge + 1 :] = 0
-    k, left = int(gain.argmax()), float((rest**2).sum())
-    dof = n - q.shape[1] - 1
-    if dof <= 0 or left <= 0 or gain[k] <= 0:
-        return -1, 0.0, 1.0
-    f = gain[k] / (max(left - gain[k], 1e-12) / dof)
-    size = float(np.expm1(effect[k])) if positive else float(effect[k] / max(1e-12, np.abs(values).mean()))
-    return k, abs(size), min(1.0, t_tail(float(np.sqrt(f)), dof))
-
-
-def changepoints(series: DataFrame, periods: Sequence[int]) -> DataFrame:
-    """entity, at, size, p: one row per series; a series of periods is small, and series are dealt over the cluster."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        at, size, p = best_step(rows.sort_values("idx")["value"].to_numpy(), periods)
-        return pd.DataFrame({"entity": [key[0]], "at": [at], "size": [size], "p": [p]})
-
-    return series.select("entity", "idx", "value").groupBy("entity").applyInPandas(run, "entity string, at long, size double, p double").filter("at >= 0")
-
-
 def class_sizes(frame: DataFrame, target: str) -> DataFrame:
     """n_classes, largest, smallest, n."""
     per = frame.filter(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"))
@@ -283,7 +236,6 @@ def cluster_structure(frame: DataFrame, columns: Sequence[str], seeds: int = 3)
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
     spark = frame.sparkSession
     rows = tidy(frame).select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop("any")

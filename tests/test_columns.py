@@ -1,3 +1,4 @@
+import csv
 import datetime as dt
 import random
 
@@ -6,6 +7,7 @@ from tablelens.operators.profile import duplicate_rows, number_statistics, profi
 from tablelens.operators.report import pack
 from tablelens.plans.readiness import task_of
 from tablelens.sources import readers, warehouse
+from tablelens.sources.exports import ends_open
 
 
 def orders(spark, n=400):
@@ -71,6 +73,35 @@ def test_untidy_exports(spark, tmp_path):
     assert out.count() == 2
 
 
+def test_untidy_exports_by_splits(spark, tmp_path):
+    """Records with quotes and line breaks, cut at any byte, are those of a plain reader."""
+    rng = random.Random(9)
+    cell = lambda: rng.choice(["", "a", 'say ""so""', "x, y", "two\nlines", '"', "end\n\n", "7.5", "inch 5"])
+    want = set()
+    for name in ("one", "two"):
+        rows = [[cell() for _ in range(3)] for _ in range(400)]
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8-sig" if name == "one" else "utf-8") as f:
+            f.write('Report,,\n"made\nby hand",,\n')
+            csv.writer(f, lineterminator="\n").writerows([["First Name", "Second", "2nd"], *rows])
+        want |= {(name, *(c if c.strip() else None for c in r)) for r in rows if any(c.strip() for c in r)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "701")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        read = readers.read_untidy(spark, str(tmp_path))
+        found = {(r["file"].rsplit("/", 1)[1][:-4], *(r["cells"].get(n) for n in ("first_name", "second", "c_2nd"))) for r in read.collect()}
+        assert found == want
+        numbers = [(r["file"], r["row_no"]) for r in read.collect()]
+        assert len(set(numbers)) == len(numbers)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_where_quotes_open_cells():
+    assert [ends_open(x, False) for x in ('a,b', '"a', '"a"', '"a""', 'a"b', 'a,"b', '"a","b', '""', '"a" ,"b')] == [False, True, False, True, False, True, True, False, True]
+    assert [ends_open(x, True) for x in ('a', 'a"', 'a""', 'a","b', 'a",b')] == [True, False, True, True, False]
+
+
 def test_csv_scan_and_objects(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x;y\n1;2\n3;4\n")
     (tmp_path / "b.csv").write_text("x;y\n5;6\n")

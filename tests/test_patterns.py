@@ -9,8 +9,8 @@ import pytest
 
 from tablelens.functions.stats import correlation_p, t_tail
 from tablelens.operators import patterns, series
-from tablelens.operators.patterns import best_step
 from tablelens.operators.profile import profile
+from tablelens.operators.steps import best_steps
 
 
 def refitted(values, periods):
@@ -32,21 +32,37 @@ def refitted(values, periods):
     return max(found)[1], max(found)[0]
 
 
-@pytest.mark.parametrize(("size", "place", "periods"), [(0.0, 50, ()), (0.2, 40, ()), (0.5, 70, (12,)), (-0.3, 61, (7,))])
-def test_step_equals_that_of_fitting_every_candidate(size, place, periods):
+def made(size, place, periods, n=110):
     rng = np.random.default_rng(len(periods) + place)
-    k = np.arange(110)
-    values = (40 + 0.1 * k + 4 * np.sin(2 * np.pi * k / 12)) * (1 + size * (k >= place)) + rng.normal(0, 0.6, 110)
-    at, relative, p = best_step(values, periods)
-    want, f = refitted(values, periods)
-    assert at == want and p == pytest.approx(t_tail(math.sqrt(f), 110 - 3 - 4 * len(periods) - 1), rel=1e-6, abs=1e-12)
-    if size and 12 in periods:
-        assert abs(at - place) <= 2 and relative == pytest.approx(abs(size), abs=0.1) and p < 1e-6
+    k = np.arange(n)
+    return (40 + 0.1 * k + 4 * np.sin(2 * np.pi * k / 12)) * (1 + size * (k >= place)) + rng.normal(0, 0.6, n)
 
 
-def test_size_of_a_step_between_signs_is_taken_of_the_whole_level():
+def steps(spark, series, periods):
+    rows = [(name, int(k), float(v)) for name, values in series.items() for k, v in enumerate(values)]
+    frame = spark.createDataFrame(rows, "entity string, idx long, value double").repartition(5)
+    return {r["entity"]: (r["at"], r["size"], r["p"]) for r in best_steps(frame, periods).collect()}
+
+
+@pytest.mark.parametrize("periods", [(), (12,), (7, 12, 60)])
+def test_steps_equal_those_of_fitting_every_candidate(spark, periods):
+    kinds = {"none": (0.0, 50), "up": (0.5, 70), None: (-0.3, 61), "small": (0.2, 40)}
+    series = {name: made(size, place, periods) for name, (size, place) in kinds.items()}
+    found = steps(spark, series | {"long": made(0.1, 900, periods, 3000), "short": [1.0] * 20, "flat": [5.0] * 60}, periods)
+    assert {"short", "flat"}.isdisjoint(found)
+    fit = [p for p in periods if p <= 55]  # longer seasons aren't seen twice
+    for name, values in series.items():
+        at, size, p = found[name]
+        want, f = refitted(values, fit)
+        assert at == want and p == pytest.approx(t_tail(math.sqrt(f), 110 - 3 - 4 * len(fit) - 1), rel=1e-5, abs=1e-12)
+        if 12 in periods and name in ("up", None):
+            assert abs(at - kinds[name][1]) <= 2 and size == pytest.approx(abs(kinds[name][0]), abs=0.1) and p < 1e-6
+    assert abs(found["long"][0] - 900) <= 3
+
+
+def test_size_of_a_step_between_signs_is_taken_of_the_whole_level(spark):
     values = np.concatenate([np.full(50, -2.0), np.full(50, 6.0)]) + np.tile([0.1, -0.1], 50)
-    at, size, p = best_step(values, ())
+    at, size, p = steps(spark, {"x": values}, ())["x"]
     assert at == 50 and p < 1e-6 and size == pytest.approx(8 / np.abs(values).mean(), rel=0.05)
 
 
