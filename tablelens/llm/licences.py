@@ -35,7 +35,7 @@ COMMENT = r"^\s*(?:(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--)\s*)?"
 #: Words of templates that texts hold anyway ("mit" is German); all other terms of templates are telling.
 COMMON = frozenset(
     "a all any are as by can either in into is it mit of or that the this to under with you and "
-    "above appear august be copies covered deal do express february fee from holder including january june its limitation may merge name names neither nor november organization parties persons prepare prior products provided purpose restriction rights sell so specific subject third used works whom without written".split()
+    "above appear august be copies covered deal do express february fee for from holder including january june its limitation may merge name names neither nor november organization parties persons prepare prior products provided purpose restriction rights sell so specific subject third used works whom without written".split()
 )
 
 #: Usual notices of well-known licences.
