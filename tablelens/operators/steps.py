@@ -23,6 +23,8 @@ from tablelens.operators.ranks import running_counts
 EDGE, EDGE_SHARE = 8, 0.1
 #: Terms whose share of the spread is below this follow from the others.
 DEPENDENT = 1e-10
+#: What is left of a series below this share of its squares is rounding.
+NO_REST = 1e-26
 
 
 def _terms(n: Column, idx: Column, periods: Sequence[int]) -> list[Column]:
@@ -78,12 +80,12 @@ def best_steps(series: DataFrame, periods: Sequence[int]) -> DataFrame:
     after = [F.col(f"total_{b}") - F.col(f"before_{b}") for b in names]
     # the step's own spread, freed of the other terms
     own = F.col("n") - F.col("idx") - reduce(Column.__add__, [F.pow(reduce(Column.__add__, [F.col("freed")[r * m + c] * after[c] for c in range(m)]), F.lit(2)) for r in range(m)])
-    run = run.select("entity", "idx", "n", "positive", "level", "edge", "rank", "rest", (F.col("total") - F.col("before")).alias("tail"), own.alias("own"))
+    run = run.select("entity", "idx", "n", "positive", "level", "edge", "rank", "rest", "y", (F.col("total") - F.col("before")).alias("tail"), own.alias("own"))
     effect = F.col("tail") / F.col("own")
     fits = (F.col("idx") >= F.col("edge")) & (F.col("idx") <= F.col("n") - F.col("edge")) & (F.col("own") > 1e-9)
     candidate = F.when(fits, F.struct((effect * F.col("tail")).alias("gain"), (-F.col("idx")).alias("back"), effect.alias("effect")))
-    best = run.groupBy("entity").agg(F.max(candidate).alias("s"), F.sum(F.col("rest") * F.col("rest")).alias("left"), *[F.first(c).alias(c) for c in ("n", "positive", "level", "rank")])
-    best = best.select("entity", (-F.col("s.back")).cast("long").alias("at"), F.col("s.gain").alias("gain"), F.col("s.effect").alias("effect"), "left", "positive", "level", (F.col("n") - F.col("rank") - 1).alias("dof"))
+    best = run.groupBy("entity").agg(F.max(candidate).alias("s"), F.sum(F.col("rest") * F.col("rest")).alias("left"), F.sum(F.col("y") * F.col("y")).alias("squares"), *[F.first(c).alias(c) for c in ("n", "positive", "level", "rank")])
+    best = best.select("entity", (-F.col("s.back")).cast("long").alias("at"), F.col("s.gain").alias("gain"), F.col("s.effect").alias("effect"), "left", "squares", "positive", "level", (F.col("n") - F.col("rank") - 1).alias("dof"))
 
     @F.pandas_udf("double")
     def tail(f: pd.Series, dof: pd.Series) -> pd.Series:  # a value for each series
@@ -91,4 +93,4 @@ def best_steps(series: DataFrame, periods: Sequence[int]) -> DataFrame:
 
     f = F.col("gain") / (F.greatest(F.col("left") - F.col("gain"), F.lit(1e-12)) / F.col("dof"))
     size = F.abs(F.when(F.col("positive"), F.expm1("effect")).otherwise(F.col("effect") / F.greatest(F.col("level"), F.lit(1e-12))))
-    return best.filter("gain > 0 AND left > 0 AND dof > 0").select("entity", "at", size.alias("size"), tail(f, F.col("dof")).alias("p"))
+    return best.filter(f"gain > 0 AND left > {NO_REST} * squares AND dof > 0").select("entity", "at", size.alias("size"), tail(f, F.col("dof")).alias("p"))

@@ -88,8 +88,8 @@ def in_database(t, spark: SparkSession) -> tuple[str, dict[str, str]]:
         raise NotImplementedError("an embedded database is open to a single process")
     spark._jvm.System.setProperty("derby.stream.error.file", "/dev/null")
     url, options = f"jdbc:derby:memory:{uuid.uuid4().hex}", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    rows = t("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    rows.write.format("jdbc").options(url=f"{url};create=true", dbtable="customer", createTableColumnTypes="c_name VARCHAR(64), c_mktsegment VARCHAR(64)", **options).save()
+    rows = t("customer").select(*[F.col(c).alias(c.upper()) for c in ("c_custkey", "c_name", "c_acctbal", "c_mktsegment")])
+    rows.write.format("jdbc").options(url=f"{url};create=true", dbtable="CUSTOMER", createTableColumnTypes="C_NAME VARCHAR(64), C_MKTSEGMENT VARCHAR(64)", **options).save()
     connection = spark._jvm.java.sql.DriverManager.getConnection(url)
     connection.createStatement().execute("CREATE VIEW debtors AS SELECT * FROM customer WHERE c_acctbal < 0")
     connection.close()

@@ -32,10 +32,10 @@ def refitted(values, periods):
     return max(found)[1], max(found)[0]
 
 
-def made(size, place, periods, n=110):
+def made(size, place, periods):
     rng = np.random.default_rng(len(periods) + place)
-    k = np.arange(n)
-    return (40 + 0.1 * k + 4 * np.sin(2 * np.pi * k / 12)) * (1 + size * (k >= place)) + rng.normal(0, 0.6, n)
+    k = np.arange(110)
+    return (40 + 0.1 * k + 4 * np.sin(2 * np.pi * k / 12)) * (1 + size * (k >= place)) + rng.normal(0, 0.6, 110)
 
 
 def steps(spark, series, periods):
@@ -48,7 +48,8 @@ def steps(spark, series, periods):
 def test_steps_equal_those_of_fitting_every_candidate(spark, periods):
     kinds = {"none": (0.0, 50), "up": (0.5, 70), None: (-0.3, 61), "small": (0.2, 40)}
     series = {name: made(size, place, periods) for name, (size, place) in kinds.items()}
-    found = steps(spark, series | {"long": made(0.1, 900, periods, 3000), "short": [1.0] * 20, "flat": [5.0] * 60}, periods)
+    long = 40 + 4.0 * (np.arange(3000) >= 900) + np.random.default_rng(1).normal(0, 0.5, 3000)
+    found = steps(spark, series | {"long": long, "short": [1.0] * 20, "flat": [5.0] * 60}, periods)
     assert {"short", "flat"}.isdisjoint(found)
     fit = [p for p in periods if p <= 55]  # longer seasons aren't seen twice
     for name, values in series.items():

@@ -20,7 +20,7 @@ def database(spark):
     spark._jvm.System.setProperty("derby.stream.error.file", "/dev/null")
     url = f"jdbc:derby:memory:{uuid.uuid4().hex}"
     rows = [(k if k else None, f"name {k}", k % 7 * 1.5) for k in range(100)]
-    spark.createDataFrame(rows, "k int, label string, amount double").write.format("jdbc").options(url=f"{url};create=true", dbtable="things", createTableColumnTypes="label VARCHAR(40)", **DRIVER).save()
+    spark.createDataFrame(rows, "K int, LABEL string, AMOUNT double").write.format("jdbc").options(url=f"{url};create=true", dbtable="THINGS", createTableColumnTypes="LABEL VARCHAR(40)", **DRIVER).save()
     connection = spark._jvm.java.sql.DriverManager.getConnection(url)
     for statement in ("CREATE VIEW few AS SELECT * FROM things WHERE k < 5", 'CREATE SCHEMA other', 'CREATE TABLE other."odd name" (x INT)', "CREATE TABLE empty_one (x INT)"):
         connection.createStatement().execute(statement)
