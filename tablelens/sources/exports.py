@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterable, Iterator
-from functools import partial
 from itertools import groupby
 
 import pandas as pd
@@ -167,7 +166,11 @@ def read_untidy(spark: SparkSession, uri: str, header: int | None = None, glob:
     lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     splits = written(lines.mapInArrow(_states, SPLITS), "splits")
     schema = "file string, block long, begins boolean, first long, skipped long, names array<string>"
-    followed = written(splits.groupBy("file").applyInPandas(partial(_followed, header=header), schema), "followed")  # a row per split
+
+    def of_file(rows: pd.DataFrame) -> pd.DataFrame:
+        return _followed(rows, header)
+
+    followed = written(splits.groupBy("file").applyInPandas(of_file, schema), "followed")  # a row per split
     followed = followed.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "begins", "first", "skipped", "names")
     if followed.count() > FEW_SPLITS:
         # lines lose their order in a shuffle: they are numbered within their split first, and sorted again
