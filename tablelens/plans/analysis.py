@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.operators.patterns import detect_all
+from tablelens.operators.patterns import detect_all, ordered
 from tablelens.operators.profile import profile
 from tablelens.plans.readiness import advise, facts_of, task_of
+from tablelens.sources.scratch import written
 
 #: The advice family of each task.
 FAMILY = {"regression": "regression", "binary_classification": "classification", "multiclass_classification": "classification", "text_classification": "text", "clustering": "clustering"}
@@ -26,8 +27,8 @@ class Analysis:
 def analyze(frame: DataFrame, target: str | None = None, name: str = "table") -> Analysis:
     """Without a target the task is clustering if any column is a number. Advice on forecasting joins it where a series
     could be forecast, and on anomalies, reduction and association where there is no target."""
-    columns = profile(frame).persist()
-    found = detect_all(frame, columns, target).persist()
+    columns = written(profile(frame), "profile")
+    found = ordered(written(detect_all(frame, columns, target), "findings"))
     if target:
         task = task_of(columns).filter(F.col("column") == target).first()["task"]
     else:
