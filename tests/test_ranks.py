@@ -6,11 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablelens.operators import patterns
+from tablelens.operators import patterns, ranks
 from tablelens.operators.activity import stable_key
 from tablelens.operators.columns import profile_columns, semantic_types, top_values, value_counts
 from tablelens.operators.moments import moments, rank_correlations
-from tablelens.operators.profile import profile
+from tablelens.operators.profile import number_statistics, profile
 from tablelens.operators.ranks import exact_quantiles, grouped_quantiles, running_counts
 
 SHARES = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
@@ -124,3 +124,19 @@ def test_stable_keys(spark):
     assert plain[0] == plain[2] == plain[3] == plain[4] != plain[1]
     lists = [r.k for r in frame.select(stable_key(frame, "l").alias("k")).collect()]
     assert lists[0] == lists[1] == lists[2] != lists[3] and lists[3] == lists[4]
+
+
+def test_statistics_that_need_no_ranks_run_no_selection(spark, monkeypatch):
+    frame = spark.createDataFrame([(0, -1.5), (2, 0.0), (0, float("nan")), (None, 3.0)], "a int, b double")
+    monkeypatch.setattr("tablelens.operators.profile.exact_quantiles", None)
+    got = {r["column"]: r for r in number_statistics(frame, statistics=("pct_zero", "pct_negative")).collect()}
+    assert {c: r["pct_zero"] for c, r in got.items()} == pytest.approx({"a": 2 / 3, "b": 1 / 3})
+    assert {c: r["pct_negative"] for c, r in got.items()} == pytest.approx({"a": 0, "b": 1 / 3})
+
+
+def test_values_are_counted_in_arrays(spark, monkeypatch):
+    frame = spark.createDataFrame([(x,) for x in (float("-inf"), -1.0, None, 0.0, 0.0, 2.0, float("inf"))], "x double")
+    wanted = [ranks._Wanted("x", 2, 6), ranks._Wanted("x", 2, 4, low=float("-inf"), high=float("inf"), before=1)]
+    monkeypatch.setattr(ranks._Wanted, "narrowed", lambda w, *counts: setattr(w, "value", counts))
+    ranks._narrow(frame.repartition(3), wanted, [(0.0, 2.0), (-1.0, -1.0)])
+    assert [w.value for w in wanted] == [(0.0, 2.0, 2, 2, 0, 1), (-1.0, -1.0, 0, 1, 0, 0)]
