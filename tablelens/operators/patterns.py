@@ -17,6 +17,7 @@ from tablelens.operators.moments import Moments, moments, rank_correlations
 from tablelens.operators.profile import duplicate_rows
 from tablelens.operators.ranks import exact_quantiles
 from tablelens.operators.steps import best_steps
+from tablelens.sources.scratch import evenly, side_by_side, written
 
 FINDING = "kind string, severity string, columns array<string>, statistic double, p_value double, description string, evidence map<string,string>"
 SEVERITIES = ("strong", "notable", "info")
@@ -142,10 +143,11 @@ def multicollinearity(frame: DataFrame, columns: Sequence[str], m: Moments | Non
     return finding(inflation_factors(frame, columns, m), "multicollinearity", severity(F.col("vif"), 10, 30), _one(), F.col("vif"), F.concat(F.col("column"), F.lit(" follows from the others")), dependence=exact)
 
 
-def temporal(frame: DataFrame, time: str) -> DataFrame:
-    """temporal_coverage, and temporal_gaps if any gap is more than five times the median."""
-    gaps = S.time_gaps(frame, time)
-    middle = S.frequency(frame, time).select("median_gap_days")
+def temporal(frame: DataFrame, time: str, gaps: DataFrame | None = None, middle: DataFrame | None = None) -> DataFrame:
+    """temporal_coverage, and temporal_gaps if any gap is more than five times the median. `gaps` and `middle` are the
+    time's `time_gaps` and `frequency`, if they are at hand."""
+    gaps = S.time_gaps(frame, time) if gaps is None else gaps
+    middle = (S.frequency(frame, time, gaps) if middle is None else middle).select("median_gap_days")
     one = gaps.join(F.broadcast(middle)).agg(
         F.datediff(F.max("t"), F.min("t")).alias("days"), F.first("median_gap_days").alias("median"),
         F.count_if((F.col("gap_days") > 5 * F.col("median_gap_days")) & (F.col("median_gap_days") > 0)).alias("large"), F.max("gap_days").alias("largest"),
@@ -158,7 +160,7 @@ def temporal(frame: DataFrame, time: str) -> DataFrame:
 
 def series_findings(frame: DataFrame, time: str, column: str, freq: str, entity: str | None = None) -> DataFrame:
     """trend, seasonality, changepoint and variance_drift of one value column, for all its series at once."""
-    series = S.regular_series(frame, time, column, freq, entity)
+    series = written(S.regular_series(frame, time, column, freq, entity), "series")  # read by every detector below
     name = F.array(F.lit(column))
     t = S.trend(series).filter("n >= 12")
     moved = F.abs("t") > 2
@@ -283,8 +285,10 @@ def detect_all(frame: DataFrame, profiled: DataFrame, target: str | None = None,
     if numeric:
         out += [outliers(frame, numeric, m, fences), correlation(frame, numeric, m), nonlinear(frame, numeric, m), multicollinearity(frame, numeric, m)]
     for time in temporal_ if times is None else times:
-        freq = S.frequency(frame, time).first()["freq"]
-        out += [temporal(frame, time), *[series_findings(frame, time, c, freq) for c in (numeric if values is None else values)]]
+        gaps = written(S.time_gaps(frame, time), "gaps")
+        middle = written(S.frequency(frame, time, gaps), "frequency")
+        freq = middle.first()["freq"]
+        out += [temporal(frame, time, gaps, middle), *[series_findings(frame, time, c, freq) for c in (numeric if values is None else values)]]
     if target:
         out.append(class_findings(frame, target))
         if target in numeric:

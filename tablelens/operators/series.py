@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tablelens.functions.names import RATE_NAME, suggests
 from tablelens.functions.stats import range_part
 from tablelens.operators.ranks import running_counts
+from tablelens.sources.scratch import written
 
 #: Frequency by the median gap in days, and the periods that are looked for at each.
 GAPS = ((1.5, "D"), (9.0, "W"), (45.0, "MS"), (120.0, "QS"))
@@ -20,10 +21,11 @@ def time_gaps(frame: DataFrame, time: str) -> DataFrame:
     """(t, n, gap_days): distinct times, their rows, and the gap to the time before.
 
     Rows are counted per time first. Times are cut into ranges at quantiles; the gap is taken within each, and the first
-    time of a range looks to the last of the ranges before, so that no task sorts all times.
+    time of a range looks to the last of the ranges before, so that no task sorts all times. Counted times are written:
+    the rows are read once, and no condition on ranges is worked out row by row below the counts.
     """
     times = frame.filter(F.col(time).isNotNull()).groupBy(F.col(time).cast("timestamp_ntz").alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    times = times.withColumn("micros", F.unix_micros(F.col("t").cast("timestamp")).cast("double"))
+    times = written(times.withColumn("micros", F.unix_micros(F.col("t").cast("timestamp")).cast("double")), "times")
     times = times.withColumn("part", range_part(times, "micros"))
     last = times.groupBy("part").agg(F.max("t").alias("last"))
     before = last.select("part", F.lag("last").over(Window.orderBy("part")).alias("before"))  # a row per range
@@ -33,9 +35,9 @@ def time_gaps(frame: DataFrame, time: str) -> DataFrame:
     return joined.select("t", "n", (seconds / 86_400e6).alias("gap_days"))
 
 
-def frequency(frame: DataFrame, time: str) -> DataFrame:
-    """median_gap_days, freq over all rows: equal times count as gaps of zero."""
-    gaps = time_gaps(frame, time)
+def frequency(frame: DataFrame, time: str, gaps: DataFrame | None = None) -> DataFrame:
+    """median_gap_days, freq over all rows: equal times count as gaps of zero. `gaps` are its `time_gaps`, if at hand."""
+    gaps = time_gaps(frame, time) if gaps is None else gaps
     zeros = gaps.filter("n > 1").select(F.lit(0.0).alias("g"), (F.col("n") - 1).alias("w"))
     weighted = gaps.filter("gap_days IS NOT NULL").select(F.col("gap_days").alias("g"), F.lit(1).cast("long").alias("w")).unionByName(zeros).groupBy("g").agg(F.sum("w").alias("w"))
     # a weighted median: the gaps of the two middle places, by running counts

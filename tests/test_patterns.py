@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablelens.functions.stats import correlation_p, t_tail
 from tablelens.operators import patterns, series
@@ -148,3 +149,24 @@ def test_gaps_across_ranges(spark):
 def test_tails():
     assert abs(t_tail(2.228, 10) - 0.05) < 1e-4
     assert abs(correlation_p(0.5, 20) - 0.02478) < 1e-4
+
+
+def test_times_are_counted_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("timestamp")
+    def counted(day):
+        seen.add(1)
+        return dt.datetime(2024, 1, 1) + dt.timedelta(days=day)
+
+    frame = spark.createDataFrame([(d,) for d in (0, 1, 2, 3, 4, 30, 31)], "day int").select(counted.asNondeterministic()("day").alias("t"))
+    found = {r["kind"]: r["statistic"] for r in patterns.temporal(frame, "t").collect()}
+    assert found == {"temporal_coverage": 31, "temporal_gaps": 1} and seen.value == 7
+
+
+def test_small_jobs_run_side_by_side_on_even_parts(spark):
+    from tablelens.sources.scratch import evenly, side_by_side
+
+    assert side_by_side(spark, lambda n: spark.range(n).count(), range(9)) == list(range(9))
+    parts = evenly(spark.range(0, 250_000, 1, 1), 250_000).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 3 and max(r["count"] for r in parts) <= 100_000
