@@ -244,13 +244,22 @@ def cluster_structure(frame: DataFrame, columns: Sequence[str], seeds: int = 3)
     n = rows.count()
     if n < 50 or len(columns) < 2:
         return none(spark)
-    prepared = Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]).fit(rows).transform(rows).select("features")
-    best = (-1.0, 0)
-    for k in range(2, min(6, n // 10) + 1):
-        model = min((KMeans(k=k, seed=s, maxIter=30).fit(prepared) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
+    rows = evenly(rows, n)
+    features = Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]).fit(rows).transform(rows).select("features")
+    prepared = written(features, "features")  # each fit keeps its own rows in memory, unless its input is kept already
+
+    def fitted(job: tuple[int, int]):
+        model = KMeans(k=job[0], seed=job[1], maxIter=30).fit(prepared)
+        return model.summary.trainingCost, model
+
+    def score(model) -> float:
         clusters = model.transform(prepared)
-        score = ClusteringEvaluator().evaluate(clusters) if clusters.select("prediction").distinct().count() > 1 else 0.0
-        best = max(best, (score, k))
+        return ClusteringEvaluator().evaluate(clusters) if clusters.select("prediction").distinct().count() > 1 else 0.0
+
+    sizes = range(2, min(6, n // 10) + 1)
+    fits = side_by_side(spark, fitted, [(k, s) for k in sizes for s in range(seeds)])
+    models = [min(fits[at : at + seeds], key=lambda f: f[0])[1] for at in range(0, len(fits), seeds)]
+    best = max([(-1.0, 0), *zip(side_by_side(spark, score, models), sizes, strict=True)])
     one = spark.createDataFrame([best], "score double, k int")
     return finding(one, "cluster_structure", severity(F.col("score"), 0.25, 0.5, "info"), F.array(*[F.lit(c) for c in columns]), F.col("score"), F.lit("rows fall into clusters"), k=F.col("k"))
 
