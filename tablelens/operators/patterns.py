@@ -280,6 +280,7 @@ def detect_all(frame: DataFrame, profiled: DataFrame, target: str | None = None,
     groups a fourth. Series are looked at for every temporal column and every number that varies, unless `times` and
     `values` name fewer.
     """
+    profiled = written(profiled, "profile")  # every detector about single columns reads it
     names = ["column", "place", "kind", "semantic", "n_unique", "n_missing", "mean", "p25", "p75"]
     facts = sorted((r.asDict() for r in profiled.select(*names).collect()), key=lambda f: f["place"])  # a row per column
     numeric = [f for f in facts if f["kind"] in ("integer", "real") and f["n_unique"] > 2 and f["semantic"] != "identifier"]
