@@ -40,7 +40,7 @@ PLAN = 1 << 18
 ENDINGS = (".", "!", "?", "\n", '."', ".\n", "!\n", "?\n", ".)")
 
 #: Chunks in the younger half of a process's cache; ids take more memory than counts.
-KEPT = 600_000
+KEPT = 300_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
