@@ -566,6 +566,24 @@ def test_line_groups_beside_all_pairs(spark, monkeypatch, tile):
     assert len(near) > 60 and sum(found[a] == found[b] for a, b in near) >= 0.9 * len(near)
 
 
+def test_lines_of_one_common_run(spark):
+    """Long lines meet by whichever run of five words they share, also by a single one."""
+    rng = random.Random(3)
+    word = lambda: f"word{rng.randrange(10**6)}"
+    bits = lambda line: sum(1 << b for b in range(64) if 2 * sum(xxhash.xxh64(w.encode(), seed=42).intdigest() >> b & 1 for w in line) > len(line))
+    lines, near = [], []
+    for k in range(40):
+        base, long = [word() for _ in range(60)], rng.randrange(12)
+        cuts = [5 * g + 4 + (g >= long) for g in range(11)]  # one run of five words, else runs of four
+        other = [word() if i in cuts else w for i, w in enumerate(base)]
+        lines += [" ".join(base), " ".join(other)]
+        if (bits(base) ^ bits(other)).bit_count() <= line_dedup.MAX_BITS:
+            near.append(2 * k)
+    found = {r["doc_id"]: r["keep_doc_id"] for r in line_dedup.line_groups(frame(spark, [(k, line, "s") for k, line in enumerate(lines)])).collect()}
+    assert len(near) > 10 and all(found[k + 1] == k for k in near)
+    assert all(found[k] == k for k in range(0, len(lines), 2))
+
+
 # 6
 
 
