@@ -2,10 +2,12 @@ import csv
 import datetime as dt
 import random
 
+import pytest
+
 from tablelens.operators.columns import grain, profile_columns, rank_dimensions, rank_measures
 from tablelens.operators.profile import duplicate_rows, number_statistics, profile
 from tablelens.operators.report import pack
-from tablelens.plans.readiness import task_of
+from tablelens.plans.readiness import task_of, tasks
 from tablelens.sources import readers, warehouse
 from tablelens.sources.exports import ends_open
 
@@ -66,6 +68,25 @@ def test_tasks(spark):
     assert found == {"price": "regression", "is_fraud": "binary_classification", "tier": "multiclass_classification"}
 
 
+def test_tasks_from_sketches_agree_with_whole_profiles(spark):
+    """Around every number of values at which a task turns, and without counting quantiles or what is clear."""
+    for n in (40, 400):
+        kinds = {f"c{u}": f"id % {u}" for u in (1, 2, 3, 15, 16, n)} | {f"s{u}": f"'v' || (id % {u})" for u in (2, 100, 101)}
+        kinds |= {f"t{u}": f"repeat('x', 45) || (id % {u})" for u in (int(n * 0.2), int(n * 0.6), int(n * 0.6) + 1)} | {f"part{u}_id": f"repeat('x', 45) || (id % {u})" for u in (int(n * 0.6) + 1, int(n * 0.8), int(n * 0.8) + 1)}
+        kinds |= {"none": "CAST(NULL AS DOUBLE)", "real": "IF(id % 7 = 0, CAST('NaN' AS DOUBLE), (id % 2) * -0.0D)", "at": "timestamp_seconds(id % 2)", "deep": "map('k', id % 2)"}
+        frame = spark.range(n).selectExpr(*[f"{sql} AS {name}" for name, sql in kinds.items()])
+        assert {tuple(r) for r in tasks(frame).collect()} == {tuple(r) for r in task_of(profile(frame, numbers=False)).collect()}
+    empty = spark.createDataFrame([], "a double, b string")
+    assert {tuple(r) for r in tasks(empty).collect()} == {tuple(r) for r in task_of(profile(empty)).collect()}
+
+
+def test_no_quantiles_where_none_are_wanted(spark, monkeypatch):
+    monkeypatch.setattr("tablelens.operators.profile.exact_quantiles", lambda *_: pytest.fail("quantiles aren't wanted"))
+    frame = spark.range(300).selectExpr("id", "id % 2 AS flag")
+    assert {r["column"]: r["task"] for r in tasks(frame).collect()} == {"id": "regression", "flag": "binary_classification"}
+    assert "median" not in profile(frame, numbers=False).columns
+
+
 def test_untidy_exports(spark, tmp_path):
     (tmp_path / "t.csv").write_text("Report for,,\n,,\nMonth ,Region,Revenue Target,Headcount\n2024-01,North,100,5\n,,,\n2024-02,South,90,4\n")
     out = readers.columns_of(readers.read_untidy(spark, str(tmp_path)))
