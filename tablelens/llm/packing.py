@@ -10,6 +10,7 @@ that all its entries have behind them are settled and are given out at once.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections import deque
@@ -31,6 +32,8 @@ WINDOW = 1024
 #: The id that ends a document.
 END = 0
 _END = struct.pack("<I", END)
+#: Packers of few ids, which most words have.
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(64)]
 #: Penalties, in tokens of padding, for cutting a document after a sentence and inside one.
 SENTENCE_CUT, INNER_CUT = 1, 8
 #: From twice this after the end of a sentence or document on, cuts are allowed at this spacing.
@@ -39,6 +42,11 @@ GRID = 8
 PLAN = 1 << 18
 ENDINGS = (".", "!", "?", "\n", '."', ".\n", "!\n", "?\n", ".)")
 
+_LETTERS, _MARKS = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", r"!-/:-@\[-`{-~"
+#: Pre-tokens of byte-level tokenizers in text of Latin letters, ASCII digits and marks, spaces and line ends. What it
+#: passes over is for the library.
+PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|[ \n]+(?![^ \n])|[ \n]+")
+
 #: Chunks in the younger half of a process's cache; ids take more memory than counts.
 KEPT = 300_000
 
@@ -50,7 +58,8 @@ class ChunkIds(Chunks):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.known, self.firsts = Cache(self._chunk, KEPT), Cache(self._whole, KEPT // 10)
+        self.model = self.tokenizer.model
+        self.known, self.firsts, self.marks = Cache(self._chunk, KEPT), Cache(self._whole, KEPT // 10), Cache(self._piece, KEPT // 10)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.sentence_end = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for i in vocab.values():
@@ -61,16 +70,26 @@ class ChunkIds(Chunks):
 
     def _chunk(self, chunk: str) -> bytes | None:
         """The ids of a chunk with its leading space; None if the chunk can't be taken by itself."""
+        if self.letters_alone and chunk.isalpha():
+            return self._piece(" " + chunk)
         if self.unsafe(chunk):
             return None
-        model = self.tokenizer.model
-        if self.letters_alone and chunk.isalpha():
-            return self._bytes([t.id for t in model.tokenize(self.spell(" " + chunk))])
-        return self._bytes([t.id for word in self.pre_tokens(" " + chunk) for t in model.tokenize(word)])
+        spaced = " " + chunk
+        if self.letters_alone:
+            first, *rest = found = PIECES.findall(spaced)
+            if sum(map(len, found)) == len(spaced):
+                alone = self.known.get(first[1:]) or self.known.older.get(first[1:]) or self._piece(first)
+                return b"".join([alone, *[self._piece(p) if p.isalpha() else self.marks[p] for p in rest]])
+        return self._bytes([t.id for word in self.pre_tokens(spaced) for t in self.model.tokenize(word)])
+
+    def _piece(self, pre_token: str) -> bytes:
+        """The ids of one pre-token."""
+        spelled = "\u0120" + pre_token[1:] if pre_token[0] == " " and pre_token.isascii() and "\n" not in pre_token else self.spell(pre_token)
+        return self._bytes([t.id for t in self.model.tokenize(spelled)])
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _PACKED[len(ids)](*ids) if len(ids) < len(_PACKED) else struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str) -> bytes:
         """The ids of a text, and then the id that ends a document."""
