@@ -10,6 +10,7 @@ that all its entries have behind them are settled and are given out at once.
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 import zlib
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.llm.common import held
-from tablelens.llm.tokens import Cache, Chunks, tokenizer_path
+from tablelens.llm.tokens import KEY_CHARS, Cache, Chunks, tokenizer_path
 
 WINDOW = 1024
 #: The id that ends a document.
@@ -47,19 +48,54 @@ _LETTERS, _MARKS = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", r"!-/:-@\[-
 #: passes over is for the library.
 PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|[ \n]+(?![^ \n])|[ \n]+")
 
+#: Marks after a word that are one pre-token together; an apostrophe may belong to letters after it.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 #: Chunks in the younger half of a process's cache; ids take more memory than counts.
 KEPT = 300_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Words(Cache):
+    """Ids of chunks, each a space and letters in most cases. Of a word and marks after it, the word is kept at once and
+    the whole when the word is there already: most words are rare and needn't be worked out for every mark."""
+
+    def __init__(self, work, word, marks: Cache, entries: int):
+        super().__init__(work, entries)
+        self.word, self.marks = word, marks
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            if key.isalpha():
+                found = self.word(key)
+            else:
+                word = key.rstrip(TAIL)
+                if word.isalpha():
+                    known = self.get(word)
+                    if known is None:
+                        return self[word] + self.marks[key[len(word) :]]
+                    found = known + self.marks[key[len(word) :]]
+                else:
+                    found = self.work(key)
+        if len(key) <= KEY_CHARS:
+            if len(self) >= self.entries:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class ChunkIds(Chunks):
     """Token ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         super().__init__(path)
         self.model = self.tokenizer.model
-        self.known, self.firsts, self.marks = Cache(self._chunk, KEPT), Cache(self._whole, KEPT // 10), Cache(self._piece, KEPT // 10)
+        self.spelling = "".join(chr(b).translate(self.characters) for b in range(256))
+        self.firsts, self.marks = Cache(self._whole, KEPT // 10), Cache(self._piece, KEPT // 10)
+        self.known = Words(self._chunk, self._word, self.marks, KEPT) if self.letters_alone else Cache(self._chunk, KEPT)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.sentence_end = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for i in vocab.values():
@@ -82,6 +118,14 @@ class ChunkIds(Chunks):
                 return b"".join([alone, *[self._piece(p) if p.isalpha() else self.marks[p] for p in rest]])
         return self._bytes([t.id for word in self.pre_tokens(spaced) for t in self.model.tokenize(word)])
 
+    def spell(self, text: str) -> str:
+        return codecs.charmap_decode(text.encode(), "strict", self.spelling)[0]
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a space and letters."""
+        ids = [t.id for t in self.model.tokenize("\u0120" + word if word.isascii() else self.spell(" " + word))]
+        return _PACKED[len(ids)](*ids) if len(ids) < len(_PACKED) else self._bytes(ids)
+
     def _piece(self, pre_token: str) -> bytes:
         """The ids of one pre-token."""
         spelled = "\u0120" + pre_token[1:] if pre_token[0] == " " and pre_token.isascii() and "\n" not in pre_token else self.spell(pre_token)

@@ -15,3 +15,20 @@ def test_words_with_marks_are_cut_here_and_as_the_library_cuts_them(monkeypatch)
     asked = []
     monkeypatch.setattr(encoder, "pre_tokens", lambda text: asked.append(text) or [])
     assert [encoder._chunk(x) for x in plain] == want and asked == []
+
+
+def test_a_word_is_worked_out_once_whatever_marks_follow_it():
+    encoder, asked = ChunkIds(tokenizer_path()), []
+
+    class Model:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, text):
+            asked.append(text)
+            return self.model.tokenize(text)
+
+    encoder.model = Model(encoder.model)
+    text = "so wordyer. wordyer, wordyer (wordyer) wordyer... größlich! größlich, größlich"
+    assert encoder.ids(text) == encoder._whole(text) + _END
+    assert [sum(w[1:] == spelled for w in asked) for spelled in ("wordyer", encoder.spell("größlich"))] == [1, 1]
