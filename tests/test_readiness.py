@@ -1,10 +1,12 @@
 """Folds, categories, weights and importances beside plain computations."""
 
+import inspect
 import random
 from collections import Counter, defaultdict
 
 import pytest
 
+from tablelens import queries
 from tablelens.operators.profile import profile
 from tablelens.plans import readiness
 
@@ -68,3 +70,19 @@ def test_baseline_of_classes(spark, target):
     done = readiness.baseline(frame, profile(frame), target, folds=2, rounds=4, repeats=1, key=["k_id"])
     assert done.metrics["balanced_accuracy"] > 0.8 > done.metrics["baseline_balanced_accuracy"]
     assert done.importance.first()["column"] == "x"
+
+
+def test_registered_regression_baseline_is_whole(spark, monkeypatch):
+    """The survey's folds, rounds of boosting and repeats of each permutation."""
+    asked = {}
+
+    def spied(*given, **named):
+        asked.update(inspect.signature(whole).bind(*given, **named).arguments)
+        return readiness.Baseline("regression", {"r2": 0.5}, None)
+
+    whole = readiness.baseline
+    monkeypatch.setattr(readiness, "baseline", spied)
+    queries.QUERIES["g14_baseline_regression"](spark, "/root/testdata/sf0.001")
+    assert asked["target"] == "p_retailprice"
+    assert [asked.get(k, v) for k, v in (("folds", 5), ("rounds", 200), ("repeats", 5))] == [5, 200, 5]
+    assert (readiness.FOLDS, readiness.ROUNDS, readiness.REPEATS) == (5, 200, 5)
